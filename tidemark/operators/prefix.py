@@ -61,9 +61,9 @@ def running_extreme(df: DataFrame, keys: list[str], bucket: Column, order: list,
             .drop(BUCKET, "_v", "_c"))
 
 
-def latest_n(df: DataFrame, keys: list[str], order: list, n: int, salt: list[str],
+def latest_n(df: DataFrame, keys: list[str], order: list, n: int | Column, salt: list[str],
              splits: int = 32) -> DataFrame:
-    """The first ``n`` rows of every key in the given order (WIN-10).
+    """The first ``n`` rows of every key in the given order (WIN-10); ``n`` may differ by key.
 
     A hot key is cut into ``splits`` groups by a hash of ``salt`` first; each keeps its own ``n``
     best, so the second pass sees at most ``splits * n`` rows of any key.
@@ -81,8 +81,10 @@ def thin(df: DataFrame, keys: list[str], bucket: Column, order: list, max_rows:
     indexed = running(df, keys, bucket, order, index="_i")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     step = F.col("_n").cast("double") / F.lit(float(max_rows))
-    slot = F.ceil(F.col("_i") / step)
-    hit = (slot < max_rows) & (F.floor(slot * step) == F.col("_i"))
+    slot = F.floor(F.col("_i") / step)
+    hit = F.lit(False)
+    for near in (slot, slot + 1):  # the division may land a hair on either side of the slot
+        hit = hit | ((near < max_rows) & (F.floor(near * step) == F.col("_i")))
     kept = (F.col("_n") <= max_rows) | hit | (F.col("_i") == F.col("_n") - 1)
     return indexed.join(sizes, keys).where(kept).drop("_i", "_n")
 
