@@ -34,11 +34,11 @@ def pick(values: list[str], index: str) -> str:
 
 
 def month(sec: str) -> str:
-    return f"strftime(make_timestamp(({sec})*1000000), '%Y-%m')"
+    return f"strftime(make_timestamp(({sec})::BIGINT*1000000), '%Y-%m')"
 
 
 def day(sec: str) -> str:
-    return f"strftime(make_timestamp(({sec})*1000000), '%Y-%m-%d')"
+    return f"strftime(make_timestamp(({sec})::BIGINT*1000000), '%Y-%m-%d')"
 
 
 def wilson(k: str, n: str) -> tuple[str, str]:
@@ -418,6 +418,10 @@ C["need"] = "SELECT DISTINCT trader_id, signal_ts // 86400 AS as_of_day FROM pos
 C["known_then"] = """SELECT n.as_of_day, c.* REPLACE (coalesce(c.resolved_ts, c.end_ts) AS resolved_ts) FROM need n JOIN closed c USING (trader_id) WHERE coalesce(c.resolved_ts, c.end_ts) < n.as_of_day*86400"""
 record("known_then", "trader_id, as_of_day", "as_of_day*86400", "pit")
 C.update(score("pits", "pit_m", TRADER_PARTS, trader_penalties("NULL::DOUBLE", "NULL::DOUBLE", "false", "false")))
+C["need3"] = "SELECT trader_id, d AS as_of_day FROM trader, (VALUES (10300),(10900),(11400)) v(d)"
+C["known3"] = C["known_then"].replace("need n", "need3 n")
+record("known3", "trader_id, as_of_day", "as_of_day*86400", "asof")
+C.update(score("asofs", "asof_m", TRADER_PARTS, trader_penalties("NULL::DOUBLE", "NULL::DOUBLE", "false", "false")))
 C["pholders"] = """SELECT h.market_id, h.signal_ts, h.outcome_index, h.trader_id, t.wallet, coalesce(s.pits_score, 0e0) AS smart, NULL::DOUBLE AS skill, h.shares*p.price AS size_usd, h.avg_price,
  h.first_buy_ts AS opened_ts, NULL::DOUBLE AS typical, h.recent_net_usd AS net, false AS bot FROM pos_then h JOIN trader t USING (trader_id)
  LEFT JOIN pits_f s ON s.trader_id=h.trader_id AND s.as_of_day = h.signal_ts // 86400 LEFT JOIN px p USING (market_id, signal_ts, outcome_index)"""
@@ -454,7 +458,9 @@ def with_ctes(body: str) -> str:
     return (f"WITH {head}\n" if head else "") + body
 
 
-TYPES = {"i": "CAST({0} AS BIGINT)", "d": "floor(CAST({0} AS DOUBLE)*1e6+0.5e0)/1e6", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
+# Six decimals. The offset is not a binary fraction, so values that are exact multiples of a power of
+# two are never split between two results by the last bit.
+TYPES = {"i": "CAST({0} AS BIGINT)", "d": "floor(CAST({0} AS DOUBLE)*1e6+0.37e0)/1e6", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
 
 
 def typed(cols: str, body: str) -> str:

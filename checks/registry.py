@@ -124,7 +124,7 @@ def conform(df: DataFrame, cols: str) -> DataFrame:
     for name, kind in (c.split(":") for c in cols.split()):
         value = F.col(name).cast(_CAST[kind])
         if kind == "d":
-            value = F.floor(value * 1e6 + 0.5).cast("double") / 1e6
+            value = F.floor(value * 1e6 + 0.37).cast("double") / 1e6
         out.append(value.alias(name))
     return df.select(*out)
 
@@ -263,7 +263,7 @@ entry("replay_positions", "market_id:i signal_ts:i trader_id:i outcome_index:i s
 entry("observed_price", "market_id:i signal_ts:i outcome_index:i price:d liquidity:d spread:d source:s observed_ts:i", lambda w: replay.observed_price(w.moments, w.curves, w.snapshots, w.activity), "SELECT * FROM px")
 entry("trader_scores_asof", "trader_id:i as_of_day:i smart_score:d", lambda w: traders.trader_scores_asof(
     w.closed.withColumn("resolved_ts", F.coalesce("resolved_ts", "end_ts")), w.traders.select("trader_id", F.explode(F.array(*[F.lit(d) for d in (10300, 10900, 11400)])).alias("as_of_day"))),
-      None)
+      "SELECT n.*, coalesce(a.asofs_score, 0e0) AS smart_score FROM need3 n LEFT JOIN asofs_f a USING (trader_id, as_of_day)")
 entry("signals", "horizon_days:i market_id:i outcome_index:i signal_ts:i price:d source:s age_seconds:i opportunity:d consensus:d qualified_count:i trader_count:i weighted_entry_price:d entry_gap:d won:b pnl:d", lambda w: w.signals, "SELECT * FROM signal")
 entry("reject_counts", "horizon_days:i reject_reason:s rejected:i", lambda w: w.run[1],
       "SELECT horizon_days, reason AS reject_reason, count(*) AS rejected FROM (SELECT horizon_days, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT horizon_days, side_reason FROM pside0 WHERE side_reason IS NOT NULL) GROUP BY 1,2")
@@ -299,6 +299,16 @@ entry("calibration", "horizon_days:i signals:i best_band_edge:d best_band_p:d ra
       (SELECT *, {_r01} AS r, (sw/n - imp/n)*100e0 AS edge FROM ({_bandp.format(f"(SELECT *, 0 AS it, won::INT AS hit FROM ({_obs}))")}) JOIN (SELECT horizon_days, sum(rx*rx) - count(*)*(count(*)+1e0)*(count(*)+1e0)/4e0 AS dx FROM ({_obs}) GROUP BY 1) USING (horizon_days)) o JOIN
       (SELECT *, CASE WHEN sw > 0 AND sw < n THEN {_r01} END AS r, (sw/n - imp/n)*100e0 AS edge FROM ({_bandp.format(f"(SELECT *, (u < price)::INT AS hit FROM ({_sim}))")}) JOIN (SELECT horizon_days, sum(rx*rx) - count(*)*(count(*)+1e0)*(count(*)+1e0)/4e0 AS dx FROM ({_obs}) GROUP BY 1) USING (horizon_days)) s
       ON s.horizon_days = o.horizon_days GROUP BY 1""")
-entry("horizon_outcomes", "horizon_days:i signals:i win_rate:d best_band:s best_band_p:d significant_alone:b", lambda w: evaluation.horizon_outcomes(w.headline, w.calibration), None)
-entry("robustness", "usable_horizons:i significant_horizons:i positive_correlations:i replicated_bands:i verdict:s", lambda w: evaluation.robustness(evaluation.horizon_outcomes(w.headline, w.calibration)), None)
+_bestband = f"""SELECT horizon_days, arg_max(band, {{'e': e, 'p': -p}}) AS best_band FROM (SELECT horizon_days, band, count(*) AS c, (sum(won::INT)/count(*) - avg(price))*100e0 AS e,
+ list_position([{','.join(f"'{n}'" for n, _, _ in V.SIGNAL_BANDS)}], band) AS p FROM signal GROUP BY 1,2) WHERE c >= 20 GROUP BY 1"""
+_outcomes = f"""SELECT h.horizon_days, h.signals, h.wins/h.signals AS win_rate, b.best_band, c.best_band_p, r.rank_correlation, c.best_band_p <= 0.05e0 AND h.signals >= 100 AS significant_alone
+ FROM (SELECT horizon_days, count(*) AS signals, count(*) FILTER (WHERE won) AS wins FROM signal GROUP BY 1) h LEFT JOIN ({_bestband}) b USING (horizon_days) LEFT JOIN ({ENTRIES['calibration'][2]}) c USING (horizon_days) LEFT JOIN ({ENTRIES['rank_correlation'][2]}) r USING (horizon_days)"""
+entry("horizon_outcomes", "horizon_days:i signals:i win_rate:d best_band:s best_band_p:d significant_alone:b", lambda w: evaluation.horizon_outcomes(w.headline, w.calibration), _outcomes)
+entry("robustness", "usable_horizons:i significant_horizons:i positive_correlations:i replicated_bands:i verdict:s", lambda w: evaluation.robustness(evaluation.horizon_outcomes(w.headline, w.calibration)),
+      f"""SELECT u AS usable_horizons, s AS significant_horizons, pos AS positive_correlations, rb AS replicated_bands, CASE WHEN u < 2 THEN 'TOO LITTLE DATA' WHEN most/u >= 0.6e0 THEN 'REPLICATES' WHEN rb > 0 THEN 'INCONSISTENT' WHEN s > 0 THEN 'DOES NOT REPLICATE' ELSE 'NOTHING FOUND' END AS verdict
+      FROM (SELECT count(*) FILTER (WHERE signals >= 100) AS u, count(*) FILTER (WHERE significant_alone) AS s, count(*) FILTER (WHERE rank_correlation > 0) AS pos FROM ({_outcomes})),
+      (SELECT count(*) AS rb, max(n) AS most FROM (SELECT best_band, count(*) AS n FROM ({_outcomes}) WHERE significant_alone GROUP BY 1 HAVING count(*) >= 2))""")
 entry("run_warnings", "horizon_days:i warnings:s", lambda w: evaluation.warning_codes(w.headline, evaluation.score_bands(w.signals), w.calibration, w.run[1]).withColumn("warnings", F.array_join("warnings", ",")), None)
+
+# The remaining areas register themselves on import.
+from checks import registry_ingest, registry_market  # noqa: E402,F401

@@ -10,9 +10,17 @@ from tidemark.functions.numeric import clamp, col
 from tidemark.functions.parse import slug_of
 
 
+# Word boundaries between ASCII word characters only, whatever the JVM takes ``\\b`` to mean.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return text.rlike("(?i)" + pattern.replace(r"\b", BOUNDARY))
+
+
 def resolution_clarity(description, source) -> dict[str, Column]:
     """Objectivity of resolution criteria, 0..100, with flag codes (PRJ-14)."""
-    text = F.trim(F.coalesce(col(description), F.lit("")))
+    text = F.regexp_replace(F.coalesce(col(description), F.lit("")), r"^\s+|\s+$", "")
     length = F.length(text)
     short_at, short_points, short_flag = V.CLARITY_SHORT
     long_at, long_points = V.CLARITY_LONG
@@ -23,11 +31,11 @@ def resolution_clarity(description, source) -> dict[str, Column]:
     points = points + F.when(sourced, V.CLARITY_SOURCE).otherwise(0)
     flags = [F.when(length < short_at, short_flag)]
     for pattern, flag, worth in V.AMBIGUITY_TERMS:
-        hit = text.rlike("(?i)" + pattern)
+        hit = _found(text, pattern)
         points = points + F.when(hit, worth).otherwise(0)
         flags.append(F.when(hit, flag))
     for pattern, worth in V.CLARITY_TERMS:
-        points = points + F.when(text.rlike("(?i)" + pattern), worth).otherwise(0)
+        points = points + F.when(_found(text, pattern), worth).otherwise(0)
     empty = length == 0
     score = F.when(empty, float(V.CLARITY_UNPUBLISHED)).otherwise(
         clamp(points.cast("double"), 0.0, 100.0))
@@ -64,19 +72,20 @@ def _winner(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.max_by("category", F.struct(score, rank)).alias("winner"))
 
 
-def _phrases(slug: Column) -> Column:
-    """Every run of dash-separated words of a slug, up to the longest listed word's length.
+def _phrases(parts: Column) -> Column:
+    """Every run of words of a slug, up to the longest listed word's length, joined by dashes.
 
     A listed word matches a slug exactly when it equals one of these runs, which turns the
     pattern search into an equi-join.
     """
     longest = max(w.count("-") + 1 for text in V.CATEGORY_WORDS.values() for w in text.split())
-    parts = F.split(slug, "-")
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(0)) ),
-                        lambda i, n=n: F.array_join(F.slice(parts, i, F.lit(n)), "-"))
-            for n in range(1, longest + 1)]
-    guarded = [F.when(F.size(parts) >= n, run).otherwise(F.array().cast("array<string>"))
-               for n, run in enumerate(runs, 1)]
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda at: F.array_join(F.slice(parts, at, F.lit(n)), "-"))
+
+    guarded = [F.when(F.size(parts) >= n, runs_of(n)).otherwise(F.array().cast("array<string>"))
+               for n in range(1, longest + 1)]
     return F.array_distinct(F.flatten(F.array(*guarded)))
 
 
@@ -93,14 +102,16 @@ def resolve_category(df: DataFrame, key: str, tags: str, question: str,
     weight = F.when(F.col("_slug").isin(generic), V.GENERIC_TAG_WEIGHT) \
         .otherwise(V.SPECIFIC_TAG_WEIGHT)
     tag_scores = (
-        tagged.select(key, "_at", weight.alias("_w"), F.explode(_phrases(F.col("_slug"))).alias("word"))
+        tagged.select(key, "_at", weight.alias("_w"), F.explode(_phrases(F.split("_slug", "-"))).alias("word"))
         .join(table, "word").groupBy(key, "_at", "category").agg(F.max("_w").alias("_w"))
         .groupBy(key, "category").agg(F.sum("_w").alias("_score")))
     from_tags = _winner(tag_scores, [key], "_score").withColumnRenamed("winner", "_from_tags")
 
     prose = table.where(F.length("word") >= V.PROSE_WORD_LENGTH)
+    # The words are a column of their own, so that the runs do not split the text again each.
+    words_of = df.select(key, F.split(slug_of(question), "-").alias("_parts"))
     text_scores = (
-        df.select(key, F.explode(_phrases(slug_of(question))).alias("word")).join(prose, "word")
+        words_of.select(key, F.explode(_phrases(F.col("_parts"))).alias("word")).join(prose, "word")
         .groupBy(key, "category").agg(F.count_distinct("word").alias("_score")))
     from_text = _winner(text_scores, [key], "_score").withColumnRenamed("winner", "_from_text")
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import schemas
 
+# Ship the state function with the task, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HOLDING = ["trader_id", "market_id", "outcome_index"]
 
 
