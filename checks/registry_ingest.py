@@ -21,9 +21,16 @@ from tidemark.views import price_of
 
 TAGS = ["Politics", "Crypto Prices", "NFL", "Fed Rates", "esports", "League of Legends", "Middle East", "Box Office", "Gardening", "World"]
 
+def land(w: Workspace, records: DataFrame) -> str:
+    """Write records as landed JSON files and return their folder."""
+    path = f"{shared_folder(w.spark)}/landed-{uuid.uuid4().hex}"
+    records.write.json(path)
+    return path
+
+
 # --- wire records built from the parts: three markets to an event ---------------------------------
 def wire_events(w: Workspace) -> DataFrame:
-    """Event JSON as it lands, one line per three parts, parsed with the landed schema."""
+    """Event JSON as it lands, one line per three parts."""
     k = F.col("p_partkey")
     closed, p = k % 2 == 0, price_of(k * 37)
     won = closed & (k % 4 == 0)
@@ -41,9 +48,9 @@ def wire_events(w: Workspace) -> DataFrame:
     nested = w.raw("part").groupBy(event.alias("e")).agg(F.collect_list(market).alias("markets"))
     tag = F.struct(choose(TAGS, F.col("e")).alias("label"))
     more = F.struct(choose(TAGS, F.floor(F.col("e") / 10)).alias("label"))
-    line = F.to_json(F.struct(F.concat(F.lit("e"), F.col("e")).alias("id"), F.concat(F.lit("title "), F.col("e")).alias("title"),
-                              F.when(F.col("e") % 8 != 0, F.array(tag, more)).alias("tags"), "markets"))
-    return nested.select(F.from_json(line, schemas.EVENTS).alias("r")).select("r.*")
+    return landed.events(w.spark, land(w, nested.select(
+        F.concat(F.lit("e"), F.col("e")).alias("id"), F.concat(F.lit("title "), F.col("e")).alias("title"),
+        F.when(F.col("e") % 8 != 0, F.array(tag, more)).alias("tags"), "markets")))
 
 
 C["wire"] = f"""SELECT *, p_partkey AS k, p_partkey // 3 AS e, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 = 0 THEN 1e0 WHEN p_partkey % 50 = 7 THEN NULL ELSE {price('p_partkey*37')} END AS w0,
@@ -95,11 +102,10 @@ entry("betting_lines", "p_partkey:i line:d team:s", lambda w: w.raw("part").sele
 # --- landed positions, settled rows, fills ------------------------------------------------------
 def wire_activity(w: Workspace) -> DataFrame:
     a = w.activity
-    line = F.to_json(F.struct(
+    return landed.activity(w.spark, land(w, a.select(
         F.concat(F.lit(" 0xAB"), "trader_id").alias("proxyWallet"), F.when(F.col("trader_id") % 19 != 3, F.col("ts")).otherwise(0).alias("timestamp"), F.concat(F.lit("c"), "market_id").alias("conditionId"),
         F.when(F.col("market_id") % 8 == 1, "BOGUS").otherwise("TRADE").alias("type"), "size", F.col("usd").alias("usdcSize"), "price", "asset", "side", F.col("outcome_index").alias("outcomeIndex"),
-        F.when(F.col("trader_id") % 5 != 1, F.col("dedupe_key")).alias("transactionHash")))
-    return a.select(F.from_json(line, schemas.ACTIVITY).alias("r")).select("r.*")
+        F.when(F.col("trader_id") % 5 != 1, F.col("dedupe_key")).alias("transactionHash"))))
 
 
 entry("normalize_activity", "dedupe_key:s wallet:s ts:i type:s side:s size:d usd:d", lambda w: normalize.normalize_activity(wire_activity(w)),
@@ -110,10 +116,9 @@ entry("new_activity", "dedupe_key:s", lambda w: landed.new_activity(w.activity,
 
 def wire_closed(w: Workspace) -> DataFrame:
     c = w.closed
-    line = F.to_json(F.struct(
+    return landed.closed_positions(w.spark, land(w, c.select(
         F.concat(F.lit("0xAB"), "trader_id").alias("proxyWallet"), "asset", F.concat(F.lit("c"), "market_id").alias("conditionId"), F.col("avg_price").alias("avgPrice"), F.col("shares").alias("totalBought"), F.col("realized_pnl").alias("realizedPnl"),
-        F.when(F.col("won"), 1.0).when(~F.col("won"), 0.0).otherwise(0.5).alias("curPrice"), F.col("outcome_index").alias("outcomeIndex"), F.col("resolved_ts").alias("timestamp")))
-    return c.select(F.from_json(line, schemas.CLOSED_POSITIONS).alias("r")).select("r.*")
+        F.when(F.col("won"), 1.0).when(~F.col("won"), 0.0).otherwise(0.5).alias("curPrice"), F.col("outcome_index").alias("outcomeIndex"), F.col("resolved_ts").alias("timestamp"))))
 
 
 entry("normalize_closed", "wallet:s asset:s outcome:s shares:d cost_basis_usd:d realized_pnl:d won:b resolved_ts:i", lambda w: normalize.normalize_closed(wire_closed(w)),
@@ -121,9 +126,8 @@ entry("normalize_closed", "wallet:s asset:s outcome:s shares:d cost_basis_usd:d
 
 
 def wire_positions(w: Workspace) -> DataFrame:
-    line = F.to_json(F.struct(F.concat(F.lit("0xAB"), "trader_id").alias("proxyWallet"), "asset", F.concat(F.lit("c"), "market_id").alias("conditionId"), F.when(F.col("trader_id") % 9 != 2, F.col("size")).alias("size"),
-                              F.col("avg_price").alias("avgPrice"), F.col("current_value").alias("currentValue"), F.col("outcome_index").alias("outcomeIndex")))
-    return w.positions.select(F.from_json(line, schemas.POSITIONS).alias("r")).select("r.*")
+    return landed.positions(w.spark, land(w, w.positions.select(F.concat(F.lit("0xAB"), "trader_id").alias("proxyWallet"), "asset", F.concat(F.lit("c"), "market_id").alias("conditionId"), F.when(F.col("trader_id") % 9 != 2, F.col("size")).alias("size"),
+                              F.col("avg_price").alias("avgPrice"), F.col("current_value").alias("currentValue"), F.col("outcome_index").alias("outcomeIndex"))))
 
 
 entry("normalize_positions", "wallet:s asset:s outcome:s size:d avg_price:d current_value:d redeemable:b", lambda w: normalize.normalize_positions(wire_positions(w)),
@@ -133,6 +137,41 @@ entry("markets_by_ids", "conditionId:s copy:s", lambda w: landed.markets_by_ids(
     w.bets.select(F.concat(F.lit("c"), "market_id").alias("conditionId"))), "SELECT condition_id AS \"conditionId\", CASE WHEN market_id % 3 <> 0 THEN 'open' ELSE 'closed' END AS copy FROM market WHERE (market_id % 3 <> 0 OR market_id % 2 = 0) AND market_id IN (SELECT market_id FROM bets)")
 entry("closed_markets", "market_id:i volume:d", lambda w: landed.closed_markets(w.markets, 900000000, AS_OF, 40), f"SELECT market_id, volume FROM market WHERE resolved AND end_ts BETWEEN 900000000 AND {AS_OF} ORDER BY volume DESC, market_id LIMIT 40")
 
+# --- other landed files -------------------------------------------------------------------------
+def landed_holders(w: Workspace) -> DataFrame:
+    """Holder pages: one line per market, its holders nested."""
+    one = F.struct(F.col("wallet").alias("proxyWallet"), F.col("size").alias("amount"), (F.col("ts") % 2 == 0).alias("displayUsernamePublic"), F.concat(F.lit("n"), "wallet").alias("name"))
+    pages = w.tape.groupBy("market_id", F.col("ts") % 64).agg(F.collect_list(one).alias("holders"))
+    return landed.holders(w.spark, land(w, pages.select(F.concat(F.lit("c"), "market_id").alias("conditionId"), F.lit("t").alias("token"), "holders")))
+
+
+entry("landed_holders", "conditionId:s wallet:s shares:d name:s", landed_holders, "SELECT 'c' || market_id AS \"conditionId\", wallet, size AS shares, CASE WHEN ts % 2 = 0 THEN 'n' || wallet END AS name FROM tape")
+entry("landed_trades", "conditionId:s proxyWallet:s size:d timestamp:i", lambda w: landed.trades(w.spark, land(w, w.tape.select(F.col("wallet").alias("proxyWallet"), F.concat(F.lit("c"), "market_id").alias("conditionId"), "size", "price", F.col("ts").alias("timestamp"), (F.col("ts") % 3 != 0).alias("taker"))), taker_only=True),
+      "SELECT 'c' || market_id AS \"conditionId\", wallet AS \"proxyWallet\", size, ts AS timestamp FROM tape WHERE ts % 3 <> 0")
+
+
+def landed_curves(w: Workspace) -> DataFrame:
+    points = F.collect_list(F.struct("t", F.when(F.col("seq") % 9 != 0, F.col("p")).alias("p")))
+    days = w.curves.groupBy("market_id", "outcome_index", F.floor(F.col("t") / 8640000).alias("d")).agg(points.alias("history"))
+    return landed.price_history(w.spark, land(w, days.select(F.concat(F.lit("t"), F.col("market_id") * 10 + F.col("outcome_index")).alias("token"), "history")))
+
+
+entry("landed_curves", "token_id:s t:i p:d", landed_curves, "SELECT 't' || (market_id*10+outcome_index) AS token_id, t, p FROM curve WHERE seq % 9 <> 0")
+
+
+def landed_books(w: Workspace) -> DataFrame:
+    level = F.struct(F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"))
+    rows = w.book.groupBy("token_id").agg(F.collect_list(F.when(F.col("kind") == "BID", level)).alias("bids"), F.collect_list(F.when(F.col("kind") == "ASK", level)).alias("asks"))
+    return landed.books(w.spark, land(w, rows.select(F.col("token_id").alias("asset_id"), "bids", "asks")))
+
+
+entry("landed_books", "token_id:s kind:s price:d size:d", landed_books, "SELECT * FROM book")
+entry("landed_portfolios", "wallet:s portfolio_value:d traded_markets:i", lambda w: landed.portfolios(w.spark, land(w, w.portfolio.select(F.concat(F.lit("0xAB"), "trader_id").alias("user"), F.array(F.struct(F.col("portfolio_value").alias("value"))).alias("value"), F.col("trader_id").alias("traded")))),
+      "SELECT '0xab' || trader_id AS wallet, portfolio_value, trader_id AS traded_markets FROM portfolio")
+entry("landed_leaderboard", "wallet:s pnl:d", lambda w: landed.leaderboard(w.spark, land(w, w.raw("supplier").select(F.concat(F.lit("0x"), "s_suppkey").alias("proxyWallet"), F.col("s_acctbal").alias("pnl")))), "SELECT '0x' || s_suppkey AS wallet, s_acctbal AS pnl FROM supplier")
+entry("landed_closed_capped", "proxyWallet:s asset:s", lambda w: landed.closed_positions(w.spark, land(w, w.closed.select(F.concat(F.lit("0x"), "trader_id").alias("proxyWallet"), "asset", F.col("resolved_ts").alias("timestamp"))), per_wallet=15),
+      "SELECT '0x' || trader_id AS \"proxyWallet\", asset FROM (SELECT *, row_number() OVER (PARTITION BY trader_id ORDER BY resolved_ts DESC NULLS LAST, asset) AS rn FROM closed) WHERE rn <= 15")
+
 # --- sinks --------------------------------------------------------------------------------------
 _old = lambda w: w.markets.where("market_id % 5 <> 0").withColumns({"liquidity": F.col("liquidity") * (1.0 + (F.col("market_id") % 3 - 1) / F.lit(16.0)), "prices": F.transform("prices", lambda p: p + (F.col("market_id") % 4) / F.lit(512.0)), "resolved": F.col("resolved") & (F.col("market_id") % 8 != 0)})
 C["old_market"] = "SELECT market_id, liquidity*(1e0+(market_id % 3 - 1)/16e0) AS liquidity, (market_id % 4)/512e0 AS shift, resolved AND market_id % 8 <> 0 AS resolved FROM market WHERE market_id % 5 <> 0"

@@ -72,27 +72,35 @@ def _winner(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.max_by("category", F.struct(score, rank)).alias("winner"))
 
 
-def _phrases(parts: Column) -> Column:
-    """Every run of words of a slug, up to the longest listed word's length, joined by dashes.
+def _listed_runs(parts: Column, words: list[str]) -> Column:
+    """Runs of consecutive parts of a slug that are listed words, each once.
 
-    A listed word matches a slug exactly when it equals one of these runs, which turns the
-    pattern search into an equi-join.
+    A listed word matches a slug exactly when it equals a run of the slug's dash-separated parts.
+    Single parts are looked up directly and longer runs are only put together where a listed word
+    begins, so what leaves this expression is a handful of hits per text.
     """
-    longest = max(w.count("-") + 1 for text in V.CATEGORY_WORDS.values() for w in text.split())
+    by_length: dict[int, list[str]] = {}
+    for word in words:
+        by_length.setdefault(word.count("-") + 1, []).append(word)
 
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda at: F.array_join(F.slice(parts, at, F.lit(n)), "-"))
+    def runs_of(n: int, listed: list[str]) -> Column:
+        if n == 1:
+            return F.filter(parts, lambda part: part.isin(listed))
+        first = sorted({word.split("-")[0] for word in listed})
+        last_start = F.greatest(F.size(parts) - n + 1, F.lit(1))
+        starts = F.filter(F.sequence(F.lit(1), last_start),
+                          lambda at: F.element_at(parts, at).isin(first))
+        runs = F.transform(starts, lambda at: F.array_join(F.slice(parts, at, F.lit(n)), "-"))
+        return F.filter(runs, lambda run: run.isin(listed))
 
-    guarded = [F.when(F.size(parts) >= n, runs_of(n)).otherwise(F.array().cast("array<string>"))
-               for n in range(1, longest + 1)]
-    return F.array_distinct(F.flatten(F.array(*guarded)))
+    return F.array_distinct(F.flatten(F.array(*[runs_of(n, w) for n, w in sorted(by_length.items())])))
 
 
 def resolve_category(df: DataFrame, key: str, tags: str, question: str,
                      words: dict[str, str] | None = None) -> DataFrame:
     """``df`` with ``category``: weighted tags first, then the question text (FN-12)."""
     table = F.broadcast(word_table(df.sparkSession, words))  # fixed, about 220 rows
+    listed = sorted({w for text in (words or V.CATEGORY_WORDS).values() for w in text.split()})
     generic = V.GENERIC_TAGS.split()
 
     has_tags = F.exists(F.coalesce(F.col(tags), F.array().cast("array<string>")),
@@ -101,8 +109,9 @@ def resolve_category(df: DataFrame, key: str, tags: str, question: str,
               .select(key, "_at", slug_of("_tag").alias("_slug")).where(F.col("_slug") != ""))
     weight = F.when(F.col("_slug").isin(generic), V.GENERIC_TAG_WEIGHT) \
         .otherwise(V.SPECIFIC_TAG_WEIGHT)
+    split = tagged.select(key, "_at", weight.alias("_w"), F.split("_slug", "-").alias("_parts"))
     tag_scores = (
-        tagged.select(key, "_at", weight.alias("_w"), F.explode(_phrases(F.split("_slug", "-"))).alias("word"))
+        split.select(key, "_at", "_w", F.explode(_listed_runs(F.col("_parts"), listed)).alias("word"))
         .join(table, "word").groupBy(key, "_at", "category").agg(F.max("_w").alias("_w"))
         .groupBy(key, "category").agg(F.sum("_w").alias("_score")))
     from_tags = _winner(tag_scores, [key], "_score").withColumnRenamed("winner", "_from_tags")
@@ -111,7 +120,7 @@ def resolve_category(df: DataFrame, key: str, tags: str, question: str,
     # The words are a column of their own, so that the runs do not split the text again each.
     words_of = df.select(key, F.split(slug_of(question), "-").alias("_parts"))
     text_scores = (
-        words_of.select(key, F.explode(_phrases(F.col("_parts"))).alias("word")).join(prose, "word")
+        words_of.select(key, F.explode(_listed_runs(F.col("_parts"), listed)).alias("word")).join(prose, "word")
         .groupBy(key, "category").agg(F.count_distinct("word").alias("_score")))
     from_text = _winner(text_scores, [key], "_score").withColumnRenamed("winner", "_from_text")
 
