@@ -31,6 +31,14 @@ KEY = ["market_id", "outcome_index"]
 class Workspace(Tables):
     """The views plus derived tables, each written once to the shared folder and reused."""
 
+    @cached_property
+    def closed(self) -> DataFrame:
+        return cut_lineage(Tables.closed.func(self))
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return cut_lineage(Tables.positions.func(self))
+
     @cached_property
     def known_closed(self) -> DataFrame:
         return self.closed.where(F.col("resolved_ts").isNull() | (F.col("resolved_ts") <= AS_OF))
@@ -294,11 +302,11 @@ _bandp = """SELECT horizon_days, it, max(e) AS best, sum(sw) AS sw, sum(sr) AS s
  CASE WHEN count(*) >= 20 THEN (sum(hit)/count(*) - sum(price)/count(*))*100e0 END AS e FROM {0} GROUP BY ALL) GROUP BY ALL"""
 _r01 = "(sr - sw*(n+1e0)/2e0)*n/2e0 / sqrt(dx * (sw*(n-sw)*n/4e0))"
 entry("calibration", "horizon_days:i signals:i best_band_edge:d best_band_p:d rank_correlation_p:d overall_edge:d overall_edge_p:d", lambda w: w.calibration,
-      f"""SELECT o.horizon_days, any_value(o.n) AS signals, any_value(o.best) AS best_band_edge, (count(*) FILTER (WHERE s.best >= o.best - 1e-9) + 1)/2001e0 AS best_band_p, (count(*) FILTER (WHERE s.r >= o.r - 1e-12)+1)/2001e0 AS rank_correlation_p,
+      f"""SELECT o.horizon_days, any_value(o.n) AS signals, any_value(o.best) AS best_band_edge, CASE WHEN count(o.best) > 0 THEN (count(*) FILTER (WHERE s.best >= o.best - 1e-9) + 1)/2001e0 END AS best_band_p, CASE WHEN count(o.r) > 0 THEN (count(*) FILTER (WHERE s.r >= o.r - 1e-12)+1)/2001e0 END AS rank_correlation_p,
       any_value(o.edge) AS overall_edge, (count(*) FILTER (WHERE s.edge >= o.edge - 1e-9)+1)/2001e0 AS overall_edge_p FROM
       (SELECT *, {_r01} AS r, (sw/n - imp/n)*100e0 AS edge FROM ({_bandp.format(f"(SELECT *, 0 AS it, won::INT AS hit FROM ({_obs}))")}) JOIN (SELECT horizon_days, sum(rx*rx) - count(*)*(count(*)+1e0)*(count(*)+1e0)/4e0 AS dx FROM ({_obs}) GROUP BY 1) USING (horizon_days)) o JOIN
       (SELECT *, CASE WHEN sw > 0 AND sw < n THEN {_r01} END AS r, (sw/n - imp/n)*100e0 AS edge FROM ({_bandp.format(f"(SELECT *, (u < price)::INT AS hit FROM ({_sim}))")}) JOIN (SELECT horizon_days, sum(rx*rx) - count(*)*(count(*)+1e0)*(count(*)+1e0)/4e0 AS dx FROM ({_obs}) GROUP BY 1) USING (horizon_days)) s
-      ON s.horizon_days = o.horizon_days GROUP BY 1""")
+      ON s.horizon_days = o.horizon_days WHERE o.n >= 10 GROUP BY 1""")
 _bestband = f"""SELECT horizon_days, arg_max(band, {{'e': e, 'p': -p}}) AS best_band FROM (SELECT horizon_days, band, count(*) AS c, (sum(won::INT)/count(*) - avg(price))*100e0 AS e,
  list_position([{','.join(f"'{n}'" for n, _, _ in V.SIGNAL_BANDS)}], band) AS p FROM signal GROUP BY 1,2) WHERE c >= 20 GROUP BY 1"""
 _outcomes = f"""SELECT h.horizon_days, h.signals, h.wins/h.signals AS win_rate, b.best_band, c.best_band_p, r.rank_correlation, c.best_band_p <= 0.05e0 AND h.signals >= 100 AS significant_alone

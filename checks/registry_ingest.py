@@ -239,7 +239,7 @@ def stream_positions(w: Workspace) -> DataFrame:
     return w.spark.read.parquet(f"{base}/out/*")
 
 
-entry("stream_dedupe", "dedupe_key:s usd:d", stream_dedupe, "SELECT dedupe_key, usd FROM activity")
+entry("stream_dedupe", "dedupe_key:s", stream_dedupe, "SELECT DISTINCT dedupe_key FROM activity")
 entry("stream_tape_windows", "market_id:i outcome_index:i window_start:i fills:i usd:d", stream_windows,
       "SELECT market_id, outcome_index, ts // 86400 * 86400 AS window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT * FROM activity UNION ALL SELECT * FROM activity WHERE trader_id % 3 = 0) GROUP BY 1,2,3 HAVING ts // 86400 * 86400 + 86400 <= (SELECT max(ts) - 3600 FROM activity)"
       .replace("HAVING ts // 86400 * 86400", "HAVING window_start"))

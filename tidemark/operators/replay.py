@@ -19,15 +19,18 @@ def usable_fills(activity: DataFrame) -> DataFrame:
                           & F.col("outcome_index").isNotNull() & F.col("side").isNotNull())
 
 
+CHUNK = 65536
+
+
 def running_shares(fills: DataFrame, keys: list[str] = HOLDING) -> DataFrame:
-    """``shares`` held after every fill; selling more than is held leaves zero.
+    """``shares`` held after every fill and the fill's ``place``; overselling leaves zero.
 
     The clamp at zero is the net minus its running minimum, so both parts are two-level prefix
     computations and a heavy trader on one side is spread over its days.
     """
     order = ["ts", "dedupe_key"]
     signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
-    net = running(fills, keys, day_of("ts"), order, sums={"_net": signed})
+    net = running(fills, keys, day_of("ts"), order, sums={"_net": signed}, index="place")
     low = running_extreme(cut_lineage(net), keys, day_of("ts"), order, "_low", F.col("_net"), largest=False)
     return (low.withColumn("shares", F.col("_net") - F.least(F.lit(0.0), F.col("_low")))
             .drop("_net", "_low"))
@@ -38,8 +41,9 @@ def replay_positions(activity: DataFrame, queries: DataFrame, min_shares: float
     """Holdings at every asked (market_id, signal_ts), from fills up to then (WIN-11).
 
     Buys add cost, sells scale it by the share kept. Each fill is the map ``cost -> r*cost + b``;
-    maps are composed within (holding, asked interval, day), a short array, and then along the
-    days of a holding, so all asked moments of a market come out of one pass over its fills.
+    maps are composed within runs of at most ``CHUNK`` fills of a holding and asked interval, and
+    then along the runs of a holding, so all asked moments of a market come out of one pass over
+    its fills and no array grows with a holding's fills beyond one entry per run.
     """
     asked = queries.groupBy("market_id").agg(
         F.array_sort(F.collect_set("signal_ts")).alias("_asked"))
@@ -53,26 +57,27 @@ def replay_positions(activity: DataFrame, queries: DataFrame, min_shares: float
         .otherwise(0.0)
     step = F.struct("ts", "dedupe_key", F.when(bought, 1.0).otherwise(kept).alias("r"),
                     F.when(bought, F.col("usd")).otherwise(0.0).alias("b"))
-    daily = held.groupBy(*HOLDING, "_seg", day_of("ts").alias("_day")).agg(
+    chunk = F.floor(F.col("place") / F.lit(CHUNK))
+    runs = held.groupBy(*HOLDING, "_seg", chunk.alias("_chunk")).agg(
         F.array_sort(F.collect_list(step)).alias("_steps"),
         F.max_by("shares", F.struct("ts", "dedupe_key")).alias("_shares"),
         F.min(F.when(bought, F.col("ts"))).alias("_first"))
     one = F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("b"))
-    daily = daily.withColumn("_map", F.aggregate("_steps", one, lambda acc, x: F.struct(
+    runs = runs.withColumn("_map", F.aggregate("_steps", one, lambda acc, x: F.struct(
         (acc["r"] * x["r"]).alias("r"), (acc["b"] * x["r"] + x["b"]).alias("b"))))
-    entry = F.struct("_seg", "_day", F.col("_map.r").alias("r"), F.col("_map.b").alias("b"),
+    entry = F.struct("_seg", "_chunk", F.col("_map.r").alias("r"), F.col("_map.b").alias("b"),
                      "_shares", "_first")
-    days = daily.groupBy(*HOLDING).agg(F.array_sort(F.collect_list(entry)).alias("_days"))
+    whole = runs.groupBy(*HOLDING).agg(F.array_sort(F.collect_list(entry)).alias("_runs"))
     empty = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("shares"),
                      F.lit(None).cast("long").alias("first"))
     states = F.transform(
         F.sequence(F.lit(0), F.size("_asked") - 1),
         lambda q: F.aggregate(
-            F.filter("_days", lambda e: e["_seg"] <= q), empty,
+            F.filter("_runs", lambda e: e["_seg"] <= q), empty,
             lambda acc, e: F.struct(
                 (acc["cost"] * e["r"] + e["b"]).alias("cost"), e["_shares"].alias("shares"),
                 F.coalesce(acc["first"], e["_first"]).alias("first"))))
-    placed = (days.join(asked, "market_id")
+    placed = (whole.join(asked, "market_id")
               .select(*HOLDING, F.explode(F.arrays_zip(F.col("_asked").alias("t"),
                                                        states.alias("s"))).alias("_z"))
               .select(*HOLDING, F.col("_z.t").alias("signal_ts"), F.col("_z.s.shares").alias("shares"),

@@ -152,7 +152,11 @@ def calibration_test(signals: DataFrame, cfg=None) -> DataFrame:
         lambda acc, pair: F.when(pair[1] == F.col("_best"), BAND_NAMES[pair[0]]).otherwise(acc),
         reversed(list(enumerate(edges("_w")))), F.lit(None).cast("string")))
 
+    # The rows are few next to the draws they stand for, so they are spread over all cores by count
+    # rather than by size.
+    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turns = (ranked.join(fixed.select(*KEY, "n"), KEY)
+             .repartition(parts, *KEY, "market_id", "outcome_index")
              .withColumn("_it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))))
     draw = uniform_draw(seed, F.col("_it").cast("long") * F.col("n") + F.col("_i"))
     turns = turns.withColumn("_hit", F.when(draw < F.col("price"), 1).otherwise(0))
