@@ -154,6 +154,11 @@ def trader_metrics(closed: DataFrame, keys: list[str], as_of, positions: DataFra
     else:
         joined = joined.withColumns({"unrealized_pnl": F.lit(None).cast("double"),
                                      "concentration_hhi": F.lit(None).cast("double")})
+    return _with_rates(joined)
+
+
+def _with_rates(joined: DataFrame) -> DataFrame:
+    """Rates and ratios from the summed figures of a key."""
     win_mean = F.try_divide(F.col("_wsum"), F.col("_ws"))
     loss_mean = F.try_divide(F.col("_lsum"), F.col("_ls"))
     return joined.withColumns({
@@ -232,33 +237,109 @@ def daily_record(closed: DataFrame) -> DataFrame:
     return summary.drop("staked_30", "pnl_30", "staked_90", "pnl_90")
 
 
+def _month_index(day):
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
+    return F.year(date) * 12 + F.month(date)
+
+
+ADDED = ["n", "decided", "wins", "losses", "staked", "pnl", "high_priced", "winnings", "win_stakes",
+         "win_stake_sum", "loss_stakes", "loss_stake_sum"]
+
+
+def _known_by(rows: DataFrame, asked: DataFrame, keys: list[str], at: str, values: list[str],
+              most: list[str] = (), trailing: dict[int, list[str]] | None = None) -> DataFrame:
+    """Sums over the rows of a key strictly before each asked moment, in one window pass.
+
+    ``rows`` and ``asked`` share ``keys`` and the whole-number column ``at``; both have at most one
+    row per key and moment, so a partition is bounded by the calendar.
+    """
+    both = rows.select(*keys, at, *values, *most).withColumn("_ask", F.lit(0)).unionByName(
+        asked.select(*keys, at).withColumn("_ask", F.lit(1)), allowMissingColumns=True)
+    order = W.partitionBy(*keys).orderBy(at)
+    before = order.rangeBetween(W.unboundedPreceding, -1)
+    out = {v: F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values}
+    out |= {v: F.max(v).over(before) for v in most}
+    for length, names in (trailing or {}).items():
+        out |= {f"{v}_{length}": F.sum(v).over(order.rangeBetween(-length, -1)) for v in names}
+    return both.select(*keys, at, "_ask", *[c.alias(n) for n, c in out.items()]) \
+        .where(F.col("_ask") == 1).drop("_ask")
+
+
 def trader_scores_asof(closed: DataFrame, asked: DataFrame, cfg=None,
                        record: DataFrame | None = None) -> DataFrame:
     """Trader score as of the start of each asked UTC day (JOIN-9, PIT-1).
 
     ``asked`` holds the distinct (trader_id, as_of_day) pairs that are needed; a trader with
-    nothing settled before the day scores 0.
+    nothing settled before the day scores 0. Asked days are merged into each trader's daily record
+    and read running sums there, so a record is never repeated for every day it counts towards.
     """
-    record = daily_record(closed) if record is None else record
-    keys = ["trader_id", "as_of_day"]
-    known = (asked.select(*keys).join(record, "trader_id")
-             .where(F.col("day") < F.col("as_of_day")))
-    sums = ["n", "decided", "wins", "losses", "staked", "pnl", "priced", "price_sum",
-            "high_priced", "stakes", "stake_sum", "winnings", "win_stakes", "win_stake_sum",
-            "loss_stakes", "loss_stake_sum"]
-
-    def trailing(value: str, days: int):
-        return total(F.when(F.col("day") >= F.col("as_of_day") - days, F.col(value)))
-
-    summary = known.groupBy(*keys, "category", "month").agg(
-        *[F.sum(c).alias(c) for c in sums],
-        F.max("stake_max").alias("stake_max"), F.max("win_max").alias("win_max"),
-        F.min("loss_min").alias("loss_min"),
-        *[trailing(v, d).alias(f"{v}_{d}") for v in ("staked", "pnl") for d in (30, 90)])
-    metrics = trader_metrics(closed, keys, None, cfg=cfg, summary=summary)
-    scored = trader_score(metrics, None, keys, cfg).select(*keys, "smart_score", "closed_count")
-    return (asked.select(*keys).join(scored, keys, "left")
-            .fillna({"smart_score": 0.0, "closed_count": 0}))
+    cfg = merge_config(cfg)
+    key = ["trader_id", "as_of_day"]
+    record = cut_lineage(daily_record(closed) if record is None else record)
+    asked = cut_lineage(asked.select(*key).distinct())
+    days = asked.select("trader_id", F.col("as_of_day").alias("day"))
+    daily = record.groupBy("trader_id", "day").agg(
+        *[F.sum(c).alias(c) for c in ADDED], F.max("win_max").alias("win_max"))
+
+    overall = _known_by(daily, days, ["trader_id"], "day", ADDED, ["win_max"],
+                        {30: ["pnl", "staked"], 90: ["pnl", "staked"]})
+    # The month that is under way on the day before, as far as it is known, and the whole ones before.
+    now = _month_index(F.col("day") - 1)
+    partial = _known_by(daily.withColumn("month_at", _month_index(F.col("day"))),
+                        days.withColumn("month_at", now), ["trader_id", "month_at"], "day",
+                        ["n", "pnl", "staked"])
+    part_roi = F.when(F.col("staked") > 0, F.col("pnl") / F.col("staked"))
+    partial = partial.select("trader_id", "day", "month_at", (F.col("n") > 0).cast("int").alias("_pm"),
+                             ((F.col("n") > 0) & (F.col("pnl") > 0)).cast("int").alias("_pw"),
+                             part_roi.alias("_pr"))
+    roi = F.col("pnl") / F.col("staked")
+    months = (daily.groupBy("trader_id", _month_index(F.col("day")).alias("month_at"))
+              .agg(F.sum("pnl").alias("pnl"), F.sum("staked").alias("staked"))
+              .withColumns({"m": F.lit(1), "up": (F.col("pnl") > 0).cast("int"),
+                            "r": F.when(F.col("staked") > 0, roi)})
+              .withColumns({"k": F.col("r").isNotNull().cast("int"), "rr": F.col("r") * F.col("r")}))
+    whole = _known_by(months, partial.select("trader_id", "month_at").distinct(), ["trader_id"],
+                      "month_at", ["m", "up", "k", "r", "rr"])
+    extra = F.coalesce("_pr", F.lit(0.0))
+    series = partial.join(whole, ["trader_id", "month_at"]).select(
+        "trader_id", "day", (F.col("m") + F.col("_pm")).alias("months"),
+        (F.col("up") + F.col("_pw")).alias("_up"),
+        (F.col("k") + F.col("_pr").isNotNull().cast("int")).alias("_k"),
+        (F.col("r") + extra).alias("_r"), (F.col("rr") + extra * extra).alias("_rr"))
+    mean = F.try_divide(F.col("_r"), F.col("_k"))
+    spread = F.greatest(F.lit(0.0), (F.col("_rr") - F.col("_k") * mean * mean) / (F.col("_k") - 1))
+    series = series.select(
+        "trader_id", "day", "months", F.try_divide(F.col("_up"), F.col("months")).alias("monthly_win_rate"),
+        mean.alias("_mean_month"), F.when(F.col("_k") >= 2, F.sqrt(spread)).alias("profit_volatility"))
+
+    known = record.groupBy("trader_id", "category", "day").agg(
+        F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.sum("staked").alias("staked"))
+    wanted = known.select("trader_id", "category").distinct().join(days, "trader_id")
+    skill = _known_by(known, wanted, ["trader_id", "category"], "day", ["n", "pnl", "staked"])
+    prior, n = float(cfg["trader"]["category_prior"]), F.col("n").cast("double")
+    base = overall.select("trader_id", "day", F.coalesce(F.try_divide(F.col("pnl"), F.col("staked")), F.lit(0.0))
+                          .alias("_overall"))
+    shrunk = (roi * n + F.col("_overall") * prior) / (n + prior)
+    skill = (skill.where(F.col("staked") > 0).join(base, ["trader_id", "day"])
+             .withColumn("_s", scale_to_score(shrunk, -0.5, 1.0)).groupBy("trader_id", "day")
+             .agg(F.try_divide(F.sum(F.col("_s") * F.col("staked")), F.sum("staked")).alias("weighted_skill")))
+
+    nothing = F.lit(None).cast("double")
+    summed = (overall.where(F.col("n") > 0).join(series, ["trader_id", "day"])
+              .join(skill, ["trader_id", "day"], "left").select(
+        "trader_id", F.col("day").alias("as_of_day"), F.col("n").alias("closed_count"),
+        F.col("decided").alias("decided_count"), F.col("wins").alias("win_count"),
+        F.col("losses").alias("loss_count"), F.col("pnl").alias("realized_pnl"),
+        F.col("staked").alias("total_staked"), F.col("win_max").alias("largest_win_usd"),
+        F.when(F.col("staked_30") > 0, F.col("pnl_30") / F.col("staked_30")).alias("roi_30d"),
+        F.when(F.col("staked_90") > 0, F.col("pnl_90") / F.col("staked_90")).alias("roi_90d"),
+        F.col("winnings").alias("_winnings"), F.col("high_priced").alias("_high"),
+        F.col("win_stakes").alias("_ws"), F.col("win_stake_sum").alias("_wsum"),
+        F.col("loss_stakes").alias("_ls"), F.col("loss_stake_sum").alias("_lsum"), "months",
+        "monthly_win_rate", "_mean_month", "profit_volatility", "weighted_skill",
+        nothing.alias("unrealized_pnl"), nothing.alias("concentration_hhi")))
+    scored = trader_score(_with_rates(summed), None, key, cfg).select(*key, "smart_score", "closed_count")
+    return asked.join(scored, key, "left").fillna({"smart_score": 0.0, "closed_count": 0})
 
 
 def pnl_curve(closed: DataFrame, key: str = "trader_id") -> DataFrame:
