@@ -8,20 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracle import AS_OF, TAPE_AS_OF, H, S, clip, day, month, typed, wilson
+from checks.oracle import AS_OF, H, month, typed, wilson
 from tidemark import fixed_values as V
 from tidemark.config import merge_config
 from tidemark.functions import numeric as N
-from tidemark.functions import parse as P
-from tidemark.functions import pricing as PR
-from tidemark.functions import sports as SP
 from tidemark.functions import stats as ST
-from tidemark.functions import text as TX
-from tidemark.operators import allocation, asof, behaviour, bets, board, books, consensus, events
-from tidemark.operators import holders, prefix, replay, traders, watchlist
+from tidemark.operators import behaviour, bets, board, consensus, holders, prefix, replay, traders
 from tidemark.plans import evaluation, live_board, point_in_time
 from tidemark.session import cut_lineage
-from tidemark.sources import landed, normalize, sinks
 from tidemark.views import Tables
 
 PIT_CFG = {"backtest": {"max_price_age_hours": 720.0}}

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.oracle import AS_OF, C, pick, price
-from checks.registry import KEY, Workspace, entry
+from checks.registry import Workspace, entry
 from tidemark import fixed_values as V
 from tidemark import schemas
 from tidemark.functions import text as TX
-from tidemark.operators import books, holders
 from tidemark.session import shared_folder
 from tidemark.sources import landed, normalize, sinks
 from tidemark.streaming import fills as streams

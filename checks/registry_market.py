@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.oracle import AS_OF, TAPE_AS_OF, C, H, S, clip, day, price
-from checks.registry import KEY, PIT_CFG, Workspace, entry
+from checks.oracle import AS_OF, TAPE_AS_OF, C, H, S, clip, day
+from checks.registry import KEY, Workspace, entry
 from tidemark import fixed_values as V
 from tidemark.functions import numeric as N
 from tidemark.functions import pricing as PR
-from tidemark.functions import sports as SP
 from tidemark.operators import allocation, asof, bets, board, books, events, watchlist
-from tidemark.plans import point_in_time
 
 # --- scalar functions over whole tables ---------------------------------------------------------
 _x = "l_extendedprice / cast(1000 as double) - cast(40 as double)"

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
-from tidemark.functions.numeric import col, count_where, total
+from tidemark.functions.numeric import count_where, total
 from tidemark.operators.prefix import latest_n
 from tidemark.session import cut_lineage
 

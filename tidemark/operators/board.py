@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import merge_config
 from tidemark.functions import sports as S
 from tidemark.functions.numeric import (
-    col, count_where, half_up, hours_between, liquidity_score, scale_to_score, spread_score, total,
+    count_where, half_up, hours_between, liquidity_score, scale_to_score, spread_score, total,
 )
 from tidemark.functions.pricing import (
     effective_price, entry_gap, model_estimate, payout, quotes, risk,

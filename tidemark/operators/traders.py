@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.config import merge_config
 from tidemark.fixed_values import ENTRY_BANDS
 from tidemark.functions.numeric import (
-    band_label, clamp, col, count_where, day_of, half_up, herfindahl, month_text, scale_to_score,
+    band_label, col, count_where, day_of, half_up, herfindahl, month_text, scale_to_score,
     total,
 )
 from tidemark.operators.prefix import latest_n, running, thin
