@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +41,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else beside the warehouse.
+
+    Off a local master a path without a scheme is refused unless it was named, because every executor
+    would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and (
+            "://" not in warehouse and not warehouse.startswith(("hdfs:", "viewfs:"))):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
