@@ -187,7 +187,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches:
 def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     found = cut_lineage(classes(df, doc_id, text))
-    key, digest, length = (free_name(df, f"dedup_{x}") for x in ("key", "digest", "length"))
+    key, digest, length, kept_digest = (free_name(df, f"dedup_{x}") for x in ("key", "digest", "length", "kept"))
     lost = found.where(~F.col("kept")).select(F.col("doc_id").alias(key))
     shared = cut_lineage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
     match = df[doc_id].eqNullSafe(F.col(key))
@@ -196,10 +196,11 @@ def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # A doc_id of several rows doesn't name a row: there the digest decides, and of repeated rows one stays.
     single = df.join(shared, match, "left_anti")
     single = single.join(lost, single[doc_id].eqNullSafe(F.col(key)), "left_anti")
-    stays = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias("of"))
+    stays = found.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(kept_digest))
     several = df.join(shared, match, "left_semi").withColumns({
         digest: digest_of(text), length: F.length(text_of(text))})
-    several = several.join(stays, several[doc_id].eqNullSafe(F.col(key)) & (F.col(digest) == F.col("of")), "left_semi")
+    several = several.join(
+        stays, several[doc_id].eqNullSafe(F.col(key)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
     best = several.groupBy(doc_id, digest).agg(F.max_by(F.struct(*df.columns), length).alias(key))
     return single.unionByName(best.select(*(F.col(key)[c].alias(c) for c in df.columns)))
 

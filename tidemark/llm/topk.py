@@ -9,7 +9,8 @@ below the query's k-th score. Scores are integers, so ties are exact: they go to
 * Vectors that are null, or hold null or non-finite components, take no part. Vectors are compared
   with those of their own length; a query without such a partner has no rows.
 * Null ids take no part. Repeated ids are rows of their own; a query's own row is any row of its id.
-* Empty tables give empty results; other columns are ignored.
+* Scores beyond 64 bits stop at the largest number of 64 bits. Empty tables give empty results; other
+  columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,7 +71,12 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 1 << 24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if most < 1 << 53 else a @ b.astype(np.int64).T
+    if most < 1 << 53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if most < 1 << 63:
+        return a @ b.astype(np.int64).T
+    limit = (1 << 63) - 1
+    return np.clip(a.astype(object) @ b.astype(object).T, -limit, limit).astype(np.int64)
 
 
 def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
