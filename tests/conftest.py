@@ -7,10 +7,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tidemark.session import build_session
 
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
                             spark__ui__enabled="false", spark__driver__memory="8g",
                             spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")

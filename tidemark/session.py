@@ -56,6 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/_shared"
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate data; it can go when the application has ended."""
+    return f"{shared_folder(spark).rstrip('/')}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -64,6 +69,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     costs the step at hand.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
