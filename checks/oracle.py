@@ -161,7 +161,7 @@ C["bets"] = f"""SELECT o_orderkey AS bet_id, o_custkey // 10 AS market_id, o_ord
 
 # --- wallet scores ----------------------------------------------------------------------------
 C["known_closed"] = f"SELECT * FROM closed WHERE resolved_ts IS NULL OR resolved_ts <= {AS_OF}"
-C["seen"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trader_id ORDER BY ts DESC, dedupe_key) AS rn FROM fills) WHERE rn <= 5000"""
+C["seen"] = "SELECT * FROM fills"
 C["fifo1"] = """SELECT *, abs(usd) AS amt, sum(CASE WHEN side='BUY' THEN abs(usd) ELSE 0 END) OVER w AS bought,
  sum(CASE WHEN side='SELL' THEN abs(usd) ELSE 0 END) OVER w AS sold FROM seen
  WINDOW w AS (PARTITION BY trader_id, market_id, outcome_index ORDER BY ts, dedupe_key ROWS UNBOUNDED PRECEDING)"""

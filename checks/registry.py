@@ -199,7 +199,8 @@ BEH = """trader_id:i trade_count:i trades_7d:i trades_30d:i small_trade_share:d
  turnover_ratio:d behaviour_class:s behaviour_confidence:d"""
 entry("behaviour", BEH, lambda w: w.behaviour, "SELECT * FROM behaviour")
 entry("fifo_lots", "trader_id:i market_id:i outcome_index:i buy_ts:i sell_ts:i hold_seconds:i", lambda w: behaviour.fifo_lots(w.seen), "SELECT * FROM lots")
-entry("both_sides_markets", "trader_id:i both_sides_markets:i", lambda w: behaviour.both_sides_markets(w.seen).where("both_sides_markets > 0"), "SELECT * FROM both_bought")
+entry("both_sides_markets", "trader_id:i both_sides_markets:i", lambda w: behaviour.both_sides_markets(w.seen),
+      "SELECT trader_id, coalesce(max(both_sides_markets), 0) AS both_sides_markets FROM (SELECT DISTINCT trader_id FROM seen WHERE side='BUY') LEFT JOIN both_bought USING (trader_id) GROUP BY 1")
 entry("list_traders", "trader_id:i display_name:s smart_score:d open_positions:i", lambda w: traders.list_traders(w.traders, w.scores.select("trader_id", "smart_score"), w.positions),
       "SELECT t.trader_id, t.display_name, s.smart_score, coalesce(o.n,0) AS open_positions FROM trader t LEFT JOIN smart_f s USING (trader_id) LEFT JOIN (SELECT trader_id, count(*) AS n FROM open_p GROUP BY 1) o USING (trader_id) WHERE t.active")
 
@@ -211,10 +212,12 @@ entry("first_buy", "trader_id:i market_id:i outcome_index:i opened_ts:i", lambda
 entry("holders", "market_id:i outcome_index:i trader_id:i smart_score:d category_skill:d size_usd:d avg_price:d opened_ts:i typical_usd:d recent_net_usd:d likely_bot:b", lambda w: w.holders,
       "SELECT *, smart AS smart_score, skill AS category_skill, typical AS typical_usd, net AS recent_net_usd, bot AS likely_bot FROM holders")
 entry("opposing_side", "market_id:i outcome_index:i opposing_count:i qualified_opposing_count:i opposing_exposure_usd:d",
-      lambda w: holders.opposing_totals(holders.one_per_wallet(w.holders, ["market_id"]), ["market_id"], 60.0).where("opposing_count > 0"), "SELECT * FROM cons_opp")
+      lambda w: holders.opposing_totals(holders.one_per_wallet(w.holders, ["market_id"]), ["market_id"], 60.0),
+      """SELECT s.*, coalesce(opposing_count, 0) AS opposing_count, coalesce(qualified_opposing_count, 0) AS qualified_opposing_count, coalesce(opposing_exposure_usd, 0e0) AS opposing_exposure_usd
+      FROM (SELECT DISTINCT market_id, outcome_index FROM holders) s LEFT JOIN cons_opp o USING (market_id, outcome_index)""")
 entry("entry_clusters", "market_id:i outcome_index:i largest_cluster:i", lambda w: holders.entry_clusters(holders.one_per_wallet(w.holders.withColumn("opened_ts", F.col("opened_ts") % 200000), ["market_id"]), ["market_id"]),
-      """SELECT market_id, outcome_index, least(5, max(n)) AS largest_cluster FROM (SELECT a.market_id, a.outcome_index, a.trader_id, count(*) AS n FROM (SELECT * REPLACE (opened_ts % 200000 AS opened_ts) FROM holders) a
-      JOIN (SELECT * REPLACE (opened_ts % 200000 AS opened_ts) FROM holders) b ON a.market_id=b.market_id AND a.outcome_index=b.outcome_index AND (b.trader_id=a.trader_id OR ((b.opened_ts > a.opened_ts OR (b.opened_ts=a.opened_ts AND b.trader_id > a.trader_id))
+      """SELECT market_id, outcome_index, max(n) AS largest_cluster FROM (SELECT a.market_id, a.outcome_index, a.trader_id, count(*) AS n FROM (SELECT * REPLACE (opened_ts % 200000 AS opened_ts) FROM holders) a
+      JOIN (SELECT * REPLACE (opened_ts % 200000 AS opened_ts) FROM holders) b ON a.market_id=b.market_id AND a.outcome_index=b.outcome_index AND (b.trader_id=a.trader_id OR ((b.opened_ts > a.opened_ts OR (b.opened_ts=a.opened_ts AND (b.avg_price > a.avg_price OR (b.avg_price = a.avg_price AND b.trader_id > a.trader_id))))
       AND b.opened_ts - a.opened_ts <= 7200 AND abs(b.avg_price - a.avg_price) <= 0.01e0)) WHERE a.opened_ts IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2""")
 CONS = """market_id:i outcome_index:i trader_count:i qualified_count:i bot_count:i exposure_usd:d opposing_count:i qualified_opposing_count:i opposing_exposure_usd:d bought_24h:d sold_24h:d
  increasing_count:i decreasing_count:i avg_entry_price:d weighted_entry_price:d top_wallet_share:d median_age_hours:d entry_gap:d entry_quality:s consensus:d agreement:d trader_quality:d category_skill:d recency:d"""
@@ -238,14 +241,17 @@ _rules = [("STRONG_CONSENSUS", "POSITIVE", "qualified_count >= 3 AND cons_score
 entry("signal_badges", "market_id:i outcome_index:i type:s tone:s", lambda w: board.signal_badges(w.board),
       " UNION ALL ".join(f"SELECT market_id, outcome_index, '{k}' AS type, '{t}' AS tone FROM board WHERE {c}" for k, t, c in _rules))
 entry("list_opportunities", "market_id:i outcome_index:i opportunity:d", lambda w: board.list_opportunities(w.board, AS_OF, limit=40, min_liquidity=1000, max_spread=0.12, min_traders=2, max_gap_cents=30),
-      "SELECT * FROM (SELECT *, opp_score AS opportunity FROM board WHERE liquidity >= 1000 AND spread <= 0.12e0 AND qualified_count >= 2 ORDER BY opp_score DESC, market_id, outcome_index LIMIT 40) WHERE entry_gap IS NULL OR abs(entry_gap)*100e0 <= 30")
-_cs = f"SELECT * FROM board WHERE settles_ts > {AS_OF} AND settles_ts <= {AS_OF} + 2160000 ORDER BY hor_score DESC NULLS LAST, market_id, outcome_index LIMIT 500"
+      "SELECT *, opp_score AS opportunity FROM board WHERE liquidity >= 1000 AND spread <= 0.12e0 AND qualified_count >= 2 AND (entry_gap IS NULL OR abs(entry_gap)*100e0 <= 30) ORDER BY opp_score DESC, market_id, outcome_index LIMIT 40")
+_cs = f"SELECT * FROM board WHERE settles_ts > {AS_OF} AND settles_ts <= {AS_OF} + 2160000"
 entry("cash_soon", "market_id:i outcome_index:i horizon:d", lambda w: board.cash_soon(w.board, AS_OF, within_hours=600)[0],
       f"SELECT *, hor_score AS horizon FROM ({_cs}) WHERE net_edge_points > 0 ORDER BY hor_score DESC, market_id, outcome_index LIMIT 50")
+for _sort, _by in (("chance", "model_mid DESC NULLS LAST"), ("profit", "effective_price NULLS LAST")):
+    entry(f"cash_soon_{_sort}", "market_id:i outcome_index:i horizon:d", lambda w, sort=_sort: board.cash_soon(w.board, AS_OF, within_hours=600, sort=sort)[0],
+          f"SELECT *, hor_score AS horizon FROM ({_cs}) WHERE net_edge_points > 0 ORDER BY {_by}, market_id, outcome_index LIMIT 50")
 entry("cash_soon_counts", "in_window:i edge_eaten_by_spread:i below_score_floor:i", lambda w: board.cash_soon(w.board, AS_OF, within_hours=600, min_score=30)[1],
       f"SELECT count(*) AS in_window, count(*) FILTER (WHERE net_edge_points IS NULL OR net_edge_points <= 0) AS edge_eaten_by_spread, count(*) FILTER (WHERE net_edge_points > 0 AND hor_score < 30) AS below_score_floor FROM ({_cs})")
 _slate = f"""SELECT *, CASE WHEN kickoff_ts IS NULL THEN 'SEASON_FUTURE' WHEN kickoff_ts > {AS_OF} + 1440000 THEN 'LATER' WHEN untradeable_reason IS NOT NULL THEN 'UNTRADEABLE' WHEN game_phase IN ('IN_PLAY','ENDED') THEN 'IN_PLAY' ELSE 'KEPT' END AS fate
- FROM (SELECT * FROM board WHERE category = 'SPORTS' ORDER BY hor_score DESC NULLS LAST, market_id, outcome_index LIMIT 500)"""
+ FROM (SELECT * FROM board WHERE category = 'SPORTS')"""
 entry("sports_slate_counts", "total_sides:i untradeable:i in_play:i season_futures:i", lambda w: board.sports_slate(w.board, AS_OF, within_hours=400)[1],
       f"SELECT count(*) AS total_sides, count(*) FILTER (WHERE fate='UNTRADEABLE') AS untradeable, count(*) FILTER (WHERE fate='IN_PLAY') AS in_play, count(*) FILTER (WHERE fate='SEASON_FUTURE') AS season_futures FROM ({_slate})")
 entry("games", "game:s kickoff_ts:i sides:i best_market:i best_outcome:i", lambda w: board.games(board.sports_slate(w.board, AS_OF, within_hours=400)[0]),

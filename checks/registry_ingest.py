@@ -11,8 +11,11 @@ from checks.oracle import AS_OF, C, pick, price
 from checks.registry import Workspace, entry
 from tidemark import fixed_values as V
 from tidemark import schemas
+from tidemark.functions import parse as P
+from tidemark.functions import pricing as PR
+from tidemark.functions import sports as SP
 from tidemark.functions import text as TX
-from tidemark.session import shared_folder
+from tidemark.session import cut_lineage, run_folder
 from tidemark.sources import landed, normalize, sinks
 from tidemark.streaming import fills as streams
 from tidemark.views import pick as choose
@@ -22,7 +25,7 @@ TAGS = ["Politics", "Crypto Prices", "NFL", "Fed Rates", "esports", "League of L
 
 def land(w: Workspace, records: DataFrame) -> str:
     """Write records as landed JSON files and return their folder."""
-    path = f"{shared_folder(w.spark)}/landed-{uuid.uuid4().hex}"
+    path = f"{run_folder(w.spark)}/landed-{uuid.uuid4().hex}"
     records.write.json(path)
     return path
 
@@ -56,7 +59,7 @@ C["wire"] = f"""SELECT *, p_partkey AS k, p_partkey // 3 AS e, CASE WHEN p_partk
  CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 = 0 THEN 0e0 WHEN p_partkey % 50 = 7 THEN NULL ELSE 1e0 - {price('p_partkey*37')} END AS w1,
  CASE WHEN (p_partkey // 3) % 8 <> 0 THEN [{pick(TAGS, '(p_partkey // 3)')}, {pick(TAGS, '(p_partkey // 30)')}] ELSE [] END AS tags,
  p_name || ' vs ' || {pick(["bitcoin", "president", "anything", "stock market"], 'p_partkey')} || '?' AS question FROM part"""
-_words = ",".join(f"('{c}','{w}')" for c, t in V.CATEGORY_WORDS.items() for w in t.split())
+_words = ",".join(f"('{c}','{w}')" for c, t in V.CATEGORY_WORDS.items() for w in t)
 _order = "list_position([" + ",".join(f"'{c}'" for c in V.CATEGORY_ORDER) + "], category)"
 C["word_list"] = f"SELECT * FROM (VALUES {_words}) v(category, word)"
 _slug = "regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -65,7 +68,7 @@ _match = "(slug = word OR slug LIKE word || '-%' OR slug LIKE '%-' || word OR sl
 
 def categories(src: str, key: str, tags: str, text: str, name: str) -> None:
     C[f"{name}_tag"] = f"SELECT {key}, {_slug.format('tag')} AS slug, pos FROM (SELECT {key}, unnest({tags}) AS tag, generate_subscripts({tags}, 1) AS pos FROM {src})"
-    C[f"{name}_tagwin"] = f"""SELECT {key}, arg_max(category, {{'s': s, 'o': -{_order}}}) AS c FROM (SELECT {key}, category, sum(wt) AS s FROM (SELECT DISTINCT {key}, pos, category, CASE WHEN slug IN ({','.join(f"'{g}'" for g in V.GENERIC_TAGS.split())}) THEN 1 ELSE 3 END AS wt
+    C[f"{name}_tagwin"] = f"""SELECT {key}, arg_max(category, {{'s': s, 'o': -{_order}}}) AS c FROM (SELECT {key}, category, sum(wt) AS s FROM (SELECT DISTINCT {key}, pos, category, CASE WHEN slug IN ({','.join(f"'{g}'" for g in V.GENERIC_TAGS)}) THEN 1 ELSE 3 END AS wt
  FROM {name}_tag JOIN word_list ON {_match}) GROUP BY 1,2) GROUP BY 1"""
     C[f"{name}_textwin"] = f"""SELECT {key}, arg_max(category, {{'s': s, 'o': -{_order}}}) AS c FROM (SELECT {key}, category, count(*) AS s FROM (SELECT {key}, {_slug.format(text)} AS slug FROM {src}) JOIN word_list ON length(word) >= 4 AND {_match} GROUP BY 1,2) GROUP BY 1"""
     C[f"{name}_cat"] = f"SELECT s.{key}, coalesce(t.c, x.c, CASE WHEN len({tags}) > 0 THEN 'OTHER' ELSE 'UNKNOWN' END) AS category FROM {src} s LEFT JOIN {name}_tagwin t USING ({key}) LEFT JOIN {name}_textwin x USING ({key})"
@@ -77,8 +80,8 @@ entry("normalize_markets", "condition_id:s event_id:s question:s category:s pric
       """SELECT 'c' || k AS condition_id, 'e' || e AS event_id, question, c.category, w0 AS price0, w1 AS price1, CASE WHEN w0 IS NULL THEN 0 ELSE 2 END AS n_prices, 't' || (k*2+1) AS token1, CASE WHEN k % 3 = 0 THEN p_retailprice ELSE p_size END AS liquidity,
       epoch(make_timestamp(2001, 8, (k % 9 + 1)::INT, 10, 0, 0.0))::BIGINT AS end_ts, k % 2 = 0 AS closed, k % 4 = 0 AS resolved, CASE WHEN k % 4 = 0 THEN 0 END AS winner, k % 7 <> 0 AS accepting_orders, CASE WHEN k % 4 IN (1,2) THEN 1000400400 END AS kickoff_ts,
       CASE WHEN list_contains(tags, 'NFL') THEN 'nfl' WHEN list_contains(tags, 'esports') THEN 'esports' END AS league, 35e0 AS clarity_score FROM wire JOIN wirec_cat c USING (k)""")
-entry("dedupe_markets", "condition_id:s event_id:s", lambda w: normalize.dedupe_markets(w.raw("orders").select(F.concat(F.lit("c"), F.floor(F.col("o_custkey") / 4)).alias("condition_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("event_id"))),
-      "SELECT 'c' || (o_custkey // 4) AS condition_id, lpad(max(o_orderkey)::VARCHAR, 12, '0') AS event_id FROM orders GROUP BY 1")
+entry("dedupe_markets", "condition_id:s event_id:s", lambda w: normalize.dedupe_markets(w.raw("orders").select(F.concat(F.lit("c"), F.floor(F.col("o_custkey") / 4)).alias("condition_id"), F.concat(F.lit("e"), F.col("o_orderkey")).alias("event_id"), F.col("o_orderkey").alias("arrival"))),
+      "SELECT 'c' || (o_custkey // 4) AS condition_id, 'e' || max(o_orderkey) AS event_id FROM orders GROUP BY 1")
 # --- text ---------------------------------------------------------------------------------------
 _t = "regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')"
 _pts = "70 + CASE WHEN length(t) < 80 THEN -15 WHEN length(t) > 400 THEN 5 ELSE 0 END + 10" + "".join(f" + CASE WHEN regexp_matches(t, '(?i){p}') THEN {n} ELSE 0 END" for p, _, n in V.AMBIGUITY_TERMS) + "".join(f" + CASE WHEN regexp_matches(t, '(?i){p}') THEN {n} ELSE 0 END" for p, n in V.CLARITY_TERMS)
@@ -93,9 +96,32 @@ def clarity(w: Workspace) -> DataFrame:
 entry("resolution_clarity", "doc_id:i clarity_score:d flags:s", clarity, f"SELECT doc_id, CASE WHEN length(t) = 0 THEN 35e0 ELSE greatest(0, least(100, {_pts})) END AS clarity_score, CASE WHEN length(t) = 0 THEN 'UNPUBLISHED' ELSE {_flags} END AS flags FROM (SELECT doc_id, {_t} AS t FROM documents)")
 C["docs_in"] = "SELECT doc_id, text, []::VARCHAR[] AS tags FROM documents"
 categories("docs_in", "doc_id", "tags", "text", "docc")
-entry("category_from_text", "doc_id:i category:s", lambda w: TX.resolve_category(w.raw("documents").select("doc_id", "text", F.array().cast("array<string>").alias("tags")), "doc_id", "tags", "text"), "SELECT * FROM docc_cat")
-entry("betting_lines", "p_partkey:i line:d team:s", lambda w: w.raw("part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Spread: "), "p_name", F.lit(" ("), F.lit("-"), F.col("p_size"), F.lit(".5)"))).otherwise(F.concat("p_name", F.lit(" 1H O/U "), "p_size")).alias("q"))
-      .select("p_partkey", TX.betting_line("q").alias("line"), TX.spread_team("q").alias("team")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -p_size - 0.5e0 ELSE p_size END AS line, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS team FROM part")
+entry("category_from_text", "doc_id:i category:s", lambda w: TX.resolve_category(w.raw("documents").select("doc_id", "text", F.array().cast("array<string>").alias("tags")), "tags", "text").select("doc_id", "category"), "SELECT * FROM docc_cat")
+entry("quoted_lines", "p_partkey:i line:d team:s", lambda w: w.raw("part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Spread: "), "p_name", F.lit(" ("), F.lit("-"), F.col("p_size"), F.lit(".5)"))).otherwise(F.concat("p_name", F.lit(" 1H O/U "), "p_size")).alias("q"))
+      .select("p_partkey", TX.quoted_line("q").alias("line"), TX.spread_team("q").alias("team")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -p_size - 0.5e0 ELSE p_size END AS line, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS team FROM part")
+
+
+def parsed(w: Workspace) -> DataFrame:
+    """Wallet texts, unix seconds, price pairs and stored curves, good and bad, one set per supplier."""
+    k = F.col("s_suppkey")
+    address = F.when(k % 3 == 0, F.concat(F.lit("0x"), F.lpad(k.cast("string"), 40, "0"))).when(
+        k % 3 == 1, F.concat(F.lit(" 0xAB"), F.lpad(k.cast("string"), 38, "0"), F.lit(" "))).otherwise(F.concat(F.lit("0x"), k))
+    seconds = F.when(k % 8 == 0, 0).when(k % 4 == 0, -k).otherwise(k * 100)
+    stored = F.when(k % 2 == 0, F.concat(
+        F.lit('[{"t": '), k, F.lit(', "p": 0.5}, {"t": null, "p": 0.2}, {"t": '), k + 1, F.lit(', "p": 0.25}]'))).otherwise("[broken")
+    curve = P.curve_of(stored)
+    return w.raw("supplier").select(
+        "s_suppkey", P.is_wallet(address).alias("wallet"), F.unix_seconds(P.unix_timestamp_of(seconds)).alias("ts"),
+        PR.complement(F.lit(None).cast("double"), (k % 64) / F.lit(64.0), F.when(k % 5 != 0, 2)).alias("other_price"),
+        F.size(curve).alias("points"), F.get(curve, F.lit(0))["t"].cast("long").alias("first_t"))
+
+
+C["kind_list"] = "SELECT * FROM (VALUES " + ",".join(f"('{k}','{t}','{n}')" for k, (t, n) in V.SPORTS_KINDS.items()) + ") v(market_type, tier, kind_label)"
+_types = [*V.SPORTS_KINDS, "never_seen_before", ""]
+entry("sports_kinds", "p_partkey:i tier:s kind_label:s", lambda w: w.raw("part").withColumn("t", choose(_types, F.col("p_partkey"))).select("p_partkey", *[c.alias(n) for n, c in SP.market_kind("t").items()]),
+      f"SELECT p_partkey, coalesce(tier, 'EXOTIC') AS tier, coalesce(kind_label, CASE WHEN t = '' THEN 'Other' ELSE 'Never seen before' END) AS kind_label FROM (SELECT p_partkey, {pick(_types, 'p_partkey')} AS t FROM part) LEFT JOIN kind_list ON t = market_type")
+entry("parse_functions", "s_suppkey:i wallet:b ts:i other_price:d points:i first_t:i", parsed, """SELECT s_suppkey, s_suppkey % 3 <> 2 AS wallet, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 100 END AS ts, CASE WHEN s_suppkey % 5 <> 0 THEN 1e0 - (s_suppkey % 64)/64e0 END AS other_price,
+      CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END AS points, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS first_t FROM supplier""")
 
 
 # --- landed positions, settled rows, fills ------------------------------------------------------
@@ -103,13 +129,14 @@ def wire_activity(w: Workspace) -> DataFrame:
     a = w.activity
     return landed.activity(w.spark, land(w, a.select(
         F.concat(F.lit(" 0xAB"), "trader_id").alias("proxyWallet"), F.when(F.col("trader_id") % 19 != 3, F.col("ts")).otherwise(0).alias("timestamp"), F.concat(F.lit("c"), "market_id").alias("conditionId"),
-        F.when(F.col("market_id") % 8 == 1, "BOGUS").otherwise("TRADE").alias("type"), "size", F.col("usd").alias("usdcSize"), "price", "asset", "side", F.col("outcome_index").alias("outcomeIndex"),
+        F.when(F.col("market_id") % 8 == 1, "BOGUS").otherwise("TRADE").alias("type"),
+        F.when(F.col("trader_id") % 7 == 2, F.col("size") * 1e6 + 0.5).when(F.col("trader_id") % 7 == 4, F.col("size") / 16384.0).otherwise(F.col("size")).alias("size"), F.col("usd").alias("usdcSize"), "price", "asset", "side", F.col("outcome_index").alias("outcomeIndex"),
         F.when(F.col("trader_id") % 5 != 1, F.col("dedupe_key")).alias("transactionHash"))))
 
 
 entry("normalize_activity", "dedupe_key:s wallet:s ts:i type:s side:s size:d usd:d", lambda w: normalize.normalize_activity(wire_activity(w)),
-      """SELECT '0xab' || trader_id || ':' || CASE WHEN trader_id % 5 <> 1 THEN dedupe_key ELSE 'no-tx' END || ':t' || (market_id*10+outcome_index) || ':' || CASE WHEN market_id % 8 = 1 THEN 'OTHER' ELSE 'TRADE' END || ':' || side || ':' || ts || ':' || size::BIGINT AS dedupe_key, '0xab' || trader_id AS wallet, ts,
-      CASE WHEN market_id % 8 = 1 THEN 'OTHER' ELSE 'TRADE' END AS type, side, size, usd FROM activity WHERE trader_id % 19 <> 3""")
+      """SELECT '0xab' || trader_id || ':' || CASE WHEN trader_id % 5 <> 1 THEN dedupe_key ELSE 'no-tx' END || ':t' || (market_id*10+outcome_index) || ':' || CASE WHEN market_id % 8 = 1 THEN 'OTHER' ELSE 'TRADE' END || ':' || side || ':' || ts || ':' || CASE WHEN trader_id % 7 = 2 THEN (size::BIGINT*1000000) || '.5' WHEN trader_id % 7 = 4 THEN rtrim(printf('%.14f', size/16384e0), '0') ELSE size::BIGINT::VARCHAR END AS dedupe_key, '0xab' || trader_id AS wallet, ts,
+      CASE WHEN market_id % 8 = 1 THEN 'OTHER' ELSE 'TRADE' END AS type, side, CASE WHEN trader_id % 7 = 2 THEN size*1e6 + 0.5e0 WHEN trader_id % 7 = 4 THEN size/16384e0 ELSE size END AS size, usd FROM activity WHERE trader_id % 19 <> 3""")
 entry("new_activity", "dedupe_key:s", lambda w: landed.new_activity(w.activity, w.activity.where("ts <= 950000000"), "trader_id", "ts"), "SELECT dedupe_key FROM activity a LEFT JOIN (SELECT trader_id, max(ts) AS mk2 FROM activity WHERE ts <= 950000000 GROUP BY 1) USING (trader_id) WHERE mk2 IS NULL OR ts >= mk2")
 
 
@@ -192,55 +219,63 @@ entry("close_vanished", "trader_id:i asset:s size:d is_open:b", lambda w: sinks.
 entry("resolution_stamp", "market_id:i resolved_ts:i", lambda w: sinks.resolution_stamp(w.markets, w.markets.where("market_id % 4 <> 0"), AS_OF), f"SELECT market_id, CASE WHEN resolved AND market_id % 4 = 0 THEN least(coalesce(end_ts, {AS_OF}), {AS_OF}) WHEN market_id % 4 <> 0 THEN resolved_ts END AS resolved_ts FROM market")
 
 
-def stored_runs(w: Workspace) -> DataFrame:
-    path = f"{shared_folder(w.spark)}/runs-{uuid.uuid4().hex}"
-    for run_id, kind, at in (("r1", "single", 100), ("r2", "single", 200), ("r3", "sweep", 150)):
-        sinks.store_run(w.signals, run_id, kind, at, path)
-    return sinks.latest_runs(sinks.delete_run(w.spark.read.parquet(path), "none"))
+def stored_runs(w: Workspace, delete: str | None = None) -> DataFrame:
+    """Three stored runs of different size, less one that is deleted."""
+    path = f"{run_folder(w.spark)}/runs-{uuid.uuid4().hex}"
+    for run_id, kind, at, days in (("r1", "single", 100, 1), ("r2", "single", 200, 2), ("r3", "sweep", 150, 14)):
+        sinks.store_run(w.signals.where(F.col("horizon_days") <= days), run_id, kind, at, path)
+    if delete:
+        sinks.delete_run(w.spark, path, delete)
+    return w.spark.read.parquet(path)
 
 
-entry("latest_runs", "kind:s run_id:s", stored_runs, "SELECT 'single' AS kind, 'r2' AS run_id FROM (SELECT count(*) AS n FROM signal) WHERE n > 0 UNION ALL SELECT 'sweep', 'r3' FROM (SELECT count(*) AS n FROM signal) WHERE n > 0")
+C["stored_run"] = "SELECT * FROM signal s JOIN (VALUES ('r1','single',100,1),('r2','single',200,2),('r3','sweep',150,14)) r(run_id, kind, created_ts, days) ON s.horizon_days <= r.days"
+entry("list_runs", "run_id:s kind:s created_ts:i signals:i", lambda w: sinks.list_runs(stored_runs(w)), "SELECT run_id, kind, created_ts, count(*) AS signals FROM stored_run GROUP BY ALL")
+entry("latest_runs", "kind:s run_id:s", lambda w: sinks.latest_runs(stored_runs(w)), "SELECT kind, arg_max(run_id, created_ts) AS run_id FROM stored_run GROUP BY 1")
+entry("delete_run", "run_id:s horizon_days:i market_id:i outcome_index:i", lambda w: stored_runs(w, "r2"), "SELECT run_id, horizon_days, market_id, outcome_index FROM stored_run WHERE run_id <> 'r2'")
 
 
 # --- streams ------------------------------------------------------------------------------------
-def landed_stream(w: Workspace) -> tuple[DataFrame, str]:
-    """All fills, some of them twice, as landed files read by a stream."""
-    base = f"{shared_folder(w.spark)}/stream-{uuid.uuid4().hex}"
-    cols = [c.split()[0] for c in schemas.FILLS.replace("\n", " ").split(", ")]
-    twice = w.activity.unionByName(w.activity.where("trader_id % 3 = 0")).select(*[F.col(c) for c in cols])
+LATE = 900 * 86400
+
+
+def landed_stream(w: Workspace, files_per_trigger: int = 2) -> tuple[DataFrame, str]:
+    """All fills as landed files in time order, a third at a time; some come again with the next third."""
+    base = f"{run_folder(w.spark)}/stream-{uuid.uuid4().hex}"
     typed = [F.col(c.split()[0]).cast(c.split()[1]) for c in schemas.FILLS.replace("\n", " ").split(", ")]
-    twice.select(*typed).coalesce(4).write.parquet(f"{base}/in")
-    return streams.landed_fills(w.spark, f"{base}/in"), base
+    at = w.activity.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    third = F.least(F.floor((F.col("ts") - at["low"]) * 3 / F.lit(at["high"] - at["low"] + 1)), F.lit(2))
+    again = w.activity.withColumn("third", third + 1).where("trader_id % 3 = 0 and third < 3")
+    staged = cut_lineage(w.activity.withColumn("third", third).unionByName(again))
+    for k in range(3):  # later files are newer, so the stream reads them later
+        staged.where(F.col("third") == k).select(*typed).repartition(2).write.mode("append").parquet(f"{base}/in")
+    return streams.landed_fills(w.spark, f"{base}/in", files_per_trigger), base
 
 
 def stream_dedupe(w: Workspace) -> DataFrame:
     fills, base = landed_stream(w)
-    streams.append_to(streams.deduped(fills, "5000 days"), f"{base}/out", f"{base}/cp").awaitTermination()
+    streams.append_to(streams.deduped(fills, f"{LATE} seconds"), f"{base}/out", f"{base}/cp").awaitTermination()
     return w.spark.read.parquet(f"{base}/out")
 
 
-def stream_windows(w: Workspace) -> DataFrame:
+def stream_windows(w: Workspace, length: str, slide: str | None) -> DataFrame:
     fills, base = landed_stream(w)
-    streams.append_to(streams.tape_windows(fills, "1 day", None, "1 hour"), f"{base}/out", f"{base}/cp").awaitTermination()
+    once = streams.deduped(fills, f"{LATE} seconds")
+    streams.append_to(streams.tape_windows(once, length, slide, None), f"{base}/out", f"{base}/cp").awaitTermination()
     return w.spark.read.parquet(f"{base}/out")
 
 
 def stream_positions(w: Workspace) -> DataFrame:
-    """The state after every trigger is written under its batch; the newest row of a holding is its position."""
     fills, base = landed_stream(w)
-    once = fills.where("trader_id % 3 <> 0")
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-
-    (streams.running_positions(once).writeStream.outputMode("update").foreachBatch(store)
-     .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination())
-    return w.spark.read.parquet(f"{base}/out/*")
+    streams.store_positions(fills, f"{base}/state", f"{base}/cp", LATE).awaitTermination()
+    return streams.positions(w.spark, f"{base}/state")
 
 
 entry("stream_dedupe", "dedupe_key:s", stream_dedupe, "SELECT DISTINCT dedupe_key FROM activity")
-entry("stream_tape_windows", "market_id:i outcome_index:i window_start:i fills:i usd:d", stream_windows,
-      "SELECT market_id, outcome_index, ts // 86400 * 86400 AS window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT * FROM activity UNION ALL SELECT * FROM activity WHERE trader_id % 3 = 0) GROUP BY 1,2,3 HAVING ts // 86400 * 86400 + 86400 <= (SELECT max(ts) - 3600 FROM activity)"
-      .replace("HAVING ts // 86400 * 86400", "HAVING window_start"))
-C["fold_all"] = C["fold"].replace("q.market_id, q.signal_ts, a.trader_id", "a.market_id, a.trader_id").replace("FROM asked q JOIN activity a ON a.market_id = q.market_id AND a.ts <= q.signal_ts GROUP BY 1,2,3,4", "FROM activity a WHERE trader_id % 3 <> 0 GROUP BY 1,2,3").replace("FILTER (WHERE a.ts >= q.signal_ts - 86400)", "")
+_tape = f"""SELECT market_id, outcome_index, window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT *, unnest({{starts}}) AS window_start FROM activity) GROUP BY 1,2,3
+ HAVING window_start + {{length}} <= (SELECT max(ts) - {LATE} FROM activity)"""
+entry("stream_tape_windows", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 day", None), _tape.format(starts="[ts // 86400 * 86400]", length=86400))
+entry("stream_tape_sliding", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 hour", "5 minutes"),
+      _tape.format(starts="list_transform(range(0, 12), lambda k: (ts // 300 - k) * 300)", length=3600))
+C["fold_all"] = C["fold"].replace("q.market_id, q.signal_ts, a.trader_id", "a.market_id, a.trader_id").replace("FROM asked q JOIN activity a ON a.market_id = q.market_id AND a.ts <= q.signal_ts GROUP BY 1,2,3,4", "FROM activity a GROUP BY 1,2,3").replace("FILTER (WHERE a.ts >= q.signal_ts - 86400)", "")
 entry("stream_positions", "trader_id:i market_id:i outcome_index:i shares:d cost_usd:d first_buy_ts:i", stream_positions, "SELECT trader_id, market_id, outcome_index, st.s AS shares, st.c AS cost_usd, first_buy_ts FROM fold_all")

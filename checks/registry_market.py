@@ -85,7 +85,12 @@ entry("pre_trade_findings", "market_id:i outcome_index:i live_edge_points:d find
 
 # --- bets ---------------------------------------------------------------------------------------
 entry("close_bets", "bet_id:i closing_price:d clv_points:d clv_source:s", lambda w: w.measured_bets, "SELECT * FROM clv")
-entry("settle_manual", "bet_id:i won:b pnl:d", lambda w: bets.settle_manual(w.bets, w.markets), "SELECT bet_id, outcome_index = winner AS won, CASE WHEN outcome_index = winner THEN stake/entry_price - stake ELSE -stake END AS pnl FROM bets JOIN market USING (market_id) WHERE source='MANUAL' AND resolved AND winner IS NOT NULL")
+def partly_settled(w: Workspace):
+    """Bets of which every fifth was settled by an earlier pass."""
+    return w.bets.withColumn("won", F.when(F.col("bet_id") % 5 == 0, F.col("bet_id") % 2 == 0))
+
+
+entry("settle_manual", "bet_id:i won:b pnl:d", lambda w: bets.settle_manual(partly_settled(w), w.markets), "SELECT bet_id, outcome_index = winner AS won, CASE WHEN outcome_index = winner THEN stake/entry_price - stake ELSE -stake END AS pnl FROM bets JOIN market USING (market_id) WHERE source='MANUAL' AND bet_id % 5 <> 0 AND resolved AND winner IS NOT NULL")
 
 
 def one_wallet(w: Workspace):
@@ -93,11 +98,11 @@ def one_wallet(w: Workspace):
 
 
 C["settled_asset"] = "SELECT asset, any_value(won) FILTER (WHERE won IS NOT NULL) AS won, sum(realized_pnl) AS realized_pnl FROM closed GROUP BY 1"
-C["imported"] = "SELECT b.bet_id, b.stake, s.won, s.realized_pnl * (b.stake/sum(b.stake) OVER (PARTITION BY asset)) AS pnl FROM bets b JOIN settled_asset s USING (asset) WHERE b.source='WALLET' AND s.won IS NOT NULL"
-entry("settle_imported", "bet_id:i won:b pnl:d", lambda w: bets.settle_imported(w.bets, one_wallet(w)), "SELECT * FROM imported")
+C["imported"] = "SELECT b.bet_id, b.stake, s.won, s.realized_pnl * (b.stake/sum(b.stake) OVER (PARTITION BY asset)) AS pnl FROM bets b JOIN settled_asset s USING (asset) WHERE b.source='WALLET' AND b.bet_id % 5 <> 0 AND s.won IS NOT NULL"
+entry("settle_imported", "bet_id:i won:b pnl:d", lambda w: bets.settle_imported(partly_settled(w), one_wallet(w)), "SELECT * FROM imported")
 entry("logged_positions", "market_id:i outcome_index:i bets:i total_stake:d average_price:d", lambda w: bets.logged_positions(w.bets), "SELECT market_id, outcome_index, count(*) AS bets, sum(stake) AS total_stake, sum(stake*entry_price)/sum(stake) AS average_price FROM bets GROUP BY 1,2")
 entry("logged_on_board", "market_id:i outcome_index:i bets:i total_stake:d", lambda w: bets.logged_on_board(w.bets, w.board), "SELECT b.market_id, b.outcome_index, count(x.bet_id) AS bets, coalesce(sum(stake),0e0) AS total_stake FROM board b LEFT JOIN bets x ON x.market_id=b.market_id AND x.outcome_index=b.outcome_index GROUP BY 1,2")
-entry("bet_totals", "bets:i staked:d settled:i wins:i pnl:d", lambda w: bets.bet_totals(bets.settle_imported(w.bets, one_wallet(w))), "SELECT count(*) AS bets, sum(stake) AS staked, count(won) AS settled, count(*) FILTER (WHERE won) AS wins, sum(pnl) AS pnl FROM imported")
+entry("bet_totals", "bets:i staked:d settled:i wins:i pnl:d", lambda w: bets.bet_totals(bets.settle_imported(partly_settled(w), one_wallet(w))), "SELECT count(*) AS bets, sum(stake) AS staked, count(won) AS settled, count(*) FILTER (WHERE won) AS wins, sum(pnl) AS pnl FROM imported")
 
 
 def decided(w: Workspace):
@@ -167,15 +172,15 @@ entry("resolved_events", "market_id:i dedupe_key:s magnitude_usd:d", lambda w: e
       "SELECT m.market_id, 'resolved:' || m.market_id AS dedupe_key, coalesce(sum(p.current_value),0e0) AS magnitude_usd FROM market m LEFT JOIN open_p p ON p.market_id - 1 = m.market_id WHERE m.resolved AND m.market_id % 4 <> 0 GROUP BY 1")
 ALERT_CFG = {"alerts": {"max_hours": 700.0, "min_win": 0.2, "min_edge_points": 0.5, "min_score": 20.0, "min_liquidity": 500.0, "kickoff_hours": 500.0}}
 C["opp_alert"] = f"""SELECT CASE WHEN kickoff_ts > {AS_OF} AND kickoff_ts - {AS_OF} <= 1800000 THEN 'KICKOFF_SOON' ELSE 'OPPORTUNITY' END AS kind, CASE WHEN kickoff_ts > {AS_OF} AND kickoff_ts - {AS_OF} <= 1800000 THEN 'kickoff:' ELSE 'opp:' END || market_id || '-' || outcome_index || ':2001-08-01' AS dedupe_key
- FROM (SELECT * FROM board WHERE settles_ts > {AS_OF} AND net_edge_points > 0 ORDER BY hor_score DESC, market_id, outcome_index LIMIT 100) WHERE settles_ts - {AS_OF} <= 2520000 AND net_edge_points >= 0.5e0 AND model_mid >= 0.2e0 AND hor_score >= 20 AND qualified_count >= 2 AND liquidity >= 500 AND effective_price > 0"""
+ FROM board WHERE settles_ts > {AS_OF} AND settles_ts - {AS_OF} <= 2520000 AND net_edge_points >= 0.5e0 AND model_mid >= 0.2e0 AND hor_score >= 20 AND qualified_count >= 2 AND liquidity >= 500 AND effective_price > 0"""
 entry("opportunity_alerts", "kind:s dedupe_key:s", lambda w: events.opportunity_alerts(w.board, AS_OF, ALERT_CFG), "SELECT * FROM opp_alert")
-C["set_alert"] = f"SELECT 'BET_SETTLED' AS kind, 'settled:' || bet_id AS dedupe_key FROM (SELECT b.bet_id FROM bets b JOIN imported i USING (bet_id) WHERE b.placed_ts >= {AS_OF} - 2592000 ORDER BY b.placed_ts DESC, b.bet_id LIMIT 50)"
-entry("settlement_alerts", "kind:s dedupe_key:s", lambda w: events.settlement_alerts(bets.settle_imported(w.bets, one_wallet(w)), AS_OF), "SELECT * FROM set_alert")
+C["set_alert"] = f"SELECT 'BET_SETTLED' AS kind, 'settled:' || bet_id AS dedupe_key FROM (SELECT b.bet_id FROM bets b JOIN imported i USING (bet_id) WHERE b.placed_ts >= {AS_OF} - 2592000)"
+entry("settlement_alerts", "kind:s dedupe_key:s", lambda w: events.settlement_alerts(bets.settle_imported(partly_settled(w), one_wallet(w)), AS_OF), "SELECT * FROM set_alert")
 entry("freshness", "last_ts:i age_hours:d stale:b", lambda w: events.freshness(w.markets, "last_synced_ts", AS_OF), f"SELECT max(last_synced_ts) AS last_ts, ({AS_OF} - max(last_synced_ts))/3600e0 AS age_hours, ({AS_OF} - max(last_synced_ts))/3600e0 >= 3 AS stale FROM market")
 
 
 def all_alerts(w: Workspace):
-    settled = bets.settle_imported(w.bets, one_wallet(w))
+    settled = bets.settle_imported(partly_settled(w), one_wallet(w))
     old = events.freshness(w.snapshots.where(F.col("captured_ts") <= AS_OF - 40000), "captured_ts", AS_OF)
     kinds = [events.opportunity_alerts(w.board, AS_OF, ALERT_CFG), events.settlement_alerts(settled, AS_OF), events.clv_alert(bets.clv_summary(w.measured_bets)), events.stale_alert(old, AS_OF)]
     raised = w.bets.where("bet_id % 4 = 0").select(F.concat_ws(":", F.lit("settled"), "bet_id").alias("dedupe_key"))
@@ -190,17 +195,17 @@ entry("feed", "dedupe_key:s display_name:s question:s", lambda w: events.feed(ev
 
 # --- watchlist and retention --------------------------------------------------------------------
 def public_holders(w: Workspace):
-    return w.tape.select((F.col("ts") % 20).alias("market_id"), "wallet", F.col("size").alias("shares"), F.when(F.col("ts") % 3 == 0, F.concat(F.lit("n"), F.col("wallet"))).alias("name"))
+    return w.tape.select("market_id", "wallet", F.col("size").alias("shares"), F.when(F.col("ts") % 3 == 0, F.concat(F.lit("n"), F.col("wallet"))).alias("name"))
 
 
-C["found_h"] = """SELECT wallet, market_id, category, sum(size) AS shares, max('n' || wallet) FILTER (WHERE ts % 3 = 0) AS name FROM (SELECT wallet, size, ts, ts % 20 AS market_id FROM tape WHERE size >= 100 AND wallet NOT IN (SELECT wallet FROM trader)) t
- JOIN (SELECT market_id, category FROM market WHERE volume > 0 ORDER BY volume DESC, market_id LIMIT 300) m USING (market_id) GROUP BY 1,2,3"""
+C["found_h"] = """SELECT wallet, market_id, category, sum(size) AS shares, max('n' || wallet) FILTER (WHERE ts % 3 = 0) AS name FROM (SELECT wallet, size, ts, market_id FROM tape WHERE size >= 100 AND wallet NOT IN (SELECT wallet FROM trader)) t
+ JOIN (SELECT market_id, category FROM market WHERE volume > 0) m USING (market_id) GROUP BY 1,2,3"""
 C["found_c"] = "SELECT wallet, category, count(*) AS n, rank() OVER (PARTITION BY wallet ORDER BY count(*) DESC) AS r FROM found_h GROUP BY 1,2"
 entry("discover_holders", "wallet:s display_name:s specialty:s markets:i shares:d", lambda w: watchlist.discover_holders(w.markets, public_holders(w), w.traders),
       """SELECT h.wallet, coalesce(max(name), substr(h.wallet,1,6) || '...' || right(h.wallet,4)) AS display_name, any_value(c.specialty) AS specialty, count(*) AS markets, sum(shares) AS shares FROM found_h h
-      JOIN (SELECT wallet, CASE WHEN count(*) > 1 THEN 'UNKNOWN' ELSE any_value(category) END AS specialty FROM found_c WHERE r = 1 GROUP BY 1) c ON c.wallet=h.wallet GROUP BY 1 HAVING count(*) >= 2 ORDER BY markets DESC, shares DESC, wallet LIMIT 400""")
-entry("discover_tape", "wallet:s markets:i notional:d", lambda w: watchlist.discover_tape(w.tape.withColumn("market_id", F.col("ts") % 7), w.traders),
-      "SELECT wallet, count(DISTINCT ts % 7) AS markets, sum(size*price) AS notional FROM tape WHERE size*price >= 50 AND wallet NOT IN (SELECT wallet FROM trader) GROUP BY 1 HAVING count(DISTINCT ts % 7) >= 2 ORDER BY markets DESC, notional DESC, wallet LIMIT 300")
+      JOIN (SELECT wallet, CASE WHEN count(*) > 1 THEN 'UNKNOWN' ELSE any_value(category) END AS specialty FROM found_c WHERE r = 1 GROUP BY 1) c ON c.wallet=h.wallet GROUP BY 1 HAVING count(*) >= 2""")
+entry("discover_tape", "wallet:s markets:i notional:d", lambda w: watchlist.discover_tape(w.tape, w.traders),
+      "SELECT wallet, count(DISTINCT market_id) AS markets, sum(size*price) AS notional FROM tape WHERE size*price >= 50 AND wallet NOT IN (SELECT wallet FROM trader) GROUP BY 1 HAVING count(DISTINCT market_id) >= 2")
 entry("leaderboard_new", "wallet:s", lambda w: watchlist.new_leaderboard_wallets(w.tape.select("wallet"), w.traders), "SELECT DISTINCT wallet FROM tape WHERE wallet NOT IN (SELECT wallet FROM trader)")
 C["tiered"] = f"""SELECT *, CASE WHEN last_synced_ts IS NULL THEN 'NEW' WHEN last_activity_ts IS NULL OR {AS_OF}-last_activity_ts > 7776000 THEN 'DORMANT' WHEN has_sync_error THEN 'COLD' WHEN coalesce(stored_score,0) >= 60 AND {AS_OF}-last_activity_ts <= 172800 THEN 'HOT'
  WHEN {AS_OF}-last_activity_ts <= 1209600 OR coalesce(stored_score,0) >= 45 THEN 'WARM' ELSE 'COLD' END AS tier FROM trader"""
@@ -212,9 +217,9 @@ entry("refresh_candidates", "trader_id:i tier:s closed_depth:i fill_depth:i", la
 entry("refresh_counts", "selected:i deferred:i not_due:i", lambda w: _cand(w)[1], "SELECT (SELECT count(*) FROM chosen) AS selected, count(*) FILTER (WHERE due) - (SELECT count(*) FROM chosen) AS deferred, count(*) FILTER (WHERE NOT due) AS not_due FROM duelist")
 entry("cap_watchlist", "trader_id:i", lambda w: watchlist.cap_watchlist(w.traders, w.traders.select("trader_id", F.col("stored_score").alias("smart_score")), 60), "SELECT trader_id FROM trader WHERE source='MANUAL' OR trader_id IN (SELECT trader_id FROM trader WHERE source<>'MANUAL' ORDER BY stored_score DESC NULLS LAST, last_activity_ts DESC NULLS LAST, trader_id LIMIT 60)")
 entry("keep_recent", "dedupe_key:s", lambda w: watchlist.keep_recent(w.activity, "ts", 365, AS_OF), f"SELECT dedupe_key FROM activity WHERE ts >= {AS_OF} - 365*86400")
-entry("keep_markets", "market_id:i", lambda w: watchlist.keep_markets(w.markets, w.positions, w.closed.where("market_id % 4 = 0"), w.bets.where("market_id % 6 = 0"), 300, AS_OF),
-      f"SELECT market_id FROM market WHERE NOT coalesce(resolved AND resolved_ts < {AS_OF} - 300*86400 AND market_id NOT IN (SELECT market_id FROM open_p) AND market_id NOT IN (SELECT market_id FROM closed WHERE market_id % 4 = 0) AND market_id NOT IN (SELECT market_id FROM bets WHERE market_id % 6 = 0), false)")
-entry("stale_markets", "market_id:i", lambda w: watchlist.stale_markets(w.markets, w.positions, AS_OF), f"SELECT market_id FROM market WHERE NOT resolved AND (last_synced_ts IS NULL OR last_synced_ts < {AS_OF}-3600) AND market_id IN (SELECT market_id FROM open_p) ORDER BY last_synced_ts NULLS FIRST, market_id LIMIT 200")
+entry("keep_markets", "market_id:i", lambda w: watchlist.keep_markets(w.markets, w.positions, w.closed, w.bets, 300, AS_OF),
+      f"SELECT market_id FROM market WHERE NOT coalesce(resolved AND resolved_ts < {AS_OF} - 300*86400 AND market_id NOT IN (SELECT market_id FROM open_p) AND market_id NOT IN (SELECT market_id FROM closed) AND market_id NOT IN (SELECT market_id FROM bets), false)")
+entry("stale_markets", "market_id:i", lambda w: watchlist.stale_markets(w.markets, w.positions, AS_OF), f"SELECT market_id FROM market WHERE NOT resolved AND (last_synced_ts IS NULL OR last_synced_ts < {AS_OF}-3600) AND market_id IN (SELECT market_id FROM open_p)")
 _orph = lambda w: w.activity.select("dedupe_key", F.concat(F.lit("c"), F.col("market_id") * (1 + F.col("trader_id") % 2)).alias("condition_id"), F.when(F.col("trader_id") % 3 == 0, F.col("market_id")).alias("market_id"))
 C["orphan"] = "SELECT a.dedupe_key, 'c' || (a.market_id*(1 + a.trader_id % 2)) AS condition_id, CASE WHEN a.trader_id % 3 = 0 THEN a.market_id END AS market_id FROM activity a"
 entry("relink", "dedupe_key:s market_id:i", lambda w: watchlist.relink(_orph(w), w.markets), "SELECT o.dedupe_key, coalesce(o.market_id, m.market_id) AS market_id FROM orphan o LEFT JOIN market m USING (condition_id)")
@@ -231,9 +236,28 @@ entry("curve_summary", "market_id:i outcome_index:i points:i first_t:i last_t:i"
 def plans(w: Workspace):
     asked = w.traders.select(F.col("trader_id").alias("plan_id"), (F.col("trader_id") % 40 + 3.0).alias("bankroll"), F.when(F.col("trader_id") % 2 == 0, "EQUAL").otherwise("SCORE_WEIGHTED").alias("method"),
                              (F.col("trader_id") % 6 + 1).alias("max_positions"), F.lit(1.0).alias("min_ticket"), F.lit(0.4).alias("max_share"))
-    offered = w.activity.where("side = 'BUY'").select(F.col("trader_id").alias("plan_id"), F.xxhash64("dedupe_key").alias("candidate_id"), "price", (F.col("size") * 2.0).alias("score"))
+    offered = w.activity.where("side = 'BUY'").select(F.col("trader_id").alias("plan_id"), F.col("dedupe_key").alias("candidate_id"), "price", (F.col("size") * 2.0).alias("score"))
     return allocation.allocation_plans(asked, offered)
 
 
-entry("allocation_plans", "plan_id:i candidate_id:i price:d stake_usd:d shares:d chance_all_win:d chance_any_wins:d", plans, None)
+C["asked_plan"] = """SELECT trader_id AS plan_id, trader_id % 40 + 3e0 AS bankroll, trader_id % 2 = 0 AS equal, trader_id % 6 + 1 AS max_positions FROM trader"""
+C["plan_line"] = """SELECT * FROM (SELECT p.*, a.dedupe_key AS candidate_id, a.price, a.size*2e0 AS score, row_number() OVER (PARTITION BY plan_id ORDER BY a.size*2e0 DESC, a.dedupe_key) AS i
+ FROM asked_plan p JOIN activity a ON a.trader_id = p.plan_id WHERE a.side = 'BUY' AND a.price > 0 AND a.price < 1) WHERE i <= least(max_positions, floor(bankroll))"""
+# Weights as lists per plan: the limit is found by trying every number of held-back lines, the funded lines by trying every length.
+C["plan_list"] = """SELECT plan_id, bankroll, count(*) AS n, list(candidate_id ORDER BY i) AS ids, list(price ORDER BY i) AS prices,
+ CASE WHEN any_value(equal) THEN list(1e0/n0 ORDER BY i) ELSE list(score/total ORDER BY i) END AS w, greatest(0.4e0, 1e0/count(*)) AS cap
+ FROM (SELECT *, count(*) OVER (PARTITION BY plan_id) AS n0, sum(score) OVER (PARTITION BY plan_id) AS total FROM plan_line) GROUP BY 1,2"""
+C["plan_cut"] = """SELECT *, list_filter(range(0, n), lambda k: (1e0 - k*cap) / list_sum(w[k+1:]) * w[k+1] <= cap + 1e-9)[1] AS k FROM plan_list"""
+C["plan_share"] = """SELECT *, list_transform(range(1, n+1), lambda j: CASE WHEN j <= k THEN cap ELSE (1e0 - k*cap) / list_sum(w[k+1:]) * w[j] END) AS s FROM plan_cut"""
+C["plan_row"] = """SELECT plan_id, bankroll, ids[j] AS candidate_id, prices[j] AS price, s[j] AS share, j,
+ row_number() OVER (PARTITION BY plan_id ORDER BY s[j] DESC, j DESC) AS place FROM (SELECT *, unnest(range(1, n+1)) AS j FROM plan_share)"""
+C["plan_kept"] = """SELECT r.* FROM plan_row r JOIN (SELECT plan_id, max(place) AS m FROM (SELECT a.plan_id, a.place, a.bankroll*a.share/sum(b.share) AS stake FROM plan_row a JOIN plan_row b ON a.plan_id=b.plan_id AND b.place <= a.place
+ GROUP BY a.plan_id, a.place, a.bankroll, a.share) WHERE stake >= 1e0 - 1e-9 OR place = 1 GROUP BY 1) USING (plan_id) WHERE place <= m"""
+_c2 = "(floor(({0} + 2.220446049250313e-16)*100e0 + 0.5e0)/100e0)"
+C["plan_stake"] = f"""SELECT *, {_c2.format('bankroll - sum(st) OVER (PARTITION BY plan_id)')} AS drift, row_number() OVER (PARTITION BY plan_id ORDER BY st DESC, j) AS f
+ FROM (SELECT *, {_c2.format('(bankroll*share/sum(share) OVER (PARTITION BY plan_id))')} AS st FROM plan_kept)"""
+C["plan_done"] = f"SELECT *, CASE WHEN f = 1 AND abs(drift) >= 0.01e0 AND {_c2.format('(st + drift)')} >= 1 THEN {_c2.format('(st + drift)')} ELSE st END AS stake_usd FROM plan_stake"
+entry("allocation_plans", "plan_id:i candidate_id:s price:d stake_usd:d shares:d profit_if_wins:d pct_of_bankroll:d chance_all_win:d chance_any_wins:d", plans,
+      f"""SELECT plan_id, candidate_id, price, stake_usd, {_c2.format('stake_usd/price')} AS shares, {_c2.format('(stake_usd/price - stake_usd)')} AS profit_if_wins, {_c2.format('(stake_usd/bankroll*100e0)')} AS pct_of_bankroll,
+      product(price) OVER (PARTITION BY plan_id) AS chance_all_win, 1e0 - product(1e0 - price) OVER (PARTITION BY plan_id) AS chance_any_wins FROM plan_done""")
 entry("allocation_totals", "plan_id:i staked:d", lambda w: plans(w).groupBy("plan_id").agg(F.sum("stake_usd").alias("staked")), "SELECT t.trader_id AS plan_id, t.trader_id % 40 + 3e0 AS staked FROM trader t WHERE trader_id IN (SELECT trader_id FROM activity WHERE side='BUY')")

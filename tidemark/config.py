@@ -30,7 +30,8 @@ DEFAULTS: dict[str, Any] = {
         "scalp_hold_seconds": 1800, "low_held_share": 0.2,
         "both_sides_markets": 8, "small_trade_usd": 25.0, "small_trade_share": 0.6,
         "high_turnover": 5.0,
-        "fills_considered": 5000,
+        # None: all fills; a number keeps each trader's newest ones.
+        "fills_considered": None,
     },
     "consensus": {
         "weights": {
@@ -88,7 +89,7 @@ DEFAULTS: dict[str, Any] = {
     "snapshot": {"price_move": 0.005, "liquidity_move": 0.05, "position_move": 0.02,
                  "max_age_seconds": 21600},
     "feed": {"min_usd": 500.0, "min_change": 0.15, "shift": 15.0, "crossed_gap": 0.1,
-             "cluster_entrants": 3, "keep_days": 90},
+             "cluster_entrants": 3},
     "alerts": {
         "max_hours": 48.0, "min_win": 0.4, "min_edge_points": 2.0, "min_score": 60.0,
         "min_qualified": 2, "min_liquidity": 5000.0, "kickoff_hours": 3.0, "stale_hours": 3.0,
@@ -97,16 +98,17 @@ DEFAULTS: dict[str, Any] = {
     "deep_dive": {"stakes": (1.0, 10.0, 50.0), "moved_points": 1.0, "thin_top_usd": 25.0,
                   "shrunk_points": 0.5, "shallow_points": 2.0, "max_leg_spread": 0.1},
     "clv": {"min_sample": 5, "z": 1.96, "max_needed": 5000, "slice_gate": 8, "relation_gate": 12},
-    "bets": {"settle_delay_seconds": 600, "lookback_days": 30, "newest": 50},
+    "bets": {"settle_delay_seconds": 600, "lookback_days": 30, "newest": None},
     "selection": {
         "new_share": 0.25, "hot_score": 60.0, "warm_score": 45.0,
         "hot_hours": 48.0, "warm_hours": 336.0, "dormant_hours": 2160.0,
     },
-    "discover": {"markets": 300, "min_shares": 100.0, "min_markets": 2, "max_new": 400,
-                 "tape_min_usd": 50.0, "tape_min_markets": 2, "tape_max_new": 300},
+    # None: no limit.
+    "discover": {"markets": None, "min_shares": 100.0, "min_markets": 2, "max_new": None,
+                 "tape_min_usd": 50.0, "tape_min_markets": 2, "tape_max_new": None},
     "backtest": {
         "horizons": (1, 2, 3, 5, 7, 14), "min_price": 0.05, "max_price": 0.95, "min_holders": 1,
-        "max_markets": 600, "max_price_age_hours": 24.0,
+        "max_price_age_hours": 24.0,
         "iterations": 2000, "min_band_size": 20, "seed": 20260910,
         "alpha": 0.05, "min_signals": 100, "replication_share": 0.6,
     },

@@ -1,4 +1,4 @@
-"""Text scans: resolution clarity, category from tags or question, betting lines."""
+"""Text scans: resolution clarity, category from tags or question, quoted lines."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ def resolution_clarity(description, source) -> dict[str, Column]:
                 F.array_compact(F.array(*flags)))}
 
 
-def betting_line(question) -> Column:
+def quoted_line(question) -> Column:
     """The number in an over/under or a parenthesised spread (PRJ-26)."""
     question = col(question)
     total = F.regexp_extract(question, r"(?i)O/U\s*([+-]?\d+(?:\.\d+)?)", 1)
@@ -58,20 +58,6 @@ def spread_team(question) -> Column:
     return F.when(team != "", team)
 
 
-def word_table(spark, words: dict[str, str] | None = None) -> DataFrame:
-    """The (category, word) dimension; pass ``words`` to use other lists."""
-    rows = [(name, word) for name, text in (words or V.CATEGORY_WORDS).items()
-            for word in text.split()]
-    return spark.createDataFrame(rows, "category string, word string")
-
-
-def _winner(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Best-scoring category per key, the one first in the fixed order on a tie."""
-    order = F.array(*[F.lit(c) for c in V.CATEGORY_ORDER])
-    rank = -F.array_position(order, F.col("category"))
-    return scores.groupBy(*keys).agg(F.max_by("category", F.struct(score, rank)).alias("winner"))
-
-
 def _listed_runs(parts: Column, words: list[str]) -> Column:
     """Runs of consecutive parts of a slug that are listed words, each once.
 
@@ -96,35 +82,43 @@ def _listed_runs(parts: Column, words: list[str]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[runs_of(n, w) for n, w in sorted(by_length.items())])))
 
 
-def resolve_category(df: DataFrame, key: str, tags: str, question: str,
-                     words: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with ``category``: weighted tags first, then the question text (FN-12)."""
-    table = F.broadcast(word_table(df.sparkSession, words))  # fixed, about 220 rows
-    listed = sorted({w for text in (words or V.CATEGORY_WORDS).values() for w in text.split()})
-    generic = V.GENERIC_TAGS.split()
-
-    has_tags = F.exists(F.coalesce(F.col(tags), F.array().cast("array<string>")),
-                        lambda t: F.length(t) > 0)
-    tagged = (df.select(key, F.posexplode(tags).alias("_at", "_tag"))
-              .select(key, "_at", slug_of("_tag").alias("_slug")).where(F.col("_slug") != ""))
-    weight = F.when(F.col("_slug").isin(generic), V.GENERIC_TAG_WEIGHT) \
-        .otherwise(V.SPECIFIC_TAG_WEIGHT)
-    split = tagged.select(key, "_at", weight.alias("_w"), F.split("_slug", "-").alias("_parts"))
-    tag_scores = (
-        split.select(key, "_at", "_w", F.explode(_listed_runs(F.col("_parts"), listed)).alias("word"))
-        .join(table, "word").groupBy(key, "_at", "category").agg(F.max("_w").alias("_w"))
-        .groupBy(key, "category").agg(F.sum("_w").alias("_score")))
-    from_tags = _winner(tag_scores, [key], "_score").withColumnRenamed("winner", "_from_tags")
-
-    prose = table.where(F.length("word") >= V.PROSE_WORD_LENGTH)
-    # The words are a column of their own, so that the runs do not split the text again each.
-    words_of = df.select(key, F.split(slug_of(question), "-").alias("_parts"))
-    text_scores = (
-        words_of.select(key, F.explode(_listed_runs(F.col("_parts"), listed)).alias("word")).join(prose, "word")
-        .groupBy(key, "category").agg(F.count_distinct("word").alias("_score")))
-    from_text = _winner(text_scores, [key], "_score").withColumnRenamed("winner", "_from_text")
-
-    fallback = F.when(has_tags, "OTHER").otherwise("UNKNOWN")
-    return (df.join(from_tags, key, "left").join(from_text, key, "left")
-            .withColumn("category", F.coalesce("_from_tags", "_from_text", fallback))
-            .drop("_from_tags", "_from_text"))
+def _best(scores: dict[str, Column]) -> Column:
+    """The category with the highest positive score; of equal ones the first in the fixed order."""
+    top = F.greatest(*scores.values())
+    chosen = F.when(top <= 0, F.lit(None))
+    for name in V.CATEGORY_ORDER:
+        chosen = chosen.when(scores[name] == top, name)
+    return chosen
+
+
+def resolve_category(df: DataFrame, tags: str, question: str,
+                     words: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with ``category``: weighted tags first, then the question text (FN-12).
+
+    A row's category needs nothing but the row, so this is one projection: no join and no shuffle.
+    """
+    words = words or V.CATEGORY_WORDS
+    listed = sorted({w for some in words.values() for w in some})
+    given = F.filter(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda t: F.length(t) > 0)
+    slugs = F.filter(F.transform(given, lambda t: slug_of(t)), lambda t: t != "")
+    weighed = F.transform(slugs, lambda slug: F.struct(
+        F.when(slug.isin(V.GENERIC_TAGS), V.GENERIC_TAG_WEIGHT).otherwise(V.SPECIFIC_TAG_WEIGHT).alias("weight"),
+        _listed_runs(F.split(slug, "-"), listed).alias("hits")))
+    # The intermediate arrays are columns, so that each category does not look for them again.
+    names = {"_tag_hits": weighed, "_text_hits": _listed_runs(
+        F.col("_parts"), [w for w in listed if len(w) >= V.PROSE_WORD_LENGTH])}
+    staged = df.withColumn("_parts", F.split(slug_of(question), "-")).withColumns(names)
+
+    def from_tags(name: str) -> Column:
+        own = F.array(*map(F.lit, words[name]))
+        return F.aggregate("_tag_hits", F.lit(0), lambda total, tag: total + F.when(
+            F.arrays_overlap(tag["hits"], own), tag["weight"]).otherwise(0))
+
+    def from_text(name: str) -> Column:
+        return F.size(F.array_intersect("_text_hits", F.array(*map(F.lit, words[name]))))
+
+    order = V.CATEGORY_ORDER
+    fallback = F.when(F.size(given) > 0, "OTHER").otherwise("UNKNOWN")
+    return staged.withColumn("category", F.coalesce(
+        _best({n: from_tags(n) for n in order}),
+        _best({n: F.coalesce(from_text(n), F.lit(0)) for n in order}), fallback)).drop("_parts", *names)

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
 from tidemark.functions.numeric import count_where, total
-from tidemark.operators.prefix import latest_n
+from tidemark.operators.prefix import exact_median, latest_n, running, running_extreme
 from tidemark.session import cut_lineage
 
 DAY = 86400
 SIDE = ["trader_id", "market_id", "outcome_index"]
+# A stretch of the notional axis in micro-USD: 65 536 USD.
+AXIS = 65_536_000_000
 
 
 def considered_fills(activity: DataFrame, as_of, cfg=None) -> DataFrame:
-    """Each trader's newest fills up to the clock, as many as behaviour looks at (WIN-10)."""
+    """The fills behaviour looks at: all up to the clock, or each trader's newest (WIN-10)."""
     n = merge_config(cfg)["behaviour"]["fills_considered"]
     known = activity.where(F.col("ts") <= as_of)
+    if n is None:
+        return known
     return latest_n(known, ["trader_id"], [F.desc("ts"), F.asc("dedupe_key")], n, ["dedupe_key"])
 
 
@@ -27,31 +30,28 @@ def fifo_lots(fills: DataFrame, keys: list[str] = SIDE) -> DataFrame:
 
     Buys and sells are laid on one axis of cumulative notional; what was sold without being held
     is left out by the running minimum of the net. The sorted end points of both sides cut the
-    axis into pieces that each belong to one buy and one sell, so matching needs no join. Input is
-    the bounded set of fills per trader that behaviour looks at.
+    axis into pieces that each belong to one buy and one sell, so matching needs no join. Along the
+    axis neither side's times decrease, so the buy and the sell that end next are running minima
+    from the far end. Every running value is taken on two levels, by day and by stretch of the axis.
     """
-    order = ["ts", "dedupe_key"]
-    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    amount = F.abs(F.col("usd"))
-    buy = F.when(F.col("side") == "BUY", amount).otherwise(0.0)
-    sell = F.when(F.col("side") == "SELL", amount).otherwise(0.0)
-    totals = (fills.where((amount > 0) & F.col("side").isin("BUY", "SELL"))
-              .withColumns({"_bought": F.sum(buy).over(upto), "_sold": F.sum(sell).over(upto)})
-              .withColumn("_net", F.col("_bought") - F.col("_sold"))
-              .withColumn("_lost", F.greatest(F.lit(0.0), -F.min("_net").over(upto))))
-    is_buy = F.col("side") == "BUY"
-    micro = F.round(F.when(is_buy, F.col("_bought")).otherwise(F.col("_sold") - F.col("_lost"))
-                    * 1e6).cast("long")
+    order, day = ["ts", "dedupe_key"], F.floor(F.col("ts") / F.lit(DAY))
+    amount, is_buy = F.abs(F.col("usd")), F.col("side") == "BUY"
+    traded = fills.where((amount > 0) & F.col("side").isin("BUY", "SELL")).select(
+        *keys, "ts", "dedupe_key", "side", amount.alias("_usd"))
+    totals = running(traded, keys, day, order, {
+        "_bought": F.when(is_buy, F.col("_usd")).otherwise(0.0),
+        "_sold": F.when(is_buy, 0.0).otherwise(F.col("_usd"))})
+    totals = running_extreme(totals, keys, day, order, "_least", F.col("_bought") - F.col("_sold"), False)
+    lost = F.greatest(F.lit(0.0), -F.col("_least"))
+    micro = F.round(F.when(is_buy, F.col("_bought")).otherwise(F.col("_sold") - lost) * 1e6).cast("long")
     points = (totals.withColumn("_at", micro).groupBy(*keys, "_at").agg(
         F.min(F.when(is_buy, F.col("ts"))).alias("_buy"),
         F.min(F.when(~is_buy, F.col("ts"))).alias("_sell")).where(F.col("_at") > 0))
-    onward = (W.partitionBy(*keys).orderBy(F.desc("_at"))
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (points.withColumns({"buy_ts": F.last("_buy", ignorenulls=True).over(onward),
-                                "sell_ts": F.last("_sell", ignorenulls=True).over(onward)})
-            .where(F.col("buy_ts").isNotNull() & F.col("sell_ts").isNotNull())
-            .select(*keys, "_at", "buy_ts", "sell_ts",
-                    (F.col("sell_ts") - F.col("buy_ts")).alias("hold_seconds")))
+    stretch, onward = -F.floor(F.col("_at") / F.lit(AXIS)), [F.desc("_at")]
+    for name, ends in (("buy_ts", "_buy"), ("sell_ts", "_sell")):
+        points = running_extreme(points, keys, stretch, onward, name, F.col(ends), False)
+    return points.where(F.col("buy_ts").isNotNull() & F.col("sell_ts").isNotNull()).select(
+        *keys, "_at", "buy_ts", "sell_ts", (F.col("sell_ts") - F.col("buy_ts")).alias("hold_seconds"))
 
 
 def both_sides_markets(fills: DataFrame) -> DataFrame:
@@ -75,9 +75,7 @@ def behaviour_metrics(fills: DataFrame, closed: DataFrame, portfolio: DataFrame,
                      count_where(amount > 0)).alias("small_trade_share"),
         total(F.when(age <= 30 * DAY, amount)).alias("notional_30d"),
         F.count_distinct("market_id").alias("distinct_markets"))
-    # At most ``fills_considered`` matches per trader, so the built-in exact median is bounded.
-    holds = fifo_lots(fills).groupBy("trader_id").agg(
-        F.median("hold_seconds").alias("median_hold_seconds"))
+    holds = exact_median(fifo_lots(fills), ["trader_id"], "hold_seconds", "median_hold_seconds")
     settled = closed.groupBy("trader_id").agg(
         F.count(F.lit(1)).alias("settled_count"), F.count("won").alias("held_count"))
     return (counts.join(both_sides_markets(fills), "trader_id", "left")

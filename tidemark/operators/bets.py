@@ -69,28 +69,33 @@ def close_bets(bets: DataFrame, curves: DataFrame, as_of: int, cfg=None) -> Data
     return priced.unionByName(waiting, allowMissingColumns=True)
 
 
+def unsettled(bets: DataFrame) -> DataFrame:
+    """Bets whose result is not known yet; a table without results has only such."""
+    return bets.where(F.col("won").isNull()) if "won" in bets.columns else bets
+
+
 def settle_manual(bets: DataFrame, markets: DataFrame) -> DataFrame:
     """Outcome and profit of manual bets on resolved markets (PRJ-24)."""
     ended = markets.where(F.col("resolved") & F.col("winner").isNotNull()).select("market_id", "winner")
     won = F.col("outcome_index") == F.col("winner")
     paid = won & (F.col("entry_price") > 0)
-    return (bets.where(F.col("source") == "MANUAL").join(ended, "market_id")
+    return (unsettled(bets).where(F.col("source") == "MANUAL").join(ended, "market_id")
             .withColumns({"won": won, "pnl": F.when(
                 paid, F.col("stake") / F.col("entry_price") - F.col("stake"))
                 .otherwise(-F.col("stake"))}).drop("winner"))
 
 
 def settle_imported(bets: DataFrame, closed: DataFrame) -> DataFrame:
-    """Settled profit of a token shared among its imported bets by stake (AGG-35).
+    """Settled profit of a token shared among its unsettled imported bets by stake (AGG-35).
 
     The stakes of a token are summed by a plain aggregation and joined back, so a token with very
     many bets is never gathered in one window.
     """
-    own = bets.where((F.col("source") == "WALLET") & F.col("asset").isNotNull())
+    own = unsettled(bets).where((F.col("source") == "WALLET") & F.col("asset").isNotNull())
     stakes = own.groupBy("asset").agg(F.sum("stake").alias("_all"))
     settled = closed.where(F.col("won").isNotNull()).select("asset", "won", "realized_pnl")
     share = F.when(F.col("_all") > 0, F.col("stake") / F.col("_all")).otherwise(1.0)
-    return (own.join(stakes.join(settled, "asset"), "asset")
+    return (own.drop("won").join(stakes.join(settled, "asset"), "asset")
             .withColumn("pnl", F.col("realized_pnl") * share).drop("_all", "realized_pnl"))
 
 

@@ -13,7 +13,7 @@ from tidemark.functions.numeric import (
 from tidemark.functions.pricing import (
     effective_price, entry_gap, model_estimate, payout, quotes, risk,
 )
-from tidemark.operators.prefix import running
+from tidemark.operators.prefix import numbered
 from tidemark.operators.scores import attach_score, points_if
 
 SIDE = ["market_id", "outcome_index"]
@@ -222,14 +222,8 @@ def with_side_quote(sides: DataFrame) -> DataFrame:
 
 
 def rank_board(board: DataFrame, score: str = "opportunity") -> DataFrame:
-    """Position by score, then market and outcome (WIN-5).
-
-    Ranks are numbered inside (score, range of market ids) groups and offset by the rows before
-    them, so the numbering needs no single-task sort.
-    """
-    bucket = F.struct((-F.col(score)).alias("minus"),
-                      F.floor(F.col("market_id") / F.lit(100000)).alias("range"))
-    ranked = running(board, [], bucket, ["market_id", "outcome_index"], index="rank")
+    """Position by score, then market and outcome (WIN-5); ids may be of any ordered type."""
+    ranked = numbered(board, [], [F.desc(score), F.asc("market_id"), F.asc("outcome_index")], "rank")
     return ranked.withColumn("rank", F.col("rank") + 1)
 
 
@@ -264,8 +258,8 @@ def list_opportunities(board: DataFrame, as_of, limit: int = 100, categories=Non
                        max_spread=None, resolves_within_hours=None, max_gap_cents=None) -> DataFrame:
     """Best-scored listed sides under the list filters (FLT-4).
 
-    The entry-gap filter applies after the limit. ``min_trader_score`` and bot exclusion are
-    not read-time filters.
+    All filters apply before the limit. ``min_trader_score`` and bot exclusion are not read-time
+    filters.
     """
     kept = board
     if categories:
@@ -279,11 +273,10 @@ def list_opportunities(board: DataFrame, as_of, limit: int = 100, categories=Non
     if resolves_within_hours is not None:
         end = F.col("end_ts")
         kept = kept.where((end > as_of) & (end <= as_of + int(resolves_within_hours * 3600)))
-    kept = kept.orderBy(F.desc("opportunity"), *SIDE).limit(limit)
     if max_gap_cents is not None:
         gap = F.col("entry_gap")
         kept = kept.where(gap.isNull() | (F.abs(gap) * 100.0 <= max_gap_cents))
-    return kept
+    return kept.orderBy(F.desc("opportunity"), *SIDE).limit(limit)
 
 
 CASH_SOON_ORDER = {
@@ -294,37 +287,35 @@ CASH_SOON_ORDER = {
 
 def cash_soon(board: DataFrame, as_of, within_hours: float = 168, categories=None,
               min_score: float | None = None, require_edge: bool = True, sort: str = "perDay",
-              limit: int = 50, page: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Sides settling soon, and the counts of what was left out (FLT-5, TOP-1)."""
+              limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Sides settling soon, and the counts of what was left out, over the whole window (FLT-5, TOP-1)."""
     until = as_of + int(within_hours * 3600)
     window = board.where((F.col("settles_ts") > as_of) & (F.col("settles_ts") <= until))
     if categories:
         window = window.where(F.col("category").isin(list(categories)))
     direction, column = CASH_SOON_ORDER[sort]
     order = [direction(column), *SIDE]
-    first = window.orderBy(*order).limit(page)
     eaten = (F.coalesce(F.col("net_edge_points") <= 0, F.lit(True)) if require_edge
              else F.lit(False))
     below = (F.coalesce("horizon", F.lit(0.0)) < min_score if min_score is not None
              else F.lit(False))
-    counts = first.agg(F.count(F.lit(1)).alias("in_window"),
-                       count_where(eaten).alias("edge_eaten_by_spread"),
-                       count_where(~eaten & below).alias("below_score_floor"))
-    return first.where(~eaten & ~below).orderBy(*order).limit(limit), counts
+    counts = window.agg(F.count(F.lit(1)).alias("in_window"),
+                        count_where(eaten).alias("edge_eaten_by_spread"),
+                        count_where(~eaten & below).alias("below_score_floor"))
+    return window.where(~eaten & ~below).orderBy(*order).limit(limit), counts
 
 
 def sports_slate(board: DataFrame, as_of, within_hours: float = 96, tradeable_only: bool = True,
-                 exclude_in_play: bool = True, page: int = 500) -> tuple[DataFrame, DataFrame]:
+                 exclude_in_play: bool = True) -> tuple[DataFrame, DataFrame]:
     """Sports sides of upcoming games, and the counts of what was left out (FLT-6)."""
-    first = (board.where(F.col("category") == "SPORTS")
-             .orderBy(F.desc_nulls_last("horizon"), *SIDE).limit(page))
+    sports = board.where(F.col("category") == "SPORTS")
     until = as_of + int(within_hours * 3600)
     phase = F.col("game_phase").isin("IN_PLAY", "ENDED")
     fate = (F.when(F.col("kickoff_ts").isNull(), "SEASON_FUTURE")
             .when(F.col("kickoff_ts") > until, "LATER")
             .when(F.lit(tradeable_only) & ~F.col("tradeable"), "UNTRADEABLE")
             .when(F.lit(exclude_in_play) & phase, "IN_PLAY").otherwise("KEPT"))
-    judged = first.withColumn("_fate", fate)
+    judged = sports.withColumn("_fate", fate)
     counts = judged.agg(
         F.count(F.lit(1)).alias("total_sides"),
         count_where(F.col("_fate") == "UNTRADEABLE").alias("untradeable"),
@@ -334,19 +325,15 @@ def sports_slate(board: DataFrame, as_of, within_hours: float = 96, tradeable_on
 
 
 def games(slate: DataFrame, limit: int = 40) -> DataFrame:
-    """Slate grouped by event, soonest kickoff first, best side first inside (TOP-2).
-
-    The slate is a page of at most 500 rows, so the per-game arrays are bounded.
-    """
+    """Slate grouped by event, soonest kickoff first, with each game's best side (TOP-2)."""
     key = F.coalesce(F.col("event_id").cast("string"), F.col("event_slug"),
                      F.col("market_id").cast("string"))
-    entry = F.struct((-F.coalesce("horizon", F.lit(0.0))).alias("minus_horizon"), "market_id",
-                     "outcome_index")
+    order = F.struct((-F.coalesce("horizon", F.lit(0.0))).alias("minus"), "market_id", "outcome_index")
     return (slate.withColumn("game", key).groupBy("game").agg(
         F.min("kickoff_ts").alias("kickoff_ts"), F.count(F.lit(1)).alias("sides"),
-        F.array_sort(F.collect_list(entry)).alias("_rows"))
-        .withColumn("best_market", F.col("_rows")[0]["market_id"])
-        .withColumn("best_outcome", F.col("_rows")[0]["outcome_index"])
+        F.min(order).alias("_best"))
+        .select("game", "kickoff_ts", "sides", F.col("_best.market_id").alias("best_market"),
+                F.col("_best.outcome_index").alias("best_outcome"))
         .orderBy(F.asc_nulls_last("kickoff_ts"), "game").limit(limit))
 
 

@@ -102,15 +102,13 @@ def qualifies(as_of: int, cfg=None):
         & (c("effective_price") > 0) & (c("effective_price") < 1), F.lit(False))
 
 
-def opportunity_alerts(board: DataFrame, as_of: int, cfg=None, page: int = 100) -> DataFrame:
-    """Alerts for the best sides settling soon, kickoff ones first in urgency (TOP-7, EVT-4)."""
+def opportunity_alerts(board: DataFrame, as_of: int, cfg=None) -> DataFrame:
+    """Alerts for the sides settling soon that qualify, kickoff ones first in urgency (TOP-7, EVT-4)."""
     a = merge_config(cfg)["alerts"]
-    first = (board.where((F.col("settles_ts") > as_of) & (F.col("net_edge_points") > 0))
-             .orderBy(F.desc_nulls_last("horizon"), *SIDE).limit(page))
     kickoff = (F.col("kickoff_ts") - as_of) / 3600.0
     soon = F.coalesce((kickoff > 0) & (kickoff <= a["kickoff_hours"]), F.lit(False))
     subject = F.concat_ws("-", "market_id", "outcome_index")
-    return first.where(qualifies(as_of, cfg)).select(
+    return board.where((F.col("net_edge_points") > 0) & qualifies(as_of, cfg)).select(
         F.when(soon, "KICKOFF_SOON").otherwise("OPPORTUNITY").alias("kind"),
         F.concat_ws(":", F.when(soon, "kickoff").otherwise("opp"), subject,
                     day_text(F.lit(as_of))).alias("dedupe_key"),
@@ -118,11 +116,11 @@ def opportunity_alerts(board: DataFrame, as_of: int, cfg=None, page: int = 100)
 
 
 def settlement_alerts(bets: DataFrame, as_of: int, cfg=None) -> DataFrame:
-    """One alert per recently placed bet that has settled, newest first (EVT-5)."""
+    """One alert per recently placed bet that has settled (EVT-5)."""
     b = merge_config(cfg)["bets"]
     recent = bets.where(F.col("won").isNotNull()
                         & (F.col("placed_ts") >= as_of - b["lookback_days"] * 86400))
-    newest = recent.orderBy(F.desc("placed_ts"), "bet_id").limit(b["newest"])
+    newest = recent if b["newest"] is None else recent.orderBy(F.desc("placed_ts"), "bet_id").limit(b["newest"])
     return newest.select(F.lit("BET_SETTLED").alias("kind"),
                          F.concat_ws(":", F.lit("settled"), "bet_id").alias("dedupe_key"),
                          F.lit("low").alias("priority"))

@@ -79,10 +79,10 @@ def holder_weight(cfg):
 def one_per_wallet(holders: DataFrame, keys: list[str]) -> DataFrame:
     """Largest position of every wallet on a side (AGG-13). Combines map-side."""
     rest = [c for c in holders.columns if c not in {*keys, "outcome_index"}]
-    order = F.struct(F.coalesce("size_usd", F.lit(0.0)), -F.col("trader_id"))
+    order = F.struct((-F.coalesce("size_usd", F.lit(0.0))).alias("minus"), "trader_id")
     best = (holders.withColumn("_wallet", F.lower("wallet"))
             .groupBy(*keys, "outcome_index", "_wallet")
-            .agg(F.max_by(F.struct(*rest), order).alias("_row")))
+            .agg(F.min_by(F.struct(*rest), order).alias("_row")))
     return best.select(*keys, "outcome_index", "_row.*")
 
 
@@ -117,43 +117,34 @@ def opposing_totals(unique: DataFrame, keys: list[str], qualified_score: float,
         (F.col("_tusd") - F.col("_usd") + F.col("_usd2")).alias("opposing_exposure_usd"))
 
 
-SATURATED = 5
-
-
 def entry_clusters(unique: DataFrame, keys: list[str], cfg=None) -> DataFrame:
     """Largest run of entries within two hours and one cent of an earlier one, per side (JOIN-11).
 
-    The penalty built on it is ``min(10, 2 * cluster)``, so it stops growing at five: a value of 5
-    stands for five or more. Entries are put into cells narrower than the limits. A cell with five
-    entries settles its side outright; in every other side each cell holds at most four, so the
-    neighbour lookup is bounded and no side is ever paired with itself in full.
+    Entries at one second and price are counted first and looked up by that weight. Points are put
+    into cells narrower than the limits and meet only the points of neighbouring cells, so a side is
+    never paired with itself; a crowded cell is a skewed join key that AQE splits. Of entries at one
+    second the lower price counts as the earlier.
     """
     c = merge_config(cfg)["consensus"]
     span, near = c["cluster_hours"] * 3600, c["cluster_price"]
     side = [*keys, "outcome_index"]
-    dated = (unique.where(F.col("opened_ts").isNotNull() & F.col("avg_price").isNotNull())
-             .select(*side, "trader_id", "opened_ts", "avg_price",
-                     F.floor(F.col("opened_ts") / F.lit(span)).alias("_tc"),
-                     F.floor(F.col("avg_price") / (near * 0.78125)).alias("_pc")))
-    crowded = (dated.groupBy(*side, "_tc", "_pc").agg(F.count(F.lit(1)).alias("_k"))
-               .groupBy(*side).agg(F.max("_k").alias("_k")).where(F.col("_k") >= SATURATED)
-               .select(*side, F.lit(SATURATED).cast("long").alias("largest_cluster")))
-    sparse = dated.join(crowded.select(*side), side, "left_anti")
-    anchors = sparse.select(
-        *side, F.col("trader_id").alias("_a"), F.col("opened_ts").alias("_at"),
-        F.col("avg_price").alias("_ap"),
-        F.explode(F.array(*[F.struct((F.col("_tc") + dt).alias("_tc"), (F.col("_pc") + dp).alias("_pc"))
-                            for dt in (0, 1) for dp in (-2, -1, 0, 1, 2)])).alias("_cell"))
-    anchors = anchors.select("*", "_cell._tc", "_cell._pc").drop("_cell")
+    dated = unique.where(F.col("opened_ts").isNotNull() & F.col("avg_price").isNotNull())
+    points = dated.groupBy(*side, "opened_ts", "avg_price").agg(F.count(F.lit(1)).alias("_k")).withColumns({
+        "_tc": F.floor(F.col("opened_ts") / F.lit(span)),
+        "_pc": F.floor(F.col("avg_price") / (near * 0.78125))})
+    neighbours = F.array(*[F.struct((F.col("_tc") + dt).alias("_tc"), (F.col("_pc") + dp).alias("_pc"))
+                           for dt in (0, 1) for dp in (-2, -1, 0, 1, 2)])
+    anchors = points.select(
+        *side, F.col("opened_ts").alias("_at"), F.col("avg_price").alias("_ap"), F.col("_k").alias("_own"),
+        F.explode(neighbours).alias("_cell")).select("*", "_cell._tc", "_cell._pc").drop("_cell")
     later = ((F.col("opened_ts") > F.col("_at"))
-             | ((F.col("opened_ts") == F.col("_at")) & (F.col("trader_id") > F.col("_a"))))
-    joined = anchors.join(sparse, [*side, "_tc", "_pc"])
+             | ((F.col("opened_ts") == F.col("_at")) & (F.col("avg_price") > F.col("_ap"))))
     close = (later & (F.col("opened_ts") - F.col("_at") <= span)
              & (F.abs(F.col("avg_price") - F.col("_ap")) <= near))
-    small = (joined.groupBy(*side, "_a").agg((F.count_if(close) + 1).alias("_k"))
-             .groupBy(*side).agg(F.least(F.max("_k"), F.lit(SATURATED).cast("long"))
-                                 .alias("largest_cluster")))
-    return crowded.unionByName(small)
+    met = anchors.join(points, [*side, "_tc", "_pc"])
+    return (met.groupBy(*side, "_at", "_ap").agg(
+        (F.max("_own") + F.coalesce(F.sum(F.when(close, F.col("_k"))), F.lit(0))).alias("_size"))
+        .groupBy(*side).agg(F.max("_size").alias("largest_cluster")))
 
 
 def side_holders(positions: DataFrame, traders: DataFrame, scores: DataFrame) -> DataFrame:

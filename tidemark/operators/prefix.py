@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 BUCKET = "_bucket"
 
 
@@ -61,6 +63,25 @@ def running_extreme(df: DataFrame, keys: list[str], bucket: Column, order: list,
             .drop(BUCKET, "_v", "_c"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """``df`` with each row's 0-based place in ``order`` within its key, for order columns of any type.
+
+    Rows are dealt by range, numbered inside their range, and shifted by the rows of the key in
+    earlier ranges, so neither a hot key nor the absence of keys leads to one task. ``order`` must
+    end in a column that makes rows unique within a key.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*keys, *order).withColumn(BUCKET, F.spark_partition_id()))
+    carry = (dealt.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_c", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
+             .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BUCKET).alias("_k_bucket"), "_c"))
+    same = F.col(BUCKET) == F.col("_k_bucket")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = dealt.withColumn(name, F.row_number().over(_inside(keys, order)).cast("long") - 1)
+    return (placed.join(carry, same).withColumn(name, F.col(name) + F.col("_c"))
+            .drop(BUCKET, "_k_bucket", "_c", *[f"_k_{k}" for k in keys]))
+
+
 def latest_n(df: DataFrame, keys: list[str], order: list, n: int | Column, salt: list[str],
              splits: int = 32) -> DataFrame:
     """The first ``n`` rows of every key in the given order (WIN-10); ``n`` may differ by key.

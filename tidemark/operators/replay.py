@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import day_of
+from tidemark.functions.pricing import complement
 from tidemark.operators.asof import asof_last
 from tidemark.operators.prefix import running, running_extreme
 from tidemark.session import cut_lineage
@@ -138,7 +139,7 @@ def observed_price(queries: DataFrame, curves: DataFrame, snapshots: DataFrame,
 
     def completed(own: str, zero: str, one: str):
         other = F.when(first, F.col(one)).otherwise(F.col(zero))
-        return F.coalesce(F.col(own), F.when(pair, 1.0 - other))
+        return complement(own, other, F.when(pair, 2))
 
     from_snapshot = F.col("source") == "snapshot"
     return (joined.withColumn("source", source).where(F.col("source").isNotNull()).withColumns({

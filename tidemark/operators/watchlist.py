@@ -12,16 +12,22 @@ from tidemark.functions.numeric import count_where
 from tidemark.functions.parse import wallet_of
 
 
+def first_rows(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    """The first ``n`` rows; all of them, in any order, if ``n`` is None."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def discover_holders(markets: DataFrame, holders: DataFrame, traders: DataFrame,
                      cfg=None) -> DataFrame:
-    """New wallets that hold several of the highest-volume markets (AGG-25, SET-4).
+    """New wallets that hold several traded markets, or of the largest ones (AGG-25, SET-4).
 
     ``holders`` has market_id, wallet, shares and optionally a public name. The specialty is the
     most frequent category among a wallet's markets, unknown on a tie.
     """
     d = merge_config(cfg)["discover"]
-    sampled = (markets.where(F.col("volume") > 0).orderBy(F.desc("volume"), "market_id")
-               .limit(d["markets"]).select("market_id", "category", "volume"))
+    traded = markets.where(F.col("volume") > 0)
+    sampled = first_rows(traded, [F.desc("volume"), "market_id"], d["markets"]).select(
+        "market_id", "category", "volume")
     held = (holders.where(F.col("shares") >= d["min_shares"])
             .withColumn("wallet", wallet_of("wallet")).where(F.col("wallet") != "")
             .join(sampled, "market_id"))
@@ -42,9 +48,9 @@ def discover_holders(markets: DataFrame, holders: DataFrame, traders: DataFrame,
     first, second = F.get("_c", F.lit(0)), F.get("_c", F.lit(1))
     tie = second.isNotNull() & (first["n"] == second["n"])
     fallback = F.concat(F.substring("wallet", 1, 6), F.lit("..."), F.right("wallet", F.lit(4)))
-    return (ranked.join(traders.select("wallet"), "wallet", "left_anti")
-            .where(F.col("markets") >= d["min_markets"])
-            .orderBy(F.desc("markets"), F.desc("shares"), "wallet").limit(d["max_new"])
+    new = ranked.join(traders.select("wallet"), "wallet", "left_anti").where(
+        F.col("markets") >= d["min_markets"])
+    return (first_rows(new, [F.desc("markets"), F.desc("shares"), "wallet"], d["max_new"])
             .select("wallet", F.coalesce("name", fallback).alias("display_name"),
                     F.when(first.isNull() | tie, "UNKNOWN").otherwise(first["category"])
                     .alias("specialty"), "markets", "shares", F.lit("HOLDERS").alias("source")))
@@ -58,10 +64,10 @@ def discover_tape(trades: DataFrame, traders: DataFrame, cfg=None) -> DataFrame:
             .where((F.col("_usd") >= d["tape_min_usd"]) & (F.col("wallet") != ""))
             .groupBy("wallet", "market_id").agg(F.sum("_usd").alias("_usd"))
             .groupBy("wallet").agg(F.count(F.lit(1)).alias("markets"), F.sum("_usd").alias("notional")))
-    return (seen.join(traders.select("wallet"), "wallet", "left_anti")
-            .where(F.col("markets") >= d["tape_min_markets"])
-            .orderBy(F.desc("markets"), F.desc("notional"), "wallet").limit(d["tape_max_new"])
-            .withColumns({"specialty": F.lit("UNKNOWN"), "source": F.lit("HOLDERS")}))
+    new = seen.join(traders.select("wallet"), "wallet", "left_anti").where(
+        F.col("markets") >= d["tape_min_markets"])
+    return first_rows(new, [F.desc("markets"), F.desc("notional"), "wallet"], d["tape_max_new"]).withColumns(
+        {"specialty": F.lit("UNKNOWN"), "source": F.lit("HOLDERS")})
 
 
 def new_leaderboard_wallets(leaderboard: DataFrame, traders: DataFrame) -> DataFrame:
@@ -151,12 +157,12 @@ def keep_markets(markets: DataFrame, positions: DataFrame, closed: DataFrame, be
     return markets.join(old.select("market_id"), "market_id", "left_anti")
 
 
-def stale_markets(markets: DataFrame, positions: DataFrame, as_of: int, limit: int = 200) -> DataFrame:
+def stale_markets(markets: DataFrame, positions: DataFrame, as_of: int,
+                  limit: int | None = None) -> DataFrame:
     """Unresolved held markets not refreshed for an hour, or ever (FLT-11)."""
     old = F.col("last_synced_ts").isNull() | (F.col("last_synced_ts") < as_of - 3600)
-    return (markets.where(~F.col("resolved") & old)
-            .join(positions.select("market_id"), "market_id", "left_semi")
-            .orderBy(F.asc_nulls_first("last_synced_ts"), "market_id").limit(limit))
+    held = markets.where(~F.col("resolved") & old).join(positions.select("market_id"), "market_id", "left_semi")
+    return first_rows(held, [F.asc_nulls_first("last_synced_ts"), "market_id"], limit)
 
 
 def relink(rows: DataFrame, markets: DataFrame) -> DataFrame:

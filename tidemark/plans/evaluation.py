@@ -15,6 +15,7 @@ from tidemark.fixed_values import SIGNAL_BANDS
 from tidemark.functions.numeric import band_label, count_where, day_of
 from tidemark.functions.stats import significance, uniform_draw, wilson
 from tidemark.operators.prefix import (
+    numbered,
     average_rank, order_statistics, running, running_extreme, spearman,
 )
 
@@ -111,8 +112,7 @@ def calibration_test(signals: DataFrame, cfg=None) -> DataFrame:
     usable = usable.select(*KEY, "market_id", "outcome_index", "price", "opportunity",
                            F.col("won").cast("int").alias("_won"),
                            band_label("opportunity", SIGNAL_BANDS).alias("_band"))
-    indexed = running(usable, KEY, F.floor(F.col("market_id") / F.lit(1024)),
-                      ["market_id", "outcome_index"], index="_i")
+    indexed = numbered(usable, KEY, ["market_id", "outcome_index"], "_i")
     ranks = average_rank(usable, "opportunity", KEY).select(
         *KEY, "opportunity", F.col("average_rank").alias("_rank"))
     ranked = indexed.join(ranks, [*KEY, "opportunity"])

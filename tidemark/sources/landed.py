@@ -15,8 +15,13 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """Events with nested markets and tags (SRC-1)."""
-    return _json(spark, path, schemas.EVENTS)
+    """Events with nested markets and tags, and when they arrived (SRC-1).
+
+    Files arrive in the order of their names, and lines in the order of the file.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start",
+                     F.monotonically_increasing_id().alias("line"))
+    return _json(spark, path, schemas.EVENTS).select("*", place.alias("arrival"))
 
 
 def event_markets(events_df: DataFrame) -> DataFrame:
@@ -27,7 +32,9 @@ def event_markets(events_df: DataFrame) -> DataFrame:
         F.col("id").alias("event_id"), F.col("slug").alias("event_slug"),
         F.col("title").alias("event_title"), F.col("openInterest").alias("event_open_interest"),
         F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
-        F.explode("markets").alias("market")).select("*", "market.*").drop("market")
+        F.col("arrival") if "arrival" in events_df.columns else F.lit(None).alias("arrival"),
+        F.posexplode("markets").alias("at", "market")).withColumn(
+        "arrival", F.struct("arrival", "at")).select("*", "market.*").drop("market", "at")
 
 
 def markets_by_ids(open_markets: DataFrame, closed_markets: DataFrame, ids: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def normalize_markets(raw: DataFrame) -> DataFrame:
     """Typed market rows with flags, resolution, clarity, category and league (PRJ-1)."""
     c = F.col
     context = {"event_id": "string", "event_slug": "string", "event_title": "string",
-               "event_open_interest": "double", "tags": NO_TAGS}
+               "event_open_interest": "double", "tags": NO_TAGS, "arrival": "string"}
     for name, kind in context.items():
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast(kind))
@@ -27,7 +27,7 @@ def normalize_markets(raw: DataFrame) -> DataFrame:
     rows = kept.select(
         c("conditionId").alias("condition_id"), F.coalesce("question", F.lit("Unknown market")).alias("question"),
         F.coalesce("question", "event_title").alias("_text"),
-        "slug", "event_id", "event_slug", "event_title", "description",
+        "slug", "event_id", "event_slug", "event_title", "description", "arrival",
         F.coalesce("tags", F.array().cast(NO_TAGS)).alias("tags"),
         P.json_strings("outcomes").alias("outcomes"), P.json_strings("clobTokenIds").alias("token_ids"),
         prices.alias("prices"), finite("bestBid").alias("best_bid"), finite("bestAsk").alias("best_ask"),
@@ -50,18 +50,17 @@ def normalize_markets(raw: DataFrame) -> DataFrame:
         *[v.alias(k) for k, v in resolution_clarity("description", "resolutionSource").items()])
     rows = rows.withColumn("resolved", c("closed") & c("winner").isNotNull())
     unique = dedupe_markets(rows)
-    return resolve_category(unique, "condition_id", "tags", "_text").drop("_text")
+    return resolve_category(unique, "tags", "_text").drop("_text")
 
 
 def dedupe_markets(markets: DataFrame) -> DataFrame:
     """One row per market that arrived under several events (SET-2).
 
-    Copies differ only in their event context; the one of the last event in id order is kept, so
-    that the choice does not depend on task order.
+    Copies differ only in their event context; the last to arrive is kept, by the ``arrival`` that
+    the scan of events gives (any ordered type will do).
     """
-    rest = [c for c in markets.columns if c != "condition_id"]
-    kept = markets.groupBy("condition_id").agg(
-        F.max_by(F.struct(*rest), F.coalesce("event_id", F.lit(""))).alias("_row"))
+    rest = [c for c in markets.columns if c not in ("condition_id", "arrival")]
+    kept = markets.groupBy("condition_id").agg(F.max_by(F.struct(*rest), "arrival").alias("_row"))
     return kept.select("condition_id", "_row.*")
 
 
@@ -104,9 +103,16 @@ def normalize_closed(raw: DataFrame) -> DataFrame:
         F.when(F.col("timestamp") > 0, F.col("timestamp")).alias("resolved_ts"))
 
 
-def _js_number(value):
-    """A double as text the way JSON prints it: no trailing ``.0``."""
-    return F.regexp_replace(F.coalesce(value, F.lit(0.0)).cast("string"), r"\.0$", "")
+def number_text(value):
+    """A double as wire text: plain decimals from 1e-6 up to 1e21, exponents outside, never ``.0``."""
+    value = F.coalesce(value, F.lit(0.0))
+    size = F.abs(value)
+    plain = F.when(size >= 1, value.cast("decimal(38,17)").cast("string")).otherwise(
+        value.cast("decimal(38,30)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    spelled = F.regexp_replace(value.cast("string"), r"(?:\.0)?E(-?)", "e$1")
+    spelled = F.regexp_replace(spelled, r"e(\d)", "e+$1")
+    return F.when(size == 0, "0").when((size >= 1e-6) & (size < 1e21), plain).otherwise(spelled)
 
 
 def normalize_activity(raw: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def normalize_activity(raw: DataFrame) -> DataFrame:
     wallet = P.wallet_of("proxyWallet")
     key = F.concat_ws(":", wallet, F.coalesce("transactionHash", F.lit("no-tx")),
                       F.coalesce("asset", "conditionId"), kind, F.coalesce("side", F.lit("-")),
-                      F.col("timestamp").cast("string"), _js_number(finite("size")))
+                      F.col("timestamp").cast("string"), number_text(finite("size")))
     return kept.select(
         wallet.alias("wallet"), key.alias("dedupe_key"), F.col("timestamp").alias("ts"),
         F.col("conditionId").alias("condition_id"), kind.alias("type"),

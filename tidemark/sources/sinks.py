@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
@@ -119,5 +119,7 @@ def latest_runs(signals: DataFrame) -> DataFrame:
     return signals.groupBy("kind").agg(F.max_by("run_id", F.struct("created_ts", "run_id")).alias("run_id"))
 
 
-def delete_run(signals: DataFrame, run_id: str) -> DataFrame:
-    return signals.where(F.col("run_id") != run_id)
+def delete_run(spark: SparkSession, path: str, run_id: str) -> None:
+    """Drop a stored run: its partition is its folder, so no other run is rewritten (SNK-8)."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

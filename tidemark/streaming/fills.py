@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import schemas
-
-# Ship the state function with the task, so that workers need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tidemark.operators.replay import replay_positions
+from tidemark.session import cut_lineage
 
 HOLDING = ["trader_id", "market_id", "outcome_index"]
 
@@ -32,10 +25,14 @@ def deduped(fills: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 def tape_windows(fills: DataFrame, length: str = "1 hour", slide: str | None = "5 minutes",
-                 lateness: str = "10 minutes") -> DataFrame:
-    """Fills and USD per side in sliding windows; rows later than the watermark are dropped (STR-2)."""
+                 lateness: str | None = "10 minutes") -> DataFrame:
+    """Fills and USD per side in sliding windows; rows later than the watermark are dropped (STR-2).
+
+    ``lateness`` is None for fills that carry a watermark already, as deduplicated ones do.
+    """
     window = F.window("occurred_at", length, slide) if slide else F.window("occurred_at", length)
-    return (fills.withWatermark("occurred_at", lateness)
+    timed = fills if lateness is None else fills.withWatermark("occurred_at", lateness)
+    return (timed
             .groupBy(window.alias("_w"), "market_id", "outcome_index")
             .agg(F.count(F.lit(1)).alias("fills"), F.sum(F.col("size") * F.col("price")).alias("usd"),
                  F.sum("size").alias("shares"))
@@ -44,31 +41,65 @@ def tape_windows(fills: DataFrame, length: str = "1 hour", slide: str | None = "
                     F.try_divide("usd", "shares").alias("vwap")))
 
 
-STATE = "shares double, cost double, first_buy long"
 POSITION = "trader_id long, market_id long, outcome_index int, shares double, cost_usd double, first_buy_ts long"
+EARLIEST = -(1 << 60)
+
+
+def _replayed(before: DataFrame, fills: DataFrame) -> DataFrame:
+    """The holdings that ``fills`` touch, from what was held before. A holding stands in as one buy."""
+    touched = fills.select(*HOLDING).distinct()
+    kept = before.join(touched, HOLDING, "left_semi")
+    stood = kept.where(F.col("shares") > 0).select(
+        *HOLDING, F.lit("BUY").alias("side"), F.col("shares").alias("size"), F.col("cost_usd").alias("usd"),
+        F.lit(EARLIEST).alias("ts"), F.lit("").alias("dedupe_key"))
+    every = stood.unionByName(fills.select(stood.columns))
+    ends = every.groupBy("market_id").agg(F.max("ts").alias("signal_ts"))
+    known = kept.select(*HOLDING, F.col("first_buy_ts").alias("_known"))
+    now = replay_positions(every, ends, min_shares=-1.0, min_cost=-1.0)
+    first = F.when(F.col("first_buy_ts") > EARLIEST, F.col("first_buy_ts"))
+    return now.join(known, HOLDING, "left").select(
+        *HOLDING, "shares", "cost_usd", F.coalesce("_known", first).alias("first_buy_ts"))
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    shares, cost, first = state.get if state.exists else (0.0, 0.0, None)
-    fills = pd.concat(list(batches)).sort_values(["ts", "dedupe_key"])
-    for side, size, usd, ts in zip(fills["side"], fills["size"], fills["usd"], fills["ts"]):
-        if side == "BUY":
-            shares, cost = shares + size, cost + usd
-            first = int(ts) if first is None else first
-        else:
-            cost = cost * (1 - min(1.0, size / shares)) if shares > 0 else 0.0
-            shares = max(0.0, shares - size)
-    state.update((float(shares), float(cost), first))
-    yield pd.DataFrame([[*key, shares, cost, first]], columns=[c.split()[0] for c in POSITION.split(", ")])
+def _newest(rows: DataFrame) -> DataFrame:
+    values = [c for c in rows.columns if c not in {*HOLDING, "batch"}]
+    return rows.groupBy(*HOLDING).agg(F.max_by(F.struct(*values), "batch").alias("_r")).select(*HOLDING, "_r.*")
 
 
-def running_positions(fills: DataFrame) -> DataFrame:
-    """Shares and remaining cost per holding after every trigger (STR-3).
+def store_positions(fills: DataFrame, path: str, checkpoint: str, lateness: int):
+    """Shares and remaining cost per holding, kept under ``path`` (STR-3).
 
-    A holding's state is three numbers; its fills of one trigger are applied in time order.
+    Fills are taken once each. Those within ``lateness`` seconds of the newest wait in the folder of
+    their trigger, since earlier ones may still arrive; the others are applied in time order to what
+    was held. A trigger writes the holdings it changes under its number, and may be run again.
     """
-    return fills.groupBy(*HOLDING).applyInPandasWithState(
-        _advance, POSITION, STATE, "update", GroupStateTimeout.NoTimeout)
+    def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.createDataFrame([], POSITION)
+        arrived = batch.drop("occurred_at")
+        if number:
+            before = _newest(spark.read.schema(POSITION + ", batch long").parquet(f"{path}/held").where(
+                F.col("batch") < number))
+            arrived = arrived.unionByName(spark.read.schema(arrived.schema).parquet(f"{path}/waiting/batch={number - 1}"))
+        arrived = cut_lineage(arrived)
+        newest = arrived.agg(F.max("ts")).first()[0]
+        due = F.col("ts") <= F.lit((newest or 0) - lateness)
+        arrived.where(~due).write.mode("overwrite").parquet(f"{path}/waiting/batch={number}")
+        _replayed(before, arrived.where(due)).write.mode("overwrite").parquet(f"{path}/held/batch={number}")
+
+    return (deduped(fills, f"{lateness} seconds").writeStream.foreachBatch(advance)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """Every holding as of the last trigger, fills that still wait included."""
+    stored = spark.read.schema(POSITION + ", batch long").parquet(f"{path}/held")
+    last = spark.read.parquet(f"{path}/waiting").agg(F.max("batch")).first()[0]
+    held = _newest(stored)
+    if last is None:
+        return held
+    moved = cut_lineage(_replayed(held, spark.read.schema(schemas.FILLS).parquet(f"{path}/waiting/batch={last}")))
+    return held.join(moved, HOLDING, "left_anti").unionByName(moved)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str):
