@@ -243,10 +243,11 @@ def landed_stream(w: Workspace, files_per_trigger: int = 2) -> tuple[DataFrame,
     """All fills as landed files in time order, a third at a time; some come again with the next third."""
     base = f"{run_folder(w.spark)}/stream-{uuid.uuid4().hex}"
     typed = [F.col(c.split()[0]).cast(c.split()[1]) for c in schemas.FILLS.replace("\n", " ").split(", ")]
-    at = w.activity.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    fills = w.activity.withColumn("dedupe_key", F.concat_ws(":", "dedupe_key", "ts"))
+    at = fills.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     third = F.least(F.floor((F.col("ts") - at["low"]) * 3 / F.lit(at["high"] - at["low"] + 1)), F.lit(2))
-    again = w.activity.withColumn("third", third + 1).where("trader_id % 3 = 0 and third < 3")
-    staged = cut_lineage(w.activity.withColumn("third", third).unionByName(again))
+    again = fills.withColumn("third", third + 1).where("trader_id % 3 = 0 and third < 3")
+    staged = cut_lineage(fills.withColumn("third", third).unionByName(again))
     for k in range(3):  # later files are newer, so the stream reads them later
         staged.where(F.col("third") == k).select(*typed).repartition(2).write.mode("append").parquet(f"{base}/in")
     return streams.landed_fills(w.spark, f"{base}/in", files_per_trigger), base
@@ -271,7 +272,7 @@ def stream_positions(w: Workspace) -> DataFrame:
     return streams.positions(w.spark, f"{base}/state")
 
 
-entry("stream_dedupe", "dedupe_key:s", stream_dedupe, "SELECT DISTINCT dedupe_key FROM activity")
+entry("stream_dedupe", "dedupe_key:s", stream_dedupe, "SELECT DISTINCT dedupe_key || ':' || ts AS dedupe_key FROM activity")
 _tape = f"""SELECT market_id, outcome_index, window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT *, unnest({{starts}}) AS window_start FROM activity) GROUP BY 1,2,3
  HAVING window_start + {{length}} <= (SELECT max(ts) - {LATE} FROM activity)"""
 entry("stream_tape_windows", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 day", None), _tape.format(starts="[ts // 86400 * 86400]", length=86400))
