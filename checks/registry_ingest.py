@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.oracle import AS_OF, C, pick, price
-from checks.registry import Workspace, entry
+from checks.registry import Workspace, entry, oracle
 from tidemark import fixed_values as V
 from tidemark import schemas
 from tidemark.functions import parse as P
@@ -16,6 +17,7 @@ from tidemark.functions import pricing as PR
 from tidemark.functions import sports as SP
 from tidemark.functions import text as TX
 from tidemark.session import cut_lineage, run_folder
+from tidemark.plans import from_landed
 from tidemark.sources import landed, normalize, sinks
 from tidemark.streaming import fills as streams
 from tidemark.views import pick as choose
@@ -163,6 +165,44 @@ entry("markets_by_ids", "conditionId:s copy:s", lambda w: landed.markets_by_ids(
     w.bets.select(F.concat(F.lit("c"), "market_id").alias("conditionId"))), "SELECT condition_id AS \"conditionId\", CASE WHEN market_id % 3 <> 0 THEN 'open' ELSE 'closed' END AS copy FROM market WHERE (market_id % 3 <> 0 OR market_id % 2 = 0) AND market_id IN (SELECT market_id FROM bets)")
 entry("closed_markets", "market_id:i volume:d", lambda w: landed.closed_markets(w.markets, 900000000, AS_OF, 40), f"SELECT market_id, volume FROM market WHERE resolved AND end_ts BETWEEN 900000000 AND {AS_OF} ORDER BY volume DESC, market_id LIMIT 40")
 
+# --- from landed files to the board ---------------------------------------------------------------
+CATEGORY_TAGS = {"POLITICS": "Elections", "ECONOMICS": "Inflation", "SPORTS": "Tennis", "CRYPTO": "Bitcoin", "ENTERTAINMENT": "Oscars", "GEOPOLITICS": "Ceasefire"}
+
+
+def board_from_landed(w: Workspace) -> DataFrame:
+    """Every table of the workspace as its wire records, landed, normalized, scored and ranked under text ids."""
+    m = w.markets
+    iso = lambda ts: F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tag = F.element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_TAGS.items() for x in pair]), F.col("category"))
+    tags = F.filter(F.array(tag, F.col("league")), lambda t: t.isNotNull())
+    market = F.struct(
+        F.col("condition_id").alias("conditionId"), F.concat(F.lit("q"), "market_id").alias("question"), F.lit('["Yes", "No"]').alias("outcomes"),
+        F.to_json(F.transform("prices", lambda p: p.cast("string"))).alias("outcomePrices"), F.to_json("token_ids").alias("clobTokenIds"),
+        F.col("liquidity").alias("liquidityNum"), F.col("volume").alias("volumeNum"), "spread", F.col("best_bid").alias("bestBid"), F.col("best_ask").alias("bestAsk"),
+        "closed", F.col("accepting_orders").alias("acceptingOrders"), iso("end_ts").alias("endDate"), iso("kickoff_ts").alias("gameStartTime"),
+        F.col("sports_market_type").alias("sportsMarketType"))
+    # A market arrives twice; the second copy, on a later line, has the right prices.
+    stale = market.withField("outcomePrices", F.lit('["0.5", "0.5"]'))
+    events = m.select(F.col("event_id").cast("string").alias("id"), F.transform(tags, lambda t: F.struct(t.alias("label"))).alias("tags"), F.array(stale, market).alias("markets"))
+    condition = F.concat(F.lit("c"), "market_id").alias("conditionId")
+    wallet = F.concat(F.lit(" 0X"), F.lpad(F.col("trader_id").cast("string"), 40, "0")).alias("proxyWallet")
+    positions = w.positions.select(wallet, "asset", condition, "size", F.col("avg_price").alias("avgPrice"), F.col("current_value").alias("currentValue"), F.col("cash_pnl").alias("cashPnl"), F.col("outcome_index").alias("outcomeIndex"))
+    closed = w.closed.select(wallet, "asset", condition, F.col("avg_price").alias("avgPrice"), F.col("shares").alias("totalBought"), F.col("realized_pnl").alias("realizedPnl"),
+                             F.when(F.col("won"), 1.0).when(~F.col("won"), 0.0).otherwise(0.5).alias("curPrice"), F.col("outcome_index").alias("outcomeIndex"), iso("end_ts").alias("endDate"), F.col("resolved_ts").alias("timestamp"))
+    fills = w.activity.select(wallet, condition, "asset", "side", "size", "price", F.col("usd").alias("usdcSize"), F.col("ts").alias("timestamp"), F.lit("TRADE").alias("type"), F.col("outcome_index").alias("outcomeIndex"), F.col("dedupe_key").alias("transactionHash"))
+    fills = fills.unionByName(fills.where(F.col("timestamp") % 3 == 0))
+    leaders = w.traders.select(F.concat(F.lit("0X"), F.substring("wallet", 3, 40)).alias("proxyWallet"), F.col("display_name").alias("userName"))
+    found = from_landed.board(landed.events(w.spark, land(w, events)), landed.positions(w.spark, land(w, positions)), landed.closed_positions(w.spark, land(w, closed)),
+                              landed.activity(w.spark, land(w, fills)), landed.leaderboard(w.spark, land(w, leaders)), AS_OF)[1]
+    # Ranks of equal scores follow the text of the id, so the score's own order is compared.
+    return found.withColumn("better", F.col("rank") - F.row_number().over(W.partitionBy("opportunity").orderBy("rank")))
+
+
+# Landed markets have no description here, so their clarity is that of unpublished criteria.
+_landed_board = oracle("board_rank").replace("CASE WHEN m % 10 <> 7 THEN (m*13 % 101)::DOUBLE END AS clarity_score", "35e0 AS clarity_score")
+entry("board_from_landed", "market_id:s outcome_index:i opportunity:d better:i", board_from_landed,
+      f"SELECT 'c' || market_id AS market_id, outcome_index, opportunity, rank() OVER (ORDER BY opportunity DESC) - 1 AS better FROM ({_landed_board}) ranked")
+
 # --- other landed files -------------------------------------------------------------------------
 def landed_holders(w: Workspace) -> DataFrame:
     """Holder pages: one line per market, its holders nested."""
