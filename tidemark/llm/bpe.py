@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MOST_STATES = 60_000
-MOST_PIECES = 200_000
+#: What a worker remembers at most.
+MOST_STATES = 100_000
+MOST_PAIRS = 500_000
+MOST_PIECES = 400_000
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,53 +49,87 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, {i: t for t, i in ranks.items()}
         self.reach = max(map(len, ranks))
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        # By node of the trie and byte: the next node, the token that ends there or -1, whether more follows.
+        children: list[dict[int, int]] = [{}]
+        token_at: list[int] = [-1]
         for text, rank in ranks.items():
             node = 0
             for byte in text:
-                after = self.children[node].get(byte)
+                after = children[node].get(byte)
                 if after is None:
-                    after = self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.token_at.append(-1)
+                    after = children[node][byte] = len(children)
+                    children.append({})
+                    token_at.append(-1)
                 node = after
-            self.token_at[node] = rank
+            token_at[node] = rank
+        self.nodes = [{byte: (to, token_at[to], bool(children[to])) for byte, to in node.items()} for node in children]
+        self.fits: dict[int, bool] = {}
+        self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
         self.forget()
 
     def forget(self) -> None:
         start = ((0, -1),)
         self.states, self.numbers, self.moves = [start], {start: 0}, [{}]
-        self.fits: dict[tuple[int, int], bool] = {}
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """The merges in order of rank, the leftmost first."""
+    def merged(self, text: bytes, until: int = 1) -> list[bytes]:
+        """The merges in order of rank, the leftmost first, until so many parts are left."""
         parts = [text[i:i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+        while len(parts) > until:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def spine(self, token: int, side: int) -> list[int]:
+        """A token and, ever further back in its merging, what stood at its left (0) or right (1) edge."""
+        known = self.spines[side].get(token)
+        if known is None:
+            text = self.bytes[token]
+            known = [token]
+            if len(text) > 1:
+                known += self.spine(self.ranks[self.merged(text, 2)[side]], side)
+            self.spines[side][token] = known
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        """Whether the bytes of both tokens together are encoded as just these two.
+
+        While the two are merged on their own, their inner edges grow along their spines, in order
+        of rank. They stay apart unless the tokens at the edges merge with each other before either
+        is merged on its own side; of equal ranks the leftmost goes first.
+        """
+        key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            a, b = self.bytes[left], self.bytes[right]
-            known = self.fits[key] = self.merged(a + b) == [a, b]
+            if len(self.fits) > MOST_PAIRS:
+                self.fits.clear()
+            a, b = self.spine(left, 1), self.spine(right, 0)
+            i, j, known = len(a) - 1, len(b) - 1, None
+            while known is None:
+                across = self.ranks.get(self.bytes[a[i]] + self.bytes[b[j]], NEVER)
+                on_left, on_right = a[i - 1] if i else NEVER, b[j - 1] if j else NEVER
+                if across < on_left and across <= on_right and across < NEVER:
+                    known = False
+                elif i == j == 0:
+                    known = True
+                elif on_left <= on_right:
+                    i -= 1
+                else:
+                    j -= 1
+            self.fits[key] = known
         return known
 
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """The state after ``byte`` and the last token of the prefix that ends there."""
-        opened, last = [], -1
+        opened, last, nodes = [], -1, self.nodes
         for node, before in self.states[state]:
-            after = self.children[node].get(byte)
-            if after is not None:
-                token = self.token_at[after]
+            step = nodes[node].get(byte)
+            if step is not None:
+                after, token, more = step
                 if last < 0 <= token and (before < 0 or self.compatible(before, token)):
                     last = token
-                if self.children[after]:
+                if more:
                     opened.append((after, before))
         new = (*opened, (0, last))
         number = self.numbers.get(new)
