@@ -52,8 +52,8 @@ class Workspace(Tables):
 
     @cached_property
     def scores(self) -> DataFrame:
-        return cut_lineage(live_board.wallet_scores(
-            self.traders, self.closed, self.positions, self.activity, self.portfolio, AS_OF))
+        return live_board.wallet_scores(
+            self.traders, self.closed, self.positions, self.activity, self.portfolio, AS_OF)
 
     @cached_property
     def skills(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Workspace(Tables):
 
     @cached_property
     def consensus(self) -> DataFrame:
-        return cut_lineage(live_board.score_sides(self.holders, self.sides))
+        return live_board.score_sides(self.holders, self.sides)
 
     @cached_property
     def board(self) -> DataFrame:
@@ -301,12 +301,12 @@ _sim = _draw.format(k="it*n + i", src=f"(SELECT * FROM ({_obs}) o, range(2000) r
 _bandp = """SELECT horizon_days, it, max(e) AS best, sum(sw) AS sw, sum(sr) AS sr, sum(c) AS n, sum(imp) AS imp FROM (SELECT horizon_days, it, band, count(*) AS c, sum(hit) AS sw, sum(hit*rx) AS sr, sum(price) AS imp,
  CASE WHEN count(*) >= 20 THEN (sum(hit)/count(*) - sum(price)/count(*))*100e0 END AS e FROM {0} GROUP BY ALL) GROUP BY ALL"""
 _r01 = "(sr - sw*(n+1e0)/2e0)*n/2e0 / sqrt(dx * (sw*(n-sw)*n/4e0))"
-entry("calibration", "horizon_days:i signals:i best_band_edge:d best_band_p:d rank_correlation_p:d overall_edge:d overall_edge_p:d", lambda w: w.calibration,
-      f"""SELECT o.horizon_days, any_value(o.n) AS signals, any_value(o.best) AS best_band_edge, CASE WHEN count(o.best) > 0 THEN (count(*) FILTER (WHERE s.best >= o.best - 1e-9) + 1)/2001e0 END AS best_band_p, CASE WHEN count(o.r) > 0 THEN (count(*) FILTER (WHERE s.r >= o.r - 1e-12)+1)/2001e0 END AS rank_correlation_p,
+entry("calibration", "horizon_days:i signals:i best_band_edge:d best_band_p:d rank_correlation_p:d overall_edge:d overall_edge_p:d significance:s", lambda w: w.calibration,
+      f"""SELECT *, CASE WHEN best_band_p IS NULL THEN 'Not testable' WHEN best_band_p <= 0.01e0 THEN 'Unlikely to be chance' WHEN best_band_p <= 0.05e0 THEN 'Possibly real' WHEN best_band_p <= 0.2e0 THEN 'Consistent with chance' ELSE 'Indistinguishable from chance' END AS significance FROM (SELECT o.horizon_days, any_value(o.n) AS signals, any_value(o.best) AS best_band_edge, CASE WHEN count(o.best) > 0 THEN (count(*) FILTER (WHERE s.best >= o.best - 1e-9) + 1)/2001e0 END AS best_band_p, CASE WHEN count(o.r) > 0 THEN (count(*) FILTER (WHERE s.r >= o.r - 1e-12)+1)/2001e0 END AS rank_correlation_p,
       any_value(o.edge) AS overall_edge, (count(*) FILTER (WHERE s.edge >= o.edge - 1e-9)+1)/2001e0 AS overall_edge_p FROM
       (SELECT *, {_r01} AS r, (sw/n - imp/n)*100e0 AS edge FROM ({_bandp.format(f"(SELECT *, 0 AS it, won::INT AS hit FROM ({_obs}))")}) JOIN (SELECT horizon_days, sum(rx*rx) - count(*)*(count(*)+1e0)*(count(*)+1e0)/4e0 AS dx FROM ({_obs}) GROUP BY 1) USING (horizon_days)) o JOIN
       (SELECT *, CASE WHEN sw > 0 AND sw < n THEN {_r01} END AS r, (sw/n - imp/n)*100e0 AS edge FROM ({_bandp.format(f"(SELECT *, (u < price)::INT AS hit FROM ({_sim}))")}) JOIN (SELECT horizon_days, sum(rx*rx) - count(*)*(count(*)+1e0)*(count(*)+1e0)/4e0 AS dx FROM ({_obs}) GROUP BY 1) USING (horizon_days)) s
-      ON s.horizon_days = o.horizon_days WHERE o.n >= 10 GROUP BY 1""")
+      ON s.horizon_days = o.horizon_days WHERE o.n >= 10 GROUP BY 1)""")
 _bestband = f"""SELECT horizon_days, arg_max(band, {{'e': e, 'p': -p}}) AS best_band FROM (SELECT horizon_days, band, count(*) AS c, (sum(won::INT)/count(*) - avg(price))*100e0 AS e,
  list_position([{','.join(f"'{n}'" for n, _, _ in V.SIGNAL_BANDS)}], band) AS p FROM signal GROUP BY 1,2) WHERE c >= 20 GROUP BY 1"""
 _outcomes = f"""SELECT h.horizon_days, h.signals, h.wins/h.signals AS win_rate, b.best_band, c.best_band_p, r.rank_correlation, c.best_band_p <= 0.05e0 AND h.signals >= 100 AS significant_alone
@@ -316,7 +316,14 @@ entry("robustness", "usable_horizons:i significant_horizons:i positive_correlati
       f"""SELECT u AS usable_horizons, s AS significant_horizons, pos AS positive_correlations, rb AS replicated_bands, CASE WHEN u < 2 THEN 'TOO LITTLE DATA' WHEN most/u >= 0.6e0 THEN 'REPLICATES' WHEN rb > 0 THEN 'INCONSISTENT' WHEN s > 0 THEN 'DOES NOT REPLICATE' ELSE 'NOTHING FOUND' END AS verdict
       FROM (SELECT count(*) FILTER (WHERE signals >= 100) AS u, count(*) FILTER (WHERE significant_alone) AS s, count(*) FILTER (WHERE rank_correlation > 0) AS pos FROM ({_outcomes})),
       (SELECT count(*) AS rb, max(n) AS most FROM (SELECT best_band, count(*) AS n FROM ({_outcomes}) WHERE significant_alone GROUP BY 1 HAVING count(*) >= 2))""")
-entry("run_warnings", "horizon_days:i warnings:s", lambda w: evaluation.warning_codes(w.headline, evaluation.score_bands(w.signals), w.calibration, w.run[1]).withColumn("warnings", F.array_join("warnings", ",")), None)
+_bandpos = f"list_position([{','.join(f"'{n}'" for n, _, _ in V.SIGNAL_BANDS)}], band)"
+entry("run_warnings", "horizon_days:i warnings:s", lambda w: evaluation.warning_codes(w.headline, evaluation.score_bands(w.signals), w.calibration, w.run[1]).withColumn("warnings", F.array_join("warnings", ",")),
+      f"""SELECT horizon_days, concat_ws(',', CASE WHEN h.signals < 30 THEN 'FEW_SIGNALS' END, CASE WHEN c.best_band_p > 0.05e0 THEN 'BEST_BAND_IS_CHANCE' WHEN c.best_band_p IS NOT NULL THEN 'BEST_BAND_SURVIVES' END,
+      CASE WHEN r.rank_correlation <= 0.02e0 THEN 'SCORE_DOES_NOT_RANK' END, CASE WHEN s.n >= 2 AND s.top < s.bottom THEN 'NOT_MONOTONIC' END, CASE WHEN h.median_age_hours > 6 THEN 'STALE_PRICES' END,
+      CASE WHEN h.from_trade > h.from_series + h.from_snapshot THEN 'PRICES_FROM_FILLS' END, CASE WHEN m.rejected > h.markets_tested THEN 'MANY_WITHOUT_PRICE' END, 'WATCHLIST_HINDSIGHT') AS warnings
+      FROM ({ENTRIES['run_headline'][2]}) h LEFT JOIN ({ENTRIES['calibration'][2]}) c USING (horizon_days) LEFT JOIN ({ENTRIES['rank_correlation'][2]}) r USING (horizon_days)
+      LEFT JOIN (SELECT horizon_days, count(*) AS n, arg_max(edge_points, {_bandpos}) AS top, arg_min(edge_points, {_bandpos}) AS bottom FROM ({ENTRIES['score_bands'][2]}) WHERE signals >= 20 AND edge_points IS NOT NULL GROUP BY 1) s USING (horizon_days)
+      LEFT JOIN (SELECT horizon_days, rejected FROM ({ENTRIES['reject_counts'][2]}) WHERE reject_reason = 'NO_PRICE') m USING (horizon_days)""")
 
 # The remaining areas register themselves on import.
 from checks import registry_ingest, registry_market  # noqa: E402,F401

@@ -14,9 +14,10 @@ from tidemark.functions import pricing as PR
 from tidemark.functions import sports as SP
 from tidemark.functions import stats as ST
 from tidemark.functions import text as TX
-from tidemark.operators import allocation, behaviour, books, holders, prefix, replay, traders
+from tidemark.operators import allocation, behaviour, board, books, holders, prefix, replay, traders
 from tidemark.operators.asof import asof_last
 from tidemark.plans import evaluation
+from tidemark.sources import normalize
 
 FILL = "trader_id long, market_id long, outcome_index int, side string, size double, price double, usd double, ts long, dedupe_key string"
 
@@ -236,6 +237,25 @@ def test_allocation(spark):
     assert [r.stake_usd for r in capped] == [40.0, 30.0, 30.0]
     assert sum(r.stake_usd for r in plan(spark, 10, "EQUAL", 3, [(0.3, 9), (0.4, 8), (0.5, 7)])) == pytest.approx(10.0)
     assert len(plan(spark, 2.5, "EQUAL", 9, [(0.5, 50)] * 9)) == 2
+    worthless = plan(spark, 10, "SCORE_WEIGHTED", 3, [(0.5, 60), (0.5, 40), (0.5, 0)])
+    assert [r.stake_usd for r in worthless] == [4.0, 6.0]  # the limit's excess has nowhere else to go
+    assert [r.stake_usd for r in plan(spark, 3, "SCORE_WEIGHTED", 3, [(0.5, 0)] * 3)] == [1.0] * 3
+
+
+def test_numbers_as_wire_text(spark):
+    values = {12345678.5: "12345678.5", 0.0001: "0.0001", 1e-6: "0.000001", 1e-7: "1e-7", 2.5e-8: "2.5e-8", 50.0: "50", 0.0: "0",
+              1e20: "100000000000000000000", 1e21: "1e+21", 1.5e22: "1.5e+22", -0.25: "-0.25", 1e7: "10000000", 0.1: "0.1"}
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", normalize.number_text(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in got.collect()} == values
+
+
+def test_text_ids_rank_and_the_last_arrival_wins(spark):
+    sides = spark.createDataFrame([(f"c{i}", i % 2, float(i // 3)) for i in range(50)], "market_id string, outcome_index int, opportunity double")
+    ranked = sorted(board.rank_board(sides).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(1, 51))
+    assert [(-r.opportunity, r.market_id) for r in ranked] == sorted((-r.opportunity, r.market_id) for r in ranked)
+    copies = spark.createDataFrame([("c1", "e10", 2), ("c1", "e9", 1), ("c2", "e3", 5)], "condition_id string, event_id string, arrival int")
+    assert {r.condition_id: r.event_id for r in normalize.dedupe_markets(copies).collect()} == {"c1": "e10", "c2": "e3"}
 
 
 OUTCOME = "horizon_days int, signals long, rank_correlation double, best_band string, significant_alone boolean"

@@ -11,16 +11,17 @@ from tidemark.operators import traders as T
 from tidemark.operators.behaviour import behaviour
 from tidemark.operators.consensus import consensus
 from tidemark.operators.holders import build_holders, last_activity, live_markets
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, without_constraint_inference
 
 
 def wallet_scores(traders: DataFrame, closed: DataFrame, positions: DataFrame,
                   activity: DataFrame, portfolio: DataFrame, as_of: int, cfg=None) -> DataFrame:
     """Behaviour, metrics and score of every tracked trader (SCR-1, SCR-2)."""
     known = closed.where(F.col("resolved_ts").isNull() | (F.col("resolved_ts") <= as_of))
-    acts = behaviour(activity, known, portfolio, as_of, cfg)
-    metrics = T.trader_metrics(known, ["trader_id"], as_of, positions, cfg, universe=traders)
-    return T.trader_score(metrics, acts, ["trader_id"], cfg)
+    with without_constraint_inference(closed.sparkSession):
+        acts = behaviour(activity, known, portfolio, as_of, cfg)
+        metrics = T.trader_metrics(known, ["trader_id"], as_of, positions, cfg, universe=traders)
+        return cut_lineage(T.trader_score(metrics, acts, ["trader_id"], cfg))
 
 
 def category_skills(closed: DataFrame, as_of: int, cfg=None) -> DataFrame:
@@ -36,7 +37,8 @@ def live_sides(markets: DataFrame, positions: DataFrame, as_of: int) -> DataFram
 
 def score_sides(holders: DataFrame, sides: DataFrame, cfg=None) -> DataFrame:
     """Consensus of every held side, with the side's own columns kept."""
-    return consensus(holders, sides, ["market_id"], cfg)
+    with without_constraint_inference(holders.sparkSession):
+        return cut_lineage(consensus(holders, sides, ["market_id"], cfg))
 
 
 def build_board(scored: DataFrame, holders: DataFrame, activity: DataFrame, as_of: int,
@@ -50,7 +52,9 @@ def build_board(scored: DataFrame, holders: DataFrame, activity: DataFrame, as_o
     opportunity = B.opportunity_score(listed, cfg)
     late = B.late_money(holders, listed.select("market_id", "kickoff_ts").distinct(), cfg)
     angled = B.sports_angle(opportunity, late, cfg)
-    return B.rank_board(cut_lineage(B.horizon_score(B.with_side_quote(angled), cfg)))
+    with without_constraint_inference(holders.sparkSession):
+        scored = cut_lineage(B.horizon_score(B.with_side_quote(angled), cfg))
+    return B.rank_board(scored)
 
 
 def run(markets: DataFrame, positions: DataFrame, traders: DataFrame, closed: DataFrame,

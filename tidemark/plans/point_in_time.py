@@ -11,7 +11,7 @@ from tidemark.operators.board import opportunity_score
 from tidemark.operators.consensus import consensus
 from tidemark.operators.replay import observed_price, replay_positions, usable_fills
 from tidemark.operators.traders import trader_scores_asof
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, without_constraint_inference
 
 MOMENT = ["market_id", "signal_ts"]
 SIDE = [*MOMENT, "outcome_index"]
@@ -44,7 +44,11 @@ def build_signals(markets: DataFrame, activity: DataFrame, closed: DataFrame, tr
     ``markets`` is the tested universe. Every step is keyed by (market, signal time), so the
     horizons share one pass over fills, curves and settled positions.
     """
-    cfg = merge_config(cfg)
+    with without_constraint_inference(markets.sparkSession):
+        return _signals(markets, activity, closed, traders, curves, snapshots, evaluated_ts, merge_config(cfg), horizons)
+
+
+def _signals(markets, activity, closed, traders, curves, snapshots, evaluated_ts, cfg, horizons):
     b = cfg["backtest"]
     moments = cut_lineage(signal_moments(markets, horizons or b["horizons"], evaluated_ts))
     open_moments = moments.where(F.col("reject_reason").isNull())

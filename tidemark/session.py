@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # The score plans chain some hundred conditional columns. Constraint inference over them costs
-    # the optimizer minutes and finds nothing that the operators do not filter for explicitly.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -40,6 +38,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def without_constraint_inference(spark: SparkSession):
+    """Plan what is written inside this block without inferring constraints; restored afterwards.
+
+    The score plans chain some hundred conditional columns. Inference over them costs the optimizer
+    minutes and finds nothing that the operators do not filter for. Everywhere else it stays on.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else beside the warehouse.
 
