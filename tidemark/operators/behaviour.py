@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
 from tidemark.functions.numeric import count_where, total
-from tidemark.operators.prefix import exact_median, latest_n, running, running_extreme
+from tidemark.operators.prefix import exact_median, latest_n, running, running_extreme, running_net
 from tidemark.session import cut_lineage
 
 DAY = 86400
@@ -38,12 +38,12 @@ def fifo_lots(fills: DataFrame, keys: list[str] = SIDE) -> DataFrame:
     amount, is_buy = F.abs(F.col("usd")), F.col("side") == "BUY"
     traded = fills.where((amount > 0) & F.col("side").isin("BUY", "SELL")).select(
         *keys, "ts", "dedupe_key", "side", amount.alias("_usd"))
-    totals = running(traded, keys, day, order, {
-        "_bought": F.when(is_buy, F.col("_usd")).otherwise(0.0),
-        "_sold": F.when(is_buy, 0.0).otherwise(F.col("_usd"))})
-    totals = running_extreme(totals, keys, day, order, "_least", F.col("_bought") - F.col("_sold"), False)
-    lost = F.greatest(F.lit(0.0), -F.col("_least"))
-    micro = F.round(F.when(is_buy, F.col("_bought")).otherwise(F.col("_sold") - lost) * 1e6).cast("long")
+    totals = running_net(traded.withColumn("_bought", F.when(is_buy, F.col("_usd")).otherwise(0.0)), keys, day, order,
+                         F.when(is_buy, F.col("_usd")).otherwise(-F.col("_usd")), "_net", "_least")
+    totals = running(totals, keys, day, order, {"_bought": F.col("_bought")})
+    held = F.col("_net") - F.least(F.lit(0.0), F.col("_least"))
+    # A buy ends where all buys so far do; a sell ends where they do less what is still held.
+    micro = F.round(F.when(is_buy, F.col("_bought")).otherwise(F.col("_bought") - held) * 1e6).cast("long")
     points = (totals.withColumn("_at", micro).groupBy(*keys, "_at").agg(
         F.min(F.when(is_buy, F.col("ts"))).alias("_buy"),
         F.min(F.when(~is_buy, F.col("ts"))).alias("_sell")).where(F.col("_at") > 0))

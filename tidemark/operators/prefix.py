@@ -50,6 +50,30 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list,
     return joined.withColumns(out).drop(BUCKET, *[f"_v_{n}" for n in sums], *carried)
 
 
+def running_net(df: DataFrame, keys: list[str], bucket: Column, order: list, value: Column,
+                net: str, low: str, index: str | None = None) -> DataFrame:
+    """Running sum of ``value`` and that sum's running minimum (both inclusive), in one pass.
+
+    Sum and lowest prefix of a bucket compose with those of the buckets before it, so both come from
+    the same shuffle of the rows and one carry row per group.
+    """
+    inside, before = _inside(keys, order), _before(keys)
+    inner = (df.withColumns({BUCKET: bucket, "_v": value}).withColumns(
+        {"_s": F.sum("_v").over(inside), "_r": F.row_number().over(inside)})
+        .withColumn("_m", F.min("_s").over(inside)))
+    carry = (inner.groupBy(*keys, BUCKET).agg(F.sum("_v").alias("_bs"), F.min("_s").alias("_bm"),
+                                              F.count(F.lit(1)).alias("_bn"))
+             .withColumns({"_cs": F.coalesce(F.sum("_bs").over(before), F.lit(0)),
+                           "_cn": F.coalesce(F.sum("_bn").over(before), F.lit(0))})
+             .withColumn("_cm", F.min(F.col("_bm") + F.col("_cs")).over(before))
+             .select(*keys, BUCKET, "_cs", "_cn", "_cm"))
+    out = {net: F.col("_s") + F.col("_cs"), low: F.least(F.col("_m") + F.col("_cs"), F.col("_cm"))}
+    if index:
+        out[index] = F.col("_r") - 1 + F.col("_cn")
+    return inner.join(carry, [*keys, BUCKET]).withColumns(out).drop(
+        BUCKET, "_v", "_s", "_r", "_m", "_cs", "_cn", "_cm")
+
+
 def running_extreme(df: DataFrame, keys: list[str], bucket: Column, order: list,
                     out: str, value: Column, largest: bool) -> DataFrame:
     """Running maximum or minimum (inclusive) per key, on two levels."""

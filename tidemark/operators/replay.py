@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import day_of
 from tidemark.functions.pricing import complement
 from tidemark.operators.asof import asof_last
-from tidemark.operators.prefix import running, running_extreme
+from tidemark.operators.prefix import running_net
 from tidemark.session import cut_lineage
 
 HOLDING = ["market_id", "trader_id", "outcome_index"]
@@ -26,14 +26,13 @@ CHUNK = 65536
 def running_shares(fills: DataFrame, keys: list[str] = HOLDING) -> DataFrame:
     """``shares`` held after every fill and the fill's ``place``; overselling leaves zero.
 
-    The clamp at zero is the net minus its running minimum, so both parts are two-level prefix
-    computations and a heavy trader on one side is spread over its days.
+    The clamp at zero is the net minus its running minimum; both come from one two-level pass, so a
+    heavy trader on one side is spread over its days.
     """
     order = ["ts", "dedupe_key"]
     signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
-    net = running(fills, keys, day_of("ts"), order, sums={"_net": signed}, index="place")
-    low = running_extreme(cut_lineage(net), keys, day_of("ts"), order, "_low", F.col("_net"), largest=False)
-    return (low.withColumn("shares", F.col("_net") - F.least(F.lit(0.0), F.col("_low")))
+    both = running_net(fills, keys, day_of("ts"), order, signed, "_net", "_low", index="place")
+    return (both.withColumn("shares", F.col("_net") - F.least(F.lit(0.0), F.col("_low")))
             .drop("_net", "_low"))
 
 
