@@ -1,6 +1,5 @@
 """Each operator against a plain version of itself, on awkward rows and on none."""
 
-import base64
 import hashlib
 import math
 import random

@@ -1,15 +1,13 @@
-"""What several operators share: column names, Arrow batches, totals over ordered rows."""
+"""What several operators share: the documents, folds, column names, Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
-
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -49,15 +47,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             held += size
         if start < len(sizes):
             yield batch.slice(start)
-
-
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` (one row per key) with each row's 0-based place in ``order``, without one global sort:
-    rows are dealt by range, numbered within a range, and shifted by the counts of earlier ranges."""
-    part = free_name(df, "range_part")
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
-    before = dealt.groupBy(part).agg(F.count("*").alias("rows_here")).select(
-        part, (F.sum("rows_here").over(Window.orderBy(part)) - F.col("rows_here")).alias("rows_before"))
-    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return (dealt.withColumn(name, place.cast("long")).join(before, part)
-            .withColumn(name, F.col(name) + F.col("rows_before") - 1).drop(part, "rows_before"))

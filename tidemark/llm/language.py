@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, free_name, remainder, slices
-from tidemark.session import cut_lineage
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS

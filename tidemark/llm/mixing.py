@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, documents, free_name, numbered
+from tidemark.llm.common import WORD, documents, free_name
 from tidemark.llm.sharding import BITS, key_hash
+from tidemark.operators.prefix import numbered
 from tidemark.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -34,7 +35,7 @@ def size_of(text: str):
 def targets(totals: DataFrame, share: float, most: int, weights: tuple[int, ...]) -> DataFrame:
     """``source, source_size`` with ``target``: level times weight, or the stop where that is lower."""
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = cut_lineage(numbered(totals, [F.col("source").isNull(), F.col("source")], "place").select(
+    rows = cut_lineage(numbered(totals, [], [F.col("source").isNull(), F.col("source")], "place").select(
         "source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("stop")))
     level, stopped = None, -1
     while True:
