@@ -20,8 +20,6 @@ so that very long runs cost one pass.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,9 +132,7 @@ def disclosures(df: DataFrame, near: DataFrame, text: str = "text") -> DataFrame
     total = df.count()
     held = near.select("value", "row").distinct().groupBy("value").agg(F.count("*").alias("with_value"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text)), F.lit(WORDS), F.lit(0)))
-    wanted = pairs.select("term").distinct()
-    frequency = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(
-        wanted, "term", "left_semi")
+    frequency = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     n = F.lit(float(max(total, 1)))
     gain = F.log(F.col("together") * n / (F.col("with_value") * F.col("with_term")))
     own = F.log(n / F.col("with_value"))
