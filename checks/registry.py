@@ -198,6 +198,14 @@ entry("newest_closed", "trader_id:i market_id:i outcome_index:i resolved_ts:i",
 BEH = """trader_id:i trade_count:i trades_7d:i trades_30d:i small_trade_share:d distinct_markets:i both_sides_markets:i median_hold_seconds:d settled_count:i held_share:d
  turnover_ratio:d behaviour_class:s behaviour_confidence:d"""
 entry("behaviour", BEH, lambda w: w.behaviour, "SELECT * FROM behaviour")
+_why = [("VERY_HIGH_FREQUENCY", "trades_7d >= 1000", "bs"), ("HIGH_FREQUENCY", "trades_7d >= 300 AND trades_7d < 1000", "bs"), ("VERY_SHORT_HOLDS", "median_hold_seconds <= 1800", "bs"),
+        ("LONG_HOLDS", "median_hold_seconds >= 604800", "d"), ("BOTH_SIDES", "both_sides_markets >= 8", "m"), ("SMALL_TRADES", "small_trade_share >= 0.6e0 AND trade_count >= 100", "bm"),
+        ("HIGH_TURNOVER", "turnover_ratio >= 5", "sm"), ("RARELY_HELD", "settled_count >= 10 AND held_share <= 0.2e0", "s"), ("USUALLY_HELD", "settled_count >= 10 AND held_share >= 0.6e0", "d"),
+        ("FREQUENT_REENTRY", "trade_count/distinct_markets >= 20", "sm"), ("FEW_PER_MARKET", "trade_count/distinct_markets <= 4", "d")]
+_whys = ", ".join(f"CASE WHEN {test} AND contains('{classes}', c) THEN '{code}' END" for code, test, classes in _why)
+entry("behaviour_reasons", "trader_id:i reasons:s", lambda w: w.behaviour.withColumn("reasons", F.array_join("behaviour_reasons", ",")),
+      f"""SELECT trader_id, CASE WHEN trade_count < 5 THEN 'TOO_FEW_TRADES' ELSE concat_ws(',', {_whys}) END AS reasons
+      FROM (SELECT *, CASE WHEN r[1] <= 1 OR s_d = r[1] THEN 'd' WHEN s_b = r[1] THEN 'b' WHEN s_s = r[1] THEN 's' ELSE 'm' END AS c FROM beh4)""")
 entry("fifo_lots", "trader_id:i market_id:i outcome_index:i buy_ts:i sell_ts:i hold_seconds:i", lambda w: behaviour.fifo_lots(w.seen), "SELECT * FROM lots")
 entry("both_sides_markets", "trader_id:i both_sides_markets:i", lambda w: behaviour.both_sides_markets(w.seen),
       "SELECT trader_id, coalesce(max(both_sides_markets), 0) AS both_sides_markets FROM (SELECT DISTINCT trader_id FROM seen WHERE side='BUY') LEFT JOIN both_bought USING (trader_id) GROUP BY 1")
