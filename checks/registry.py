@@ -238,6 +238,9 @@ OPP = """market_id:i outcome_index:i opportunity:d base:d penalty:d model_low:d
 entry("opportunity_score", OPP, lambda w: w.board.select("*", F.col("opportunity_base").alias("base"), F.col("opportunity_penalty").alias("penalty"), F.col("opportunity_liquidity").alias("liquidity_score"),
                                                           F.col("opportunity_execution").alias("execution"), F.col("opportunity_recency").alias("rec")),
       "SELECT *, opp_score AS opportunity, opp_base AS base, opp_penalty AS penalty, opp_liquidity AS liquidity_score, opp_execution AS execution, opp_recency AS rec, CASE WHEN risk_points >= 4 THEN 'VERY HIGH' WHEN risk_points >= 2 THEN 'HIGH' WHEN risk_points >= 1 THEN 'MODERATE' ELSE 'LOW' END AS risk_level FROM opp_f")
+entry("risk_reasons", "market_id:i outcome_index:i reasons:s", lambda w: w.board.withColumn("reasons", F.array_join("risk_reasons", ",")),
+      """SELECT market_id, outcome_index, concat_ws(',', CASE WHEN current_price < 0.15e0 THEN 'LONGSHOT' WHEN current_price < 0.35e0 THEN 'UNDERDOG' END, CASE WHEN liquidity < 10000 THEN 'THIN_LIQUIDITY' END,
+      CASE WHEN hours_left < 24 THEN 'IMMINENT' END, CASE WHEN clarity_score < 45 THEN 'AMBIGUOUS' END) AS reasons FROM opp_f""")
 entry("sports_angle", "market_id:i outcome_index:i tier:s kind_label:s untradeable_reason:s game_phase:s late_usd:d early_usd:d late_share:d line_move_points:d line_verdict:s sports_settles_ts:i", lambda w: w.board, "SELECT * FROM sport")
 entry("horizon_score", "market_id:i outcome_index:i horizon:d base:d penalty:d effective_price:d hours_to_settle:d capital_days:d edge_retention:d return_per_day:d net_edge_points:d settles_ts:i",
       lambda w: w.board.select("*", F.col("horizon_base").alias("base"), F.col("horizon_penalty").alias("penalty")), "SELECT *, hor_score AS horizon, hor_base AS base, hor_penalty AS penalty FROM hor_f")
