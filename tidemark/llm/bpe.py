@@ -21,8 +21,6 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import sys
-import types
 from itertools import chain
 
 import pyarrow as pa
@@ -33,10 +31,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: What a worker remembers at most.
-MOST_STATES = 100_000
-MOST_PAIRS = 500_000
-MOST_PIECES = 400_000
+#: What a task remembers at most.
+MOST_STATES = 50_000
+MOST_PAIRS = 250_000
+MOST_PIECES = 300_000
 NEVER = 1 << 60
 
 
@@ -205,15 +203,6 @@ class Codec:
         yield machine.decode(b"", final=True)
 
 
-def codec_here(ranks: dict[bytes, int], pattern: str) -> Codec:
-    """This Python worker's codec. It outlives a task, so the worker's next task finds it warm."""
-    kept = sys.modules.setdefault("_worker_codec", types.ModuleType("_worker_codec"))
-    if getattr(kept, "made_for", None) != (len(ranks), hash(frozenset(ranks.items())), pattern):
-        kept.codec = Codec(ranks, pattern)
-        kept.made_for = len(ranks), hash(frozenset(ranks.items())), pattern
-    return kept.codec
-
-
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             with_ids: bool = True, digests: bool = False) -> DataFrame:
     """``keep`` columns with ``ids`` (array<int>) and ``n_tokens``, or with digests of ids and decoded bytes."""
@@ -223,7 +212,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tu
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + kinds)
 
     def run(batches):
-        codec = codec_here(ranks.value, pattern)
+        codec = Codec(ranks.value, pattern)  # goes with the task, and so does its memory
         names = {i: str(i) for i in codec.bytes}
         for batch in slices(batches, "bpe_text"):
             made: list[list] = [[] for _ in kinds]

@@ -146,7 +146,12 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 ["label", "h", "at", "value"])
 
     def learn(batches):
-        got = [(r["h"], r["label"], np.array(r["at"]), np.array(r["value"])) for b in batches for r in b.to_pylist()]
+        got = []
+        for b in batches:
+            ends = b.column("at").offsets.to_numpy()
+            at, value = b.column("at").values.to_numpy(), b.column("value").values.to_numpy()
+            for i, (h, label) in enumerate(zip(b.column("h").to_pylist(), b.column("label").to_pylist())):
+                got.append((h, label, at[ends[i]:ends[i + 1]], value[ends[i]:ends[i + 1]]))
         got.sort(key=lambda r: (r[0], r[1], len(r[2])))
         w, temperature = fit([(at, v, label) for _, label, at, v in got], len(languages))
         at, k = np.nonzero(w)
