@@ -306,6 +306,13 @@ def stream_windows(w: Workspace, length: str, slide: str | None) -> DataFrame:
     return w.spark.read.parquet(f"{base}/out")
 
 
+def stream_all_windows(w: Workspace, length: str, slide: str | None) -> DataFrame:
+    """All windows, those that the watermark has not passed included."""
+    fills, base = landed_stream(w)
+    streams.store_windows(fills, f"{base}/windows", f"{base}/cp", f"{LATE} seconds", length, slide).awaitTermination()
+    return streams.windows(w.spark, f"{base}/windows")
+
+
 def stream_positions(w: Workspace) -> DataFrame:
     fills, base = landed_stream(w)
     streams.store_positions(fills, f"{base}/state", f"{base}/cp", LATE).awaitTermination()
@@ -318,5 +325,9 @@ _tape = f"""SELECT market_id, outcome_index, window_start, count(*) AS fills, su
 entry("stream_tape_windows", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 day", None), _tape.format(starts="[ts // 86400 * 86400]", length=86400))
 entry("stream_tape_sliding", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 hour", "5 minutes"),
       _tape.format(starts="list_transform(range(0, 12), lambda k: (ts // 300 - k) * 300)", length=3600))
+_tape_all = "SELECT market_id, outcome_index, window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT *, unnest({starts}) AS window_start FROM activity) GROUP BY 1,2,3"
+entry("stream_tape_windows_all", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_all_windows(w, "1 day", None), _tape_all.format(starts="[ts // 86400 * 86400]"))
+entry("stream_tape_sliding_all", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_all_windows(w, "1 hour", "5 minutes"),
+      _tape_all.format(starts="list_transform(range(0, 12), lambda k: (ts // 300 - k) * 300)"))
 C["fold_all"] = C["fold"].replace("q.market_id, q.signal_ts, a.trader_id", "a.market_id, a.trader_id").replace("FROM asked q JOIN activity a ON a.market_id = q.market_id AND a.ts <= q.signal_ts GROUP BY 1,2,3,4", "FROM activity a GROUP BY 1,2,3").replace("FILTER (WHERE a.ts >= q.signal_ts - 86400)", "")
 entry("stream_positions", "trader_id:i market_id:i outcome_index:i shares:d cost_usd:d first_buy_ts:i", stream_positions, "SELECT trader_id, market_id, outcome_index, st.s AS shares, st.c AS cost_usd, first_buy_ts FROM fold_all")

@@ -18,6 +18,7 @@ from tidemark.operators import allocation, behaviour, board, books, holders, pre
 from tidemark.operators.asof import asof_last
 from tidemark.plans import evaluation
 from tidemark.sources import normalize
+from tidemark.streaming import fills as streams
 
 FILL = "trader_id long, market_id long, outcome_index int, side string, size double, price double, usd double, ts long, dedupe_key string"
 
@@ -301,3 +302,13 @@ def test_scores_stay_in_range_and_ignore_the_future(spark):
             for x in (rows, rows + later))
     assert a == b and all(0 <= s <= 100 for s in a.values()) and a[0] == 0.0
     assert not any(math.isnan(s) for s in a.values())
+
+
+def test_windows_that_are_still_open_are_kept(spark, tmp_path):
+    for k, hours in enumerate(([1, 1, 2], [2, 30], [31, 31])):  # k-th landing; the first fill of each comes twice
+        rows = [(1, 1, 0, "BUY", 8.0, 0.5, 4.0, h * 3600 + i, f"{h}:{i}") for i, h in enumerate(hours)]
+        spark.createDataFrame(rows + rows[:1], FILL.replace("long", "bigint")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    landed = streams.landed_fills(spark, f"{tmp_path}/in", 1)
+    streams.store_windows(landed, f"{tmp_path}/out", f"{tmp_path}/cp", "2 days", "1 hour", None).awaitTermination()
+    got = {r["window_start"] // 3600: (r["fills"], r["usd"]) for r in streams.windows(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: (2, 8.0), 2: (2, 8.0), 30: (1, 4.0), 31: (2, 8.0)}

@@ -41,6 +41,38 @@ def tape_windows(fills: DataFrame, length: str = "1 hour", slide: str | None = "
                     F.try_divide("usd", "shares").alias("vwap")))
 
 
+def store_windows(fills: DataFrame, path: str, checkpoint: str, lateness: str, length: str = "1 hour",
+                  slide: str | None = "5 minutes"):
+    """Sums per side and window, kept under ``path`` by trigger, whether or not a window can still change (STR-2).
+
+    Fills are taken once each. A trigger writes what its fills add to every window, under its number, and
+    may be run again; state is that of the deduplication only.
+    """
+    window = F.window("occurred_at", length, slide) if slide else F.window("occurred_at", length)
+
+    def advance(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(window.alias("_w"), "market_id", "outcome_index").agg(
+            F.count(F.lit(1)).alias("fills"), F.sum(F.col("size") * F.col("price")).alias("usd"), F.sum("size").alias("shares"))
+        sums.select("market_id", "outcome_index", F.unix_seconds("_w.start").alias("window_start"),
+                    F.unix_seconds("_w.end").alias("window_end"), "fills", "usd", "shares").write.mode("overwrite").parquet(
+            f"{path}/batch={number}")
+
+    return (deduped(fills, lateness).writeStream.foreachBatch(advance)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+WINDOW = "market_id long, outcome_index int, window_start long, window_end long, fills long, usd double, shares double"
+
+
+def windows(spark: SparkSession, path: str) -> DataFrame:
+    """Every window as of the last trigger, the open ones included; the columns of ``tape_windows``."""
+    return (spark.read.schema(WINDOW).parquet(path)
+            .groupBy("market_id", "outcome_index", "window_start", "window_end")
+            .agg(F.sum("fills").alias("fills"), F.sum("usd").alias("usd"), F.sum("shares").alias("shares"))
+            .select("market_id", "outcome_index", "window_start", "window_end", "fills", "usd",
+                    F.try_divide("usd", "shares").alias("vwap")))
+
+
 POSITION = "trader_id long, market_id long, outcome_index int, shares double, cost_usd double, first_buy_ts long"
 EARLIEST = -(1 << 60)
 
