@@ -369,6 +369,20 @@ def test_licenses_equal_containment_in_whole_texts(spark):
     assert got == expected and (1002, "mit") in got
 
 
+def test_short_templates_are_found_inside_long_texts(spark):
+    filler = "lorem ipsum dolor sit amet " * 200
+    rows = [(0, filler + "All rights\nRESERVED. " + filler), (1, "all rights reserved"), (2, filler + "all rights are reserved"),
+            (3, "rights reserved"), (4, "é all rights reserved " * 3), (5, "Mine"), (6, filler + "mine")]
+    templates = {"notice": "All rights reserved.", "word": "mine", "none": "...", "mit": licenses.TEMPLATES["mit-line"]}
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {(r["doc_id"], r["template"]) for r in got} == {(0, "notice"), (1, "notice"), (4, "notice"), (5, "word"), (6, "word")}
+    assert all(r["containment"] == 1.0 for r in got)
+    text = {i: t.encode() for i, t in rows}
+    assert {text[r["doc_id"]][r["first_byte"]:r["end_byte"]].lower().split() == [b"all", b"rights", b"reserved"]
+            for r in got if r["template"] == "notice"} == {True}
+    assert "All rights reserved." in licenses.TEMPLATES.values()
+
+
 # --- toxicity ---
 
 def test_grammar_scores_clauses():

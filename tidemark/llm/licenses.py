@@ -1,13 +1,14 @@
 """Licence scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
 Words are runs of ASCII letters and digits and of any other non-ASCII bytes, lower-cased; shingles are
-five words. A template with n shingles belongs to the class c = 2**ceil(log2 n). Every text is cut into
+five words, and for a template of fewer words as many as it has. Such a template is one shingle, looked up
+by its hash among the text's shingles of that length. Any other template with n shingles belongs to the class c = 2**ceil(log2 n). Every text is cut into
 windows of 2c shingles, c apart, so that a passage of c shingles lies whole in one of them. A passage that holds
 ``HELD`` of the template has a Jaccard similarity of ``HELD n / (2c + (1 - HELD) n)`` > 0.19 with its
 window; with ``BANDS`` bands of one row the chance that no band agrees is (1 - 0.19)**64 < 2e-6. Retrieved
 windows, widened by the template's length, are verified by exact containment of the template's shingles.
 
-* A template or text of fewer than five words is one shingle. Null and empty texts match nothing.
+* A text with fewer words than a template's shingles doesn't hold it. Null and empty texts match nothing.
 * A template found in several windows of a text is reported once, where most of it is found; ties go
   to the first place. Repeated rows are rows of their own; other columns are ignored.
 * Templates are a parameter of the job. Their band keys are sent to every task, which is refused above
@@ -36,6 +37,7 @@ TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "all-rights-reserved": "All rights reserved.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "mit": (
@@ -105,13 +107,13 @@ class Hasher:
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[:len(codes)], out=sums[1:])
         return _stir((sums[ends] - sums[starts]) * self.down[starts]), np.stack([starts, ends])
 
-    def shingles(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        words, spans = self.words(text)
-        n = max(1, len(words) - SHINGLE + 1)
-        out = np.zeros(n if len(words) else 0, np.uint64)
-        for i in range(min(SHINGLE, len(words))):
+    def shingles(self, words: np.ndarray, length: int = SHINGLE) -> np.ndarray:
+        """Hash of every run of ``length`` words, from the words' hashes."""
+        n = max(0, len(words) - length + 1)
+        out = np.zeros(n, np.uint64)
+        for i in range(length):
             out = out * np.uint64(0x100000001B3) + words[i:i + n]
-        return _stir(out), spans
+        return _stir(out)
 
 
 def _rows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,28 +133,38 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())
 
 
+def runs(words: list[bytes], length: int) -> list[bytes]:
+    return [b" ".join(words[i:i + length]) for i in range(len(words) - length + 1)]
+
+
 def shingle_set(words: list[bytes]) -> list[bytes]:
-    if not words:
-        return []
-    return [b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+    """The shingles of every length that a template may have."""
+    return [s for length in range(1, SHINGLE + 1) for s in runs(words, length)]
 
 
 class Matcher:
     def __init__(self, templates: dict[str, str], held: float = HELD):
         self.held, self.names = held, list(templates)
-        self.sets = [set(shingle_set(words_of(t))) for t in templates.values()]
-        self.lengths = [len(words_of(t)) for t in templates.values()]
+        words = [words_of(t) for t in templates.values()]
+        self.lengths = [len(w) for w in words]
+        self.widths = [min(SHINGLE, n) for n in self.lengths]
+        self.sets = [set(runs(w, n)) if n else set() for w, n in zip(words, self.widths)]
         hasher = Hasher()
         groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+        short: dict[int, list[tuple[int, np.uint64]]] = {}
         for i, text in enumerate(templates.values()):
-            shingles, _ = hasher.shingles(text.encode().lower())
-            if len(shingles):
-                groups.setdefault(1 << (len(shingles) - 1).bit_length(), []).append((i, shingles))
+            if self.widths[i]:
+                shingles = hasher.shingles(hasher.words(text.encode().lower())[0], self.widths[i])
+                if self.widths[i] < SHINGLE:
+                    short.setdefault(self.widths[i], []).append((i, shingles[0]))
+                else:
+                    groups.setdefault(1 << (len(shingles) - 1).bit_length(), []).append((i, shingles))
+        self.short = {n: ([i for i, _ in members], np.array([s for _, s in members], np.uint64)) for n, members in short.items()}
         self.classes = {}
         for size, members in groups.items():
             keys = np.array([[_values(s, b).min() for b in range(BANDS)] for _, s in members], np.uint64)
             self.classes[size] = [i for i, _ in members], keys
-        if sum(k.size for _, k in self.classes.values()) > MOST_KEYS:
+        if sum(k.size for _, k in [*self.classes.values(), *self.short.values()]) > MOST_KEYS:
             raise ValueError("too many templates to send to every task")
 
     def retrieve(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
@@ -179,30 +191,44 @@ class Matcher:
                         found.setdefault((t, members[m]), set()).add((low, min(low + 2 * size, int(sizes[t]))))
         return {k: sorted(v) for k, v in found.items()}
 
+    def retrieve_short(self, texts: list[np.ndarray], hasher: Hasher) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """By text and template of fewer than five words: the places of its hash, from the words' hashes."""
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for length, (members, keys) in self.short.items():
+            for t, words in enumerate(texts):
+                shingles = hasher.shingles(words, length)
+                for at in np.flatnonzero(np.isin(shingles, keys)):
+                    for m in np.flatnonzero(keys == shingles[at]):
+                        found.setdefault((t, members[m]), []).append((int(at), int(at) + 1))
+        return found
+
     def verify(self, template: int, windows: list[tuple[int, int]], text: bytes,
                spans: np.ndarray) -> tuple[str, float, int, int] | None:
         """Template, share of its shingles held, and the place of the words that hold them (bytes)."""
         starts, ends = spans
-        wanted, best = self.sets[template], None
+        wanted, best, width = self.sets[template], None, self.widths[template]
+        around = self.lengths[template] if width == SHINGLE else 0
         for low, high in windows:
-            first = max(0, low - self.lengths[template])
-            last = min(len(starts), high + SHINGLE - 1 + self.lengths[template])
-            here = shingle_set([text[starts[i]:ends[i]] for i in range(first, last)])
+            first = max(0, low - around)
+            last = min(len(starts), high + width - 1 + around)
+            here = runs([text[starts[i]:ends[i]] for i in range(first, last)], width)
             share = len(wanted.intersection(here)) / len(wanted)
             if share >= self.held and (best is None or share > best[1]):
                 at = [i for i, s in enumerate(here) if s in wanted]
-                end = min(first + at[-1] + SHINGLE, last)
+                end = min(first + at[-1] + width, last)
                 best = self.names[template], share, int(starts[first + at[0]]), int(ends[end - 1])
+            if best and best[1] == 1.0:
+                break
         return best
 
     def matches(self, texts: list[str | None], hasher: Hasher) -> list[tuple[int, str, float, int, int]]:
         """The number of the text and what ``verify`` says, for every template that a text holds."""
         read = [(i, t.encode().lower()) for i, t in enumerate(texts) if t]
-        hashed = [(i, t, *hasher.shingles(t)) for i, t in read]
-        hashed = [h for h in hashed if len(h[2])]
-        if not hashed:
-            return []
-        found = self.retrieve([h[2] for h in hashed])
+        hashed = [(i, t, *hasher.words(t)) for i, t in read]
+        found = self.retrieve_short([h[2] for h in hashed], hasher)
+        long = [(k, s) for k, h in enumerate(hashed) if len(s := hasher.shingles(h[2]))]
+        if long and self.classes:
+            found |= {(long[k][0], t): w for (k, t), w in self.retrieve([s for _, s in long]).items()}
         out = [(hashed[k][0], self.verify(t, windows, hashed[k][1], hashed[k][3])) for (k, t), windows in sorted(found.items())]
         return [(i, *m) for i, m in out if m]
 
