@@ -348,6 +348,19 @@ def test_terms_that_disclose_are_hidden(spark):
     assert [s["order"] for s in got[0]["base"]] == [0]
 
 
+def test_terms_count_in_distinct_whole_texts(spark):
+    draw = random.Random(5)
+    other = lambda: " ".join(draw.choice(["quiet", "words", "about", "weather", "over", "there"]) for _ in range(30))
+    rows = [(i, f"{other()}\nContact Jane Zanzibar, boss@firm.example\n{other()}") for i in range(40)]
+    rows += [(100 + i, "Quonset by chief@firm.example") for i in range(50)]  # one text, however often
+    rows += [(200 + i, f"{other()} Tarpon {other()} lead@firm.example") for i in range(10) for _ in range(20)]
+    rows += [(1000 + i, other()) for i in range(300)]
+    got = {r["doc_id"]: r["clean_text"] for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Zanzibar" not in got[i] and "Jane" not in got[i] and "[EMAIL]" in got[i] for i in range(40))
+    assert all(got[100 + i] == "Quonset by [EMAIL]" for i in range(50))
+    assert all("Tarpon" not in got[200 + i] and "weather" in got[200 + i] for i in range(10))
+
+
 # --- licenses ---
 
 def test_licenses_equal_containment_in_whole_texts(spark):

@@ -3,19 +3,20 @@
 Base spans are emails, IP addresses, cards (Luhn) and phone numbers. Each pattern is read once for its
 matches and once for what lies between them, which gives the places in code points.
 
-Terms (words of three letters or more) within ``REACH`` characters of a base span, on its line, are its
-context. Over the whole corpus, a term t discloses the protected value e by its pointwise mutual
-information, log p(e, t) / (p(e) p(t)), compared with the information of e itself, -log p(e): from
-``GENERALISE`` of it on the term is generalised to its kind, from ``REMOVE`` on it is removed. p(t) and
-p(e) count documents; p(e, t) counts e's *distinct* contexts, so copies of a text prove nothing, and
-fewer than ``SEEN`` of them are no evidence. Terms inside base spans are left to those.
+Terms are words of three letters or more outside base spans. Over the whole corpus, a term t discloses
+the protected value e by its pointwise mutual information, log p(e, t) / (p(e) p(t)), compared with the
+information of e itself, -log p(e): from ``GENERALISE`` of it on the term is generalised to its kind, from
+``REMOVE`` on it is removed, wherever it stands in a text with base spans. All three p count distinct whole texts, so
+copies of a text prove nothing, and fewer than ``SEEN`` texts with both are no evidence.
+
+A term in more than ``n ** (1 - GENERALISE) * with_value ** GENERALISE`` of n texts can't reach the threshold
+even if every text with the value has it; such pairs are dropped before they are counted.
 
 Everything is DataFrame functions. The patterns are those of the contract with loops that don't back
 up (Java's possessive form), and start where a run of their characters starts or the last match ended,
 so that very long runs cost one pass.
 
-* Null texts are empty: no spans. Null doc_ids keep their row. Repeated rows count as documents each, but
-  as one context. Empty tables give empty results; other columns are ignored.
+* Null texts are empty: no spans. Null doc_ids keep their row. Repeated rows count as one text. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 WORDS = "\\p{L}{3,}+"
-REACH = 60
+SPANS = "array<struct<start:int,order:int,end:int,share:double>>"
 SEEN = 3
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -103,55 +104,82 @@ def joined(spans: Column) -> Column:
         ":", kind_of(s["order"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """``row, value, term, start, end, context``: every term near every base span, from ``row, text, spans``."""
-    near = rows.where(F.size("spans") > 0).select("row", "text", "spans", F.explode("spans").alias("s"))
-    left = F.expr(f"substring(text, greatest(s.start - {REACH}, 0) + 1, s.start - greatest(s.start - {REACH}, 0))")
-    right = F.expr(f"substring(text, s.end + 1, {REACH})")
-    sides = near.select(
-        "row", "spans", F.col("s.value").alias("value"), F.col("s.start").alias("at"), F.col("s.end").alias("until"),
-        F.regexp_replace(left, "(?s)^.*\\n", "").alias("left"), F.regexp_replace(right, "(?s)\\n.*$", "").alias("right"))
-    sides = sides.withColumn("context", F.xxhash64("left", "right"))
-    terms = F.concat(
-        F.transform(spans_of(F.col("left"), "term", WORDS), lambda t: F.struct(
-            (t["start"] + F.col("at") - F.length("left")).alias("start"),
-            (t["end"] + F.col("at") - F.length("left")).alias("end"), F.lower(t["value"]).alias("term"))),
-        F.transform(spans_of(F.col("right"), "term", WORDS), lambda t: F.struct(
-            (t["start"] + F.col("until")).alias("start"), (t["end"] + F.col("until")).alias("end"),
-            F.lower(t["value"]).alias("term"))))
-    free = F.filter(terms, lambda t: ~F.exists(
-        F.col("spans"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return sides.select("row", "value", "context", F.explode(free).alias("t")).select("row", "value", "context", "t.*")
-
-
-def disclosures(df: DataFrame, near: DataFrame, text: str = "text") -> DataFrame:
-    """``value, term, share``: the share of a protected value's information that a term gives away."""
-    both = near.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(
-        F.count("*").alias("together")).where(F.col("together") >= SEEN)
-    pairs = cut_lineage(both)
-    total = df.count()
-    held = near.select("value", "row").distinct().groupBy("value").agg(F.count("*").alias("with_value"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text)), F.lit(WORDS), F.lit(0)))
-    frequency = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    n = F.lit(float(max(total, 1)))
+def outside(text: Column, spans: Column) -> Column:
+    """The text with its spans overwritten by as many zeros, so that other places stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(state: Column, span: Column) -> Column:
+        gap = F.greatest(span["start"] - state["at"], F.lit(0))
+        over = F.greatest(span["end"] - F.greatest(span["start"], state["at"]), F.lit(0))
+        more = F.array(text.substr(state["at"] + 1, gap), F.repeat(F.lit("0"), over))
+        return F.struct(F.greatest(span["end"], state["at"]).alias("at"), F.concat(state["out"], more).alias("out"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, cut, lambda s: F.concat(
+        F.array_join(s["out"], ""), text.substr(s["at"] + 1, F.length(text)))))
+
+
+def terms_of(text: Column, spans: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside(text, spans), F.lit(WORDS), F.lit(0)), F.lower))
+
+
+def term_spans(text: Column, told: Column) -> Column:
+    """Array of (start, order, end, share) of every occurrence of the terms in the map ``told``."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    pairs = F.arrays_zip(F.transform(F.split(text, WORDS), F.length).alias("gap"),
+                         F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("value"))
+
+    def add(state: Column, pair: Column) -> Column:
+        start = state["at"] + pair["gap"]
+        end = start + F.length(pair["value"])
+        share = F.try_element_at(told, F.lower(pair["value"]))
+        one = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("order"), end.alias("end"), share.alias("share"))
+        return F.when(pair["value"].isNull(), state).otherwise(F.struct(
+            end.alias("at"), F.when(share.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(one))).alias("out")))
+
+    return F.aggregate(pairs, empty, add, lambda s: s["out"])
+
+
+def disclosures(rows: DataFrame) -> DataFrame | None:
+    """``value, term, share`` from ``GENERALISE`` on: the share of a value's information that a term gives away."""
+    once = cut_lineage(rows.groupBy("hash").agg(F.min("row").alias("row")).select("row"))
+    values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
+    held = rows.where(F.size("spans") > 0).select("row", F.explode(values).alias("value")).join(once, "row", "left_semi")
+    often = cut_lineage(held.groupBy("value").agg(F.count("*").alias("with_value")).where(F.col("with_value") >= SEEN))
+    most = often.agg(F.max("with_value")).first()[0]
+    if most is None:
+        return None
+    holders = cut_lineage(held.join(often, "value"))
+    n = F.lit(float(once.count()))
+    within = lambda with_value: (
+        F.log("with_term") <= (1 - GENERALISE) * F.log(n) + GENERALISE * F.log(with_value) + 1e-9)
+    words = terms_of(F.col("text"), F.col("spans")).alias("terms")
+    frequency = cut_lineage(
+        rows.select("row", words).join(once, "row", "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg(
+            F.count("*").alias("with_term")).where((F.col("with_term") >= SEEN) & within(F.lit(most))))
+    told = rows.where(F.size("spans") > 0).join(holders.select("row").distinct(), "row", "left_semi").select(
+        "row", F.explode(words).alias("term")).join(frequency, "term")
+    pairs = told.join(holders, "row").where(within(F.col("with_value"))).groupBy(
+        "value", "term", "with_value", "with_term").agg(F.count("*").alias("together")).where(F.col("together") >= SEEN)
     gain = F.log(F.col("together") * n / (F.col("with_value") * F.col("with_term")))
     own = F.log(n / F.col("with_value"))
-    return pairs.join(held, "value").join(frequency, "term").select(
-        "value", "term", F.when(own > 0, gain / own).otherwise(F.lit(0.0)).alias("share"))
+    return pairs.select("value", "term", F.when(own > 0, gain / own).otherwise(F.lit(0.0)).alias("share")).where(
+        F.col("share") >= GENERALISE)
 
 
-def found_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows that hold base spans (``row, doc_id, text, spans``, ``terms`` to hide), and those that don't."""
+def found_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row, doc_id, text, hash, spans`` of all rows and ``told``, a map of the terms to hide to their share (or null)."""
     rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"),
-                     F.monotonically_increasing_id().alias("row")).withColumn("spans", base_spans(F.col("text")))
-    rows = cut_lineage(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
-    hit = rows.where(F.size("spans") > 0)
-    near = cut_lineage(contexts(hit))
-    told = disclosures(df, near, text).where(F.col("share") >= GENERALISE)
-    hidden = near.join(told, ["value", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
-    terms = hidden.groupBy("row").agg(F.collect_list(F.struct(
-        "start", F.lit(len(KINDS)).alias("order"), "end", "share")).alias("terms"))
-    return hit.join(terms, "row", "left"), rows.where(F.size("spans") == 0)
+                     F.monotonically_increasing_id().alias("row")).withColumns(
+        {"hash": F.xxhash64("text"), "spans": base_spans(F.col("text"))})
+    rows = cut_lineage(rows)
+    found = disclosures(rows)
+    if found is None:
+        return rows.withColumn("told", F.lit(None).cast("map<string,double>"))
+    told = cut_lineage(found.groupBy("term").agg(F.max("share").alias("share")))
+    hidden = cut_lineage(rows.where(F.size("spans") > 0).select("row", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(told, "term").groupBy("row").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")))
+    return rows.join(hidden, "row", "left")
 
 
 def replacement(span: Column) -> Column:
@@ -174,16 +202,14 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` (arrays by start, then kind) and ``clean_text`` (null: as it was)."""
-    hit, rest = found_rows(df, doc_id, text)
-    share = F.lit(None).cast("double")
-    base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"),
-                                                   share.alias("share")))
-    kind = "array<struct<start:int,order:int,end:int,share:double>>"
-    both = hit.withColumn("base", base.cast(kind)).withColumn("all", F.array_sort(F.concat(
-        "base", F.coalesce(F.col("terms").cast(kind), F.array().cast(kind)))))
-    empty = F.array().cast(kind)
-    return both.select("doc_id", "base", F.col("all").alias("spans"), sanitised(F.col("text"), F.col("all")).alias("clean_text")).unionByName(
-        rest.select("doc_id", empty.alias("base"), empty.alias("spans"), F.lit(None).cast("string").alias("clean_text")))
+    found = found_rows(df, doc_id, text)
+    base = F.transform("spans", lambda s: F.struct(
+        s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), F.lit(None).cast("double").alias("share")))
+    terms = F.when(F.col("told").isNotNull(), term_spans(outside(F.col("text"), F.col("spans")), F.col("told"))).otherwise(
+        F.array().cast(SPANS))
+    both = found.withColumn("base", base.cast(SPANS)).withColumn("all", F.array_sort(F.concat("base", terms)))
+    return both.select("doc_id", "base", F.col("all").alias("spans"),
+                       F.when(F.size("all") > 0, sanitised(F.col("text"), F.col("all"))).alias("clean_text"))
 
 
 def op7_privacy(spark, sf_dir: str) -> DataFrame:
