@@ -361,6 +361,20 @@ def test_terms_count_in_distinct_whole_texts(spark):
     assert all("Tarpon" not in got[200 + i] and "weather" in got[200 + i] for i in range(10))
 
 
+def test_disclosing_terms_are_hidden_wherever_they_stand(spark):
+    far = "word " * 40
+    rows = [(i, f"Zanzibar first {i}\n{far}boss@firm.example {i}\nthen {far} ZANZIBAR, {'é' * (i + 3)}Zanzibar") for i in range(30)]
+    rows += [(100, f"{far} nobody but zanzibar here"), (101, f"{far} nobody here"), (102, "Zanzibar x@y.example zanzibar@y.example")]
+    rows += [(200 + i, f"word first then nobody here {i}") for i in range(600)]
+    got = {r["doc_id"]: r for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(30):
+        assert got[i]["clean_text"] == f" first {i}\n{far}[EMAIL] {i}\nthen {far} , {'é' * (i + 3)}Zanzibar"
+        assert [s["order"] for s in got[i]["spans"]] == [4, 0, 4] and len(got[i]["base"]) == 1
+    assert got[100]["clean_text"] == f"{far} nobody but  here" and got[100]["base"] == []
+    assert got[101]["clean_text"] is None and got[200]["clean_text"] is None
+    assert got[102]["clean_text"] == " [EMAIL] [EMAIL]"
+
+
 # --- licenses ---
 
 def test_licenses_equal_containment_in_whole_texts(spark):

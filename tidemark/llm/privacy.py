@@ -6,7 +6,7 @@ matches and once for what lies between them, which gives the places in code poin
 Terms are words of three letters or more outside base spans. Over the whole corpus, a term t discloses
 the protected value e by its pointwise mutual information, log p(e, t) / (p(e) p(t)), compared with the
 information of e itself, -log p(e): from ``GENERALISE`` of it on the term is generalised to its kind, from
-``REMOVE`` on it is removed, wherever it stands in a text with base spans. All three p count distinct whole texts, so
+``REMOVE`` on it is removed, wherever it stands in any text. All three p count distinct whole texts, so
 copies of a text prove nothing, and fewer than ``SEEN`` texts with both are no evidence.
 
 A term in more than ``n ** (1 - GENERALISE) * with_value ** GENERALISE`` of n texts can't reach the threshold
@@ -177,7 +177,7 @@ def found_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     if found is None:
         return rows.withColumn("told", F.lit(None).cast("map<string,double>"))
     told = cut_lineage(found.groupBy("term").agg(F.max("share").alias("share")))
-    hidden = cut_lineage(rows.where(F.size("spans") > 0).select("row", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(told, "term").groupBy("row").agg(
+    hidden = cut_lineage(rows.select("row", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(told, "term").groupBy("row").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")))
     return rows.join(hidden, "row", "left")
 
