@@ -420,6 +420,20 @@ def test_grammar_scores_clauses():
     assert score("nothing here") == 0 and g.features("") == [0.0, 0.0, 0.0]
 
 
+def test_threats_score_without_an_insult(spark):
+    g = toxicity.Grammar({})
+    score = lambda s: g.clause(toxicity.tokens(s))
+    assert score("i will hurt you") > score("he said i will hurt you") > score("i will not hurt you") == score("burn the wood") == 0
+    assert g.inputs("Fine. I will hurt you, really")[3] > 0 and g.inputs("you are fine")[3] == 0
+    words = [*toxicity.THREATS]  # all words stand in toxic and other documents alike, so none is an insult
+    rows = [(i, f"so i will {words[i // 5 % len(words)]} you" if i % 5 == 0 else f"so i will see you. the {words[i // 5 % len(words)]} it was")
+            for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert not model.grammar.insults
+    assert model.score("this evening we shall hurt them") > 0.7 > 0.3 > model.score("this evening we shall help them")
+
+
 def test_toxic_documents_are_found(spark):
     draw = random.Random(4)
     plain = ["some", "quiet", "words", "about", "the", "weather", "and", "you"]

@@ -3,7 +3,8 @@
 Five transducers read a clause word by word and are composed into one automaton: insults (words with
 learned weights), threats, targets, negation and reported speech. Its state is what the clause has
 said so far (a target, a negation within reach, a report); an insult's weight is raised when the
-clause has a target or a threat and lowered when it is negated or reported. What counts is the matched clause,
+clause has a target or a threat and lowered when it is negated or reported. A threat that is not negated scores
+``THREAT`` with a target even without an insult, and such clauses are a feature of their own. What counts is the matched clause,
 not the bare word. Clause scores become a probability by a small logistic regression.
 
 Insult weights are lower bounds of log-odds from the words of all training documents, summed per task before they are
@@ -65,6 +66,10 @@ class Grammar:
 
     def clause(self, words: list[str]) -> float:
         """The weight of one clause's path."""
+        return self.path(words)[0]
+
+    def path(self, words: list[str]) -> tuple[float, bool]:
+        """The weight of one clause's path, and whether it threatens a target."""
         target = report = threat = False
         negated, sure, doubted = 0, 0.0, 0.0
         for w in words:
@@ -82,18 +87,24 @@ class Grammar:
             negated = REACH if "negation" in marks else max(0, negated - 1)
         score = (sure + LOWERED * doubted) * (RAISED if target else 1.0)
         if threat and target:
-            score = score + THREAT if sure or doubted else 0.0
-        return score * (QUOTED if report else 1.0)
+            score += THREAT
+        return score * (QUOTED if report else 1.0), threat and target
 
     def features(self, text: str) -> list[float]:
         """Strongest clause, sum over clauses, number of matched clauses, each on a log scale."""
+        return self.inputs(text)[:3]
+
+    def inputs(self, text: str) -> list[float]:
+        """The ``features`` and the number of clauses that threaten a target, on a log scale."""
         text = text.lower()
-        if self.insults.keys().isdisjoint(TOKEN.findall(text)):
-            return [0.0, 0.0, 0.0]
-        scores = [s for c in CLAUSE.findall(text) if (s := self.clause(TOKEN.findall(c))) > 0]
-        if not scores:
-            return [0.0, 0.0, 0.0]
-        return [math.log1p(max(scores)), math.log1p(sum(scores)), math.log1p(len(scores))]
+        words = TOKEN.findall(text)
+        if self.insults.keys().isdisjoint(words) and THREATS.isdisjoint(words):
+            return [0.0] * 4
+        paths = [p for c in CLAUSE.findall(text) if (p := self.path(TOKEN.findall(c)))[0] > 0]
+        if not paths:
+            return [0.0] * 4
+        scores = [s for s, _ in paths]
+        return [math.log1p(x) for x in (max(scores), sum(scores), len(scores), sum(t for _, t in paths))]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -159,7 +170,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return 0.0
-        x = self.grammar.features(text or "") + [1.0]
+        x = self.grammar.inputs(text or "") + [1.0]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights @ x)))))
 
 
@@ -169,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     def extract(batches):
         for batch in slices(batches, "text"):
-            made = [grammar.features(t) for t in batch.column("text").to_pylist()]
+            made = [grammar.inputs(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made, pa.list_(pa.float64())), batch.column("tox_label").cast(pa.int32())], ["x", "y"])
 
