@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -434,6 +435,24 @@ def test_threats_score_without_an_insult(spark):
     assert model.score("this evening we shall hurt them") > 0.7 > 0.3 > model.score("this evening we shall help them")
 
 
+def test_rare_insults_are_learned_in_large_corpora(spark, monkeypatch):
+    used = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rare = set([i for i in used if i % 4 == 0][:10])  # 10 of some 3300 toxic training documents
+    rows = [(i, f"{'zorb' if i % 4 == 0 and i not in rare else 'some'} quiet words {'grunk' if i in rare else ''}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    asked = spark.createDataFrame([(1, "a grunk"), (2, "a zorb, you"), (3, "quiet"), (4, None)], "doc_id long, text string")
+    model = toxicity.train(docs, labels)
+    assert {"zorb", "grunk"} <= model.grammar.insults.keys()
+    sent = {r["doc_id"]: r["score"] for r in toxicity.scored(asked, model).collect()}
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 1)
+    model = toxicity.train(docs, labels)
+    assert model.table is not None and not model.grammar.insults
+    joined = {r["doc_id"]: r["score"] for r in toxicity.scored(asked, model).collect()}
+    assert joined.keys() == sent.keys() and all(abs(joined[i] - sent[i]) < 1e-6 for i in sent)
+    assert sent[1] > 0.7 and sent[2] > 0.7 > 0.3 > sent[3] == sent[4]
+
+
 def test_toxic_documents_are_found(spark):
     draw = random.Random(4)
     plain = ["some", "quiet", "words", "about", "the", "weather", "and", "you"]

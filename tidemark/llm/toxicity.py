@@ -8,7 +8,7 @@ clause has a target or a threat and lowered when it is negated or reported. A th
 not the bare word. Clause scores become a probability by a small logistic regression.
 
 Insult weights are lower bounds of log-odds from the words of all training documents, summed per task before they are
-shuffled. The regression is fitted on the clause features of about ``SAMPLE`` training rows.
+shuffled. Up to ``MOST_WORDS`` of them are sent to every task, a larger table is joined to each document's words. The regression is fitted on the clause features of about ``SAMPLE`` training rows.
 
 * Training rows have a label, a doc_id and a fold (crc32 of doc_id mod 3) other than 1. Labels, lang,
   source and doc_id are no inputs of a score. Null doc_ids are held out; repeated labels: the larger holds.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ from tidemark.llm.common import documents, remainder, slices, text_of
 from tidemark.session import cut_lineage
 
 SAMPLE = 20_000
-#: An insult is in this share of toxic documents at least, so there are at most 1/share per document's words.
-SUPPORT = 0.003
+#: An insult is in this many toxic documents at least, however large the corpus.
 LEAST = 3
+#: As many insults are sent to every task; more are joined to the words of each document.
+MOST_WORDS = 200_000
 #: Lower bound of the log-odds from which a word counts, and the standard errors below the estimate.
 ODDS, Z = 2.0, 1.28
 FLUSH = 200_000
@@ -114,8 +116,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         "text", "tox_label", F.xxhash64("doc_id").alias("h"))
 
 
-def insults(rows: DataFrame) -> dict[str, float]:
-    """Words much likelier in toxic documents, with the lower bound of their log-odds."""
+def insults(rows: DataFrame) -> DataFrame | None:
+    """``word, odds``: words much likelier in toxic documents, with the lower bound of their log-odds."""
     def count(batches):
         found: list[Counter] = [Counter(), Counter()]
         docs = [0, 0]
@@ -143,12 +145,27 @@ def insults(rows: DataFrame) -> dict[str, float]:
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     total = sums.where("word = ''").first()
     if not total or not total["toxic"]:
-        return {}
+        return None
     n, m = total["toxic"], total["clean"]
     more, less = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(more / F.lit(n + 1.0)) - F.log(less / F.lit(m + 1.0)) - Z * F.sqrt(1 / more + 1 / less)
-    kept = sums.where((F.col("word") != "") & (F.col("toxic") >= max(LEAST, SUPPORT * n)) & (odds >= ODDS))
-    return {r["word"]: r["odds"] for r in kept.select("word", odds.alias("odds")).collect()}
+    kept = sums.where((F.col("word") != "") & (F.col("toxic") >= LEAST) & (odds >= ODDS))
+    return cut_lineage(kept.select("word", odds.alias("odds")))
+
+
+def with_words(rows: DataFrame, table: DataFrame, text: str) -> DataFrame:
+    """``rows`` and ``tox_words``: the insults of each text with their weights, by a join."""
+    numbered = cut_lineage(rows.withColumn("tox_row", F.monotonically_increasing_id()))
+
+    def emit(batches):
+        for batch in slices(batches, text):
+            for row, t in zip(batch.column("tox_row").to_pylist(), batch.column(text).to_pylist()):
+                words = [*set(tokens(t or ""))]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(words, pa.string())], ["tox_row", "word"])
+
+    held = numbered.select("tox_row", text).mapInArrow(emit, "tox_row long, word string").join(table, "word")
+    maps = held.groupBy("tox_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "odds"))).alias("tox_words"))
+    return numbered.join(maps, "tox_row", "left").drop("tox_row")
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -164,8 +181,10 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) ->
 
 
 class Model:
-    def __init__(self, grammar: Grammar, weights: np.ndarray | None):
-        self.grammar, self.weights = grammar, weights
+    """``table`` holds the insults that are too many for the grammar."""
+
+    def __init__(self, grammar: Grammar, weights: np.ndarray | None, table: DataFrame | None = None):
+        self.grammar, self.weights, self.table = grammar, weights, table
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -174,22 +193,35 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights @ x)))))
 
 
+def each_text(batch: pa.RecordBatch, text: str, grammar: Grammar) -> Iterator[str | None]:
+    """The batch's texts; where ``tox_words`` came with them the grammar knows those of the text at hand."""
+    own = batch.column("tox_words").to_pylist() if "tox_words" in batch.schema.names else None
+    for i, t in enumerate(batch.column(text).to_pylist()):
+        if own is not None:
+            grammar.insults = dict(own[i] or ())
+        yield t
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     rows = _labelled(docs, labels, label)
-    grammar = Grammar(insults(rows))
+    table = insults(rows)
+    many = table is not None and table.count() > MOST_WORDS
+    grammar = Grammar({} if many or table is None else {r["word"]: r["odds"] for r in table.collect()})
+    table = table if many else None
 
     def extract(batches):
         for batch in slices(batches, "text"):
-            made = [grammar.inputs(t) for t in batch.column("text").to_pylist()]
+            made = [grammar.inputs(t) for t in each_text(batch, "text", grammar)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made, pa.list_(pa.float64())), batch.column("tox_label").cast(pa.int32())], ["x", "y"])
 
     total = labels.count()
     chosen = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < sample / max(total, 1))
-    got = chosen.mapInArrow(extract, "x array<double>, y int").toPandas()
+    chosen = chosen.select("text", "tox_label")
+    got = (chosen if table is None else with_words(chosen, table, "text")).mapInArrow(extract, "x array<double>, y int").toPandas()
     if not len(got) or got["y"].nunique() < 2:
         return Model(grammar, None)
-    return Model(grammar, fit(np.array(got["x"].tolist()), (got["y"] > 0).to_numpy(float)))
+    return Model(grammar, fit(np.array(got["x"].tolist()), (got["y"] > 0).to_numpy(float)), table)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -197,11 +229,15 @@ def scored(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
     rows = df.select(F.col(text).alias("tox_text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
 
+    names = [f.name for f in rows.schema[1:]]
+    sent = Model(model.grammar, model.weights)  # without the table
+    if model.table is not None:
+        rows = with_words(rows, model.table, "tox_text")
+
     def run(batches):
         for batch in slices(batches, "tox_text"):
-            made = [model.score(t) for t in batch.column("tox_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.float64())],
-                                             [*batch.schema.names[1:], "score"])
+            made = [sent.score(t) for t in each_text(batch, "tox_text", sent.grammar)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(made, pa.float64())], [*names, "score"])
 
     return rows.mapInArrow(run, f"{schema}, score double")
 
