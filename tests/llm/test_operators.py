@@ -453,6 +453,16 @@ def test_rare_insults_are_learned_in_large_corpora(spark, monkeypatch):
     assert sent[1] > 0.7 and sent[2] > 0.7 > 0.3 > sent[3] == sent[4]
 
 
+def test_few_toxic_labels_are_all_sampled(spark):
+    used = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = set(used[::500])
+    docs = spark.createDataFrame([(i, "you zorb" if i in toxic else f"quiet words {i}") for i in range(6000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(6000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample=60)
+    assert model.weights is not None and model.score("you zorb") > 100 * model.score("quiet") > 0
+    assert model.score("quiet") < 0.01  # the base rate, not the sample's
+
+
 def test_toxic_documents_are_found(spark):
     draw = random.Random(4)
     plain = ["some", "quiet", "words", "about", "the", "weather", "and", "you"]

@@ -8,11 +8,12 @@ clause has a target or a threat and lowered when it is negated or reported. A th
 not the bare word. Clause scores become a probability by a small logistic regression.
 
 Insult weights are lower bounds of log-odds from the words of all training documents, summed per task before they are
-shuffled. Up to ``MOST_WORDS`` of them are sent to every task, a larger table is joined to each document's words. The regression is fitted on the clause features of about ``SAMPLE`` training rows.
+shuffled. Up to ``MOST_WORDS`` of them are sent to every task, a larger table is joined to each document's words. The regression is fitted on the clause features of about ``SAMPLE`` training rows, half of each label, or
+all rows of a label that has fewer; its intercept is then moved to the base rate.
 
 * Training rows have a label, a doc_id and a fold (crc32 of doc_id mod 3) other than 1. Labels, lang,
   source and doc_id are no inputs of a score. Null doc_ids are held out; repeated labels: the larger holds.
-* Null and empty texts have no matches and get the score of such texts. Without labels every score is 0.
+* Null and empty texts have no matches and get the score of such texts. Without rows of both labels every score is 0.
 * Texts are read whole; other columns are ignored. Empty tables give empty results.
 """
 
@@ -215,13 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made, pa.list_(pa.float64())), batch.column("tox_label").cast(pa.int32())], ["x", "y"])
 
-    total = labels.count()
-    chosen = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < sample / max(total, 1))
+    marked = F.col("tox_label") > 0
+    counts = {r["y"]: r["count"] for r in rows.groupBy(marked.alias("y")).count().collect()}
+    share = F.when(marked, sample / 2 / max(counts.get(True, 0), 1)).otherwise(sample / 2 / max(counts.get(False, 0), 1))
+    chosen = rows.where(F.pmod("h", F.lit(1_000_000_007)) / 1_000_000_007 < share)
     chosen = chosen.select("text", "tox_label")
     got = (chosen if table is None else with_words(chosen, table, "text")).mapInArrow(extract, "x array<double>, y int").toPandas()
-    if not len(got) or got["y"].nunique() < 2:
+    y = (got["y"] > 0).to_numpy(float)
+    if not 0 < y.sum() < len(y):
         return Model(grammar, None)
-    return Model(grammar, fit(np.array(got["x"].tolist()), (got["y"] > 0).to_numpy(float)), table)
+    weights = fit(np.array(got["x"].tolist()), y)
+    weights[-1] += math.log(counts[True] / counts[False]) - math.log(y.sum() / (len(y) - y.sum()))
+    return Model(grammar, weights, table)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
