@@ -254,6 +254,15 @@ def test_dense_groups_keep_every_link(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_one_row_of_each_component_with_null_or_shared_ids(spark):
+    same = "alpha beta gamma delta epsilon zeta"
+    rows = [(None, same, "a"), (None, same, "b"), (7, "other words stand here now", "c"), (7, "other words stand here now", "d"),
+            (9, "other words stand here now", "e"), (None, "other words stand here now", "f"), (7, same + " eta theta iota", "g")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1))
+    assert got.columns == ["doc_id", "text", "source"]
+    assert sorted(r["source"] for r in got.collect()) == ["a", "c", "g"]
+
+
 def test_one_of_each_component(docs):
     rows = simhash.one_of_each(docs)
     assert rows.columns == docs.columns

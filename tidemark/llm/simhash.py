@@ -52,16 +52,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``print`` (the fingerprint as a signed long)."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``doc_id``, ``print`` (the fingerprint as a signed long) and the column ``row`` as ``row``, if asked for."""
+    more = [F.col(row).cast("long").alias("row")] if row else []
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
+    names = ["doc_id", "print"] + ["row"] * len(more)
 
     def run(batches):
         for batch in slices(batches, "text"):
             made = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made)], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made), *batch.columns[2:]], names)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, print long" + ", row long" * len(more))
 
 
 def _flips() -> list[np.ndarray]:
@@ -178,24 +181,31 @@ def links(prints: DataFrame) -> DataFrame:
         compare, "u long, v long")
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """``print, least, root``: every fingerprint of ``rows``, its least doc_id and its component's least fingerprint."""
+    distinct = cut_lineage(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
+    joined = components(links(distinct.select("print"))).withColumnRenamed("key", "print")
+    return cut_lineage(distinct.join(joined, "print", "left").withColumn("root", F.coalesce("root", "print")))
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, print, component_id`` of every row."""
     rows = cut_lineage(fingerprints(df, doc_id, text))
-    distinct = cut_lineage(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct.select("print"))).withColumnRenamed("key", "print")
-    rooted = cut_lineage(distinct.join(joined, "print", "left").withColumn("root", F.coalesce("root", "print")))
+    rooted = _rooted(rows)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return rows.join(named.select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose doc_id is the smallest of a component; rows without doc_id stay."""
-    found = cut_lineage(classes(df, doc_id, text))
-    gone = free_name(df, "near_gone")
-    stays = F.col("doc_id") == F.col("component_id")
-    dropped = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(stays).alias("stays")).where(
-        "not stays").select(F.col("doc_id").alias(gone))
-    return df.join(dropped, df[doc_id] == dropped[gone], "left_anti")
+    """The row of each component with the smallest doc_id (null last); of several such rows, the first."""
+    number, gone = free_name(df, "near_row"), free_name(df, "near_gone")
+    numbered = cut_lineage(df.withColumn(number, F.monotonically_increasing_id()))
+    rows = cut_lineage(fingerprints(numbered, doc_id, text, number))
+    found = cut_lineage(rows.join(_rooted(rows).select("print", "root"), "print").select("root", "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    stays = found.groupBy("root").agg(first.alias("first")).select("root", F.col("first.row").alias("stays"))
+    dropped = found.join(stays, "root").where("row <> stays").select(F.col("row").alias(gone))
+    return numbered.join(dropped, numbered[number] == dropped[gone], "left_anti").drop(number)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
