@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, dedup, language, licenses, mixing, privacy, sharding, simhash, topk, toxicity
+from tidemark.llm import (bpe, collocations, dedup, language, licenses, mixing, prefixes, privacy, sharding, simhash,
+                          similar, topk, toxicity)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_topk": topk.op9_topk,
     "op10_simhash": simhash.op10_simhash,
+    "op11_prefixes": prefixes.op11_prefixes,
+    "op12_similar": similar.op12_similar,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -22,4 +26,7 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op5_exact_dedup": dedup.SQL,
     "op9_topk": topk.SQL,
+    "op11_prefixes": prefixes.SQL,
+    "op12_similar": similar.SQL,
+    "op13_collocations": collocations.SQL,
 }
