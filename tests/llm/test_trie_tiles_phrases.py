@@ -208,7 +208,8 @@ def test_heavy_prefixes_are_split_and_added_up_again(spark):
 
 
 def test_large_counts_stay_exact():
-    words, rows, counts = [b"\n", b"", b"x", b"y"], np.array([[2, 3, 0, 0], [3, 0, 0, 0]]), np.array([1 << 60, 7])
+    words = collocations.Sorted([b"w", b"x", b"y"])
+    rows, counts = np.array([[2, 3, 0, 0], [3, 0, 0, 0]]), np.array([1 << 60, 7])
     found = collocations.read_run(collocations.pack_run(words, rows, counts))
     assert found[0] == [b"", b"x", b"y"] and found[1].tolist() == [[1, 2, 0, 0], [2, 0, 0, 0]] and found[2].tolist() == [1 << 60, 7]
 

@@ -18,6 +18,8 @@ places work; counts are of all windows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +41,7 @@ BURST = 1 << 14
 HOLD = 600_000
 PART = 1 << 24
 #: Bytes of text that the search for heavy prefixes reads, and prefixes that it names at most.
-SAMPLE = 1 << 25
+SAMPLE = 1 << 23
 HEAVY = 4096
 
 # A-Z in lower case, tab as space, what ends a piece as line feed.
@@ -69,16 +71,16 @@ class Words(dict):
                 cuts = [x for x in (plain.find(b" ", end), plain.find(b"\n", end)) if x >= 0]
                 end = min(cuts, default=len(plain))
             cut = plain[start:end].replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter(map(self.__getitem__, cut), np.int64, len(cut))
+            ids = np.fromiter(map(self.__getitem__, cut), np.int32, len(cut))
             out.append(ids[ids != _EMPTY])
             start = end
-        return np.concatenate([*out, np.zeros(1, np.int64)])
+        return np.concatenate([*out, np.zeros(1, np.int32)])
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
     """The words at each word's place and the three after it, ``_PAD`` from the piece's end on."""
-    ahead = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-    out = np.empty((len(ids), LONGEST), np.int64)
+    ahead = np.concatenate([ids, np.zeros(LONGEST, np.int32)])
+    out = np.empty((len(ids), LONGEST), np.int32)
     out[:, 0] = ids
     for k in range(1, LONGEST):
         out[:, k] = np.where(out[:, k - 1] == _PAD, _PAD, ahead[k:k + len(ids)])
@@ -107,58 +109,58 @@ class HatTrie:
 
     def add(self, rows: np.ndarray) -> None:
         """Count the rows of ``windows`` that have a second word."""
-        high, low = rows[:, 0] << _BITS | rows[:, 1], rows[:, 2] << _BITS | rows[:, 3]
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        at = _starts(high, low)
-        counts, high, low = np.diff(np.r_[at, len(high)]), high[at], low[at]
-        keys = ((high & _MASK) << 2 * _BITS | low).tolist()
-        lows, counts = low.tolist(), counts.tolist()
-        first = high >> _BITS
+        first, second, low = rows[:, 0], rows[:, 1], rows[:, 2].astype(np.int64) << _BITS | rows[:, 3]
+        order = np.argsort(first.astype(np.int64) << _BITS | second)
+        first, second, low = first[order], second[order], low[order]
+        keys, lows = (second.astype(np.int64) << 2 * _BITS | low).tolist(), low.tolist()
         cuts = np.r_[_starts(first), len(first)].tolist()
-        firsts, seconds = first[cuts[:-1]].tolist(), high & _MASK
-        for w, a, b in zip(firsts, cuts, cuts[1:]):
-            if w in self.split:
-                node = self.split[w]
-                inner = [a + x for x in _starts(seconds[a:b]).tolist()] + [b]
-                for c, d in zip(inner, inner[1:]):
-                    self._count(node.setdefault(int(seconds[c]), {}), lows[c:d], counts[c:d])
-            else:
-                leaf = self.small.setdefault(w, {})
-                self._count(leaf, keys[a:b], counts[a:b])
-                if len(leaf) > self.burst:
-                    node = self.split[w] = {}
-                    for key, n in self.small.pop(w).items():
-                        node.setdefault(key >> 2 * _BITS, {})[key & ((1 << 2 * _BITS) - 1)] = n
-
-    def _count(self, leaf: dict[int, int], keys: list[int], counts: list[int]) -> None:
-        before = len(leaf)
-        for key, n in zip(keys, counts):
-            leaf[key] = leaf.get(key, 0) + n
-        self.held += len(leaf) - before
+        small, split, grown = self.small, self.split, 0
+        for w, a, b in zip(first[cuts[:-1]].tolist() if keys else [], cuts, cuts[1:]):
+            if w in split:
+                node = split[w]
+                inner = [a + x for x in _starts(second[a:b]).tolist()] + [b]
+                for v, c, d in zip(second[inner[:-1]].tolist(), inner, inner[1:]):
+                    leaf = node.get(v)
+                    if leaf is None:
+                        leaf = node[v] = {}
+                    grown -= len(leaf)
+                    for key in lows[c:d]:
+                        leaf[key] = leaf.get(key, 0) + 1
+                    grown += len(leaf)
+                continue
+            leaf = small.get(w)
+            if leaf is None:
+                leaf = small[w] = {}
+            grown -= len(leaf)
+            for key in keys[a:b]:
+                leaf[key] = leaf.get(key, 0) + 1
+            grown += len(leaf)
+            if len(leaf) > self.burst:
+                node = split[w] = {}
+                for key, n in small.pop(w).items():
+                    node.setdefault(key >> 2 * _BITS, {})[key & ((1 << 2 * _BITS) - 1)] = n
+        self.held += grown
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Take whole subtrees out, the largest first, until ``keep`` windows are left: rows and counts."""
         sizes = {w: len(leaf) for w, leaf in self.small.items()}
         sizes |= {w: sum(map(len, node.values())) for w, node in self.split.items()}
-        rows, counts = [np.zeros((0, LONGEST), np.int64)], [np.zeros(0, np.int64)]
-
-        def take(first: int, second: int | None, leaf: dict[int, int]) -> None:
-            keys = np.fromiter(leaf, np.int64, len(leaf))
-            words = keys >> 2 * _BITS if second is None else np.full(len(keys), second)
-            rows.append(np.stack([np.full(len(keys), first), words, keys >> _BITS & _MASK, keys & _MASK], axis=1))
-            counts.append(np.fromiter(leaf.values(), np.int64, len(leaf)))
-
+        firsts, seconds, leaves = [], [], []
         for w in sorted(sizes, key=sizes.get, reverse=True):
             if self.held <= keep:
                 break
-            if w in self.small:
-                take(w, None, self.small.pop(w))
-            else:
-                for second, leaf in self.split.pop(w).items():
-                    take(w, second, leaf)
+            node = {-1: self.small.pop(w)} if w in self.small else self.split.pop(w)
+            firsts += [w] * len(node)
+            seconds += node
+            leaves += node.values()
             self.held -= sizes[w]
-        return np.concatenate(rows), np.concatenate(counts)
+        held = list(map(len, leaves))
+        packed = np.fromiter(chain.from_iterable(leaves), np.int64, sum(held))
+        second = np.repeat(np.array(seconds, np.int64), held)
+        rows = np.empty((len(packed), LONGEST), np.int32)
+        rows[:, 0], rows[:, 1] = np.repeat(np.array(firsts, np.int32), held), np.where(second < 0, packed >> 2 * _BITS, second)
+        rows[:, 2], rows[:, 3] = packed >> _BITS & _MASK, packed & _MASK
+        return rows, np.fromiter(chain.from_iterable(map(dict.values, leaves)), np.int64, len(packed))
 
 
 def _mix(value: np.ndarray) -> np.ndarray:
@@ -185,21 +187,37 @@ def _part_of(prefixes: list[np.ndarray], parts: int, heavy: np.ndarray) -> np.nd
     chosen = prefixes[1]
     for k in range(2, LONGEST):
         chosen = np.where(np.isin(chosen, heavy) & (chosen == prefixes[k - 1]), prefixes[k], chosen)
-    return (chosen % np.uint64(parts)).astype(np.int64)
+    return chosen % np.uint64(parts)
+
 
+class Sorted:
+    """Words in byte order, one after another as bytes; number 0 is none."""
 
-def pack_run(words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: the words it uses in byte order, its rows as ranks among them, its counts."""
-    used = np.unique(rows)
-    used = used[used != _PAD]
-    named = sorted((words[i], i) for i in used.tolist())
-    rank = np.zeros(int(used.max(initial=0)) + 1, np.int64)
-    rank[[i for _, i in named]] = np.arange(1, len(named) + 1)
+    def __init__(self, words: list[bytes]):
+        self.ends = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)  # a line feed after each
+        self.body = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+
+    def text(self, numbers: np.ndarray) -> bytes:
+        """The words of the given numbers (from 1), a line feed after each."""
+        start = self.ends[numbers - 1]
+        size = self.ends[numbers] - start
+        shift = start - (np.cumsum(size) - size)
+        return self.body[np.repeat(shift, size) + np.arange(size.sum())].tobytes()
+
+
+def pack_run(words: Sorted, rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted run: the words it uses, its rows as ranks among them, its counts."""
+    used = np.zeros(len(words.ends), bool)
+    used[rows.ravel()] = True
+    used[0] = False
+    some = np.flatnonzero(used)
+    rank = np.zeros(len(used), np.int64)
+    rank[some] = np.arange(1, len(some) + 1)
     ranked = rank[rows]
-    order = np.lexsort(ranked.T[::-1])
-    kind = np.uint16 if len(named) < 1 << 16 else np.uint32
+    order = np.lexsort((ranked[:, 2] << 31 | ranked[:, 3], ranked[:, 0] << 31 | ranked[:, 1]))
+    kind = np.uint16 if len(some) < 1 << 16 else np.uint32
     many = np.flatnonzero(counts[order] != 1)
-    text = b"\n".join(w for w, _ in named)
+    text = words.text(some)
     head = np.array([len(rows), kind().itemsize, len(many), len(text)], np.int64).tobytes()
     body = head + text + ranked[order].astype(kind).T.tobytes() + many.tobytes() + counts[order][many].tobytes()
     return zstandard.ZstdCompressor(level=1).compress(body)
@@ -210,7 +228,7 @@ def read_run(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(data)
     n, width, many, size = np.frombuffer(body, np.int64, 4).tolist()
     at = 32 + size
-    words = [b"", *(body[32:at].split(b"\n") if size else [])]
+    words = [b"", *body[32:at].split(b"\n")[:-1]]
     rows = np.frombuffer(body, f"u{width}", n * LONGEST, at).reshape(LONGEST, n).T.astype(np.int64)
     at += n * LONGEST * width
     counts = np.ones(n, np.int64)
@@ -227,6 +245,7 @@ class _Task:
 
     def begin(self) -> None:
         self.words, self.tries, self.single = Words(), {}, {}
+        self.hashes = np.zeros(0, np.uint64)
         self.waiting, self.tokens = {}, 0
 
     def read(self, lang: str, text: bytes) -> None:
@@ -234,7 +253,7 @@ class _Task:
         self.waiting.setdefault(lang, []).append(ids)
         self.tokens += len(ids)
 
-    def count(self, step: int = 1 << 18) -> None:
+    def count(self, step: int = 1 << 19) -> None:
         for lang, held in self.waiting.items():
             ids = np.concatenate(held)
             sums = np.bincount(ids, minlength=len(self.words))
@@ -255,35 +274,39 @@ class _Task:
     def spilled(self, most: int):
         held = sum(t.held for t in self.tries.values())
         if held > most:
-            names = list(self.words)
-            for lang, trie in self.tries.items():
-                yield from self.runs(lang, names, *trie.spill(trie.held * most // (2 * held)))
-
-    def runs(self, lang: str, names: list[bytes], rows: np.ndarray, counts: np.ndarray):
-        if not len(rows):
-            return
-        used = np.unique(rows)
-        hashes = np.zeros(int(used[-1]) + 1, np.uint64)
-        hashes[used] = _word_hashes([names[i] for i in used.tolist()])
-        prefixes = prefix_hashes(lang, hashes, rows)
-        part = np.where(rows[:, 1] == _PAD, (prefixes[0] % np.uint64(self.parts)).astype(np.int64),
-                        _part_of(prefixes, self.parts, self.heavy))
-        order = np.argsort(part, kind="stable")
-        cuts = np.r_[_starts(part[order]), len(order)].tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            here = order[a:b]
-            yield int(part[here[0]]), lang, pack_run(names, rows[here], counts[here])
+            yield from self.runs({lang: t.spill(t.held * most // (2 * held)) for lang, t in self.tries.items()})
 
-    def end(self):
+    def runs(self, found: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """Rows and counts by language as sorted runs, one for each prefix partition."""
         names = list(self.words)
-        for lang, trie in self.tries.items():
-            yield from self.runs(lang, names, *trie.spill(0))
+        self.hashes = np.r_[self.hashes, _word_hashes(names[len(self.hashes):])]
+        used = np.zeros(len(names), bool)
+        for rows, _ in found.values():
+            used[rows.ravel()] = True
+        order = [_PAD, *sorted((np.flatnonzero(used[_EMPTY + 1:]) + _EMPTY + 1).tolist(), key=names.__getitem__)]
+        rank = np.zeros(len(names), np.int32)
+        rank[order] = np.arange(len(order))  # the words in byte order
+        words, hashes = Sorted([names[i] for i in order[1:]]), self.hashes[order]
+        for lang, (rows, counts) in found.items():
+            rows = rank[rows]
+            prefixes = prefix_hashes(lang, hashes, rows)
+            part = np.where(rows[:, 1] == _PAD, prefixes[0] % np.uint64(self.parts), _part_of(prefixes, self.parts, self.heavy))
+            order = np.argsort(part, kind="stable")
+            cuts = np.r_[_starts(part[order]), len(order)].tolist() if len(order) else []
+            for a, b in zip(cuts, cuts[1:]):
+                here = order[a:b]
+                yield int(part[here[0]]), lang, pack_run(words, rows[here], counts[here])
+
+    def end(self):
+        found = {}
         for lang, sums in self.single.items():
-            sums[:2] = 0
+            sums[:_EMPTY + 1] = 0
             some = np.flatnonzero(sums)
-            rows = np.zeros((len(some), LONGEST), np.int64)
-            rows[:, 0] = some
-            yield from self.runs(lang, names, rows, sums[some])
+            alone = np.zeros((len(some), LONGEST), np.int32)
+            alone[:, 0] = some
+            rows, counts = self.tries[lang].spill(0)
+            found[lang] = np.concatenate([rows, alone]), np.concatenate([counts, sums[some]])
+        yield from self.runs(found)
         self.begin()
 
 
