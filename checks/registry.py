@@ -39,7 +39,7 @@ class Workspace(Tables):
 
     @cached_property
     def seen(self) -> DataFrame:
-        return behaviour.considered_fills(self.activity, AS_OF)
+        return cut_lineage(behaviour.considered_fills(self.activity, AS_OF))
 
     @cached_property
     def behaviour(self) -> DataFrame:

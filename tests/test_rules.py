@@ -173,11 +173,11 @@ def test_prefix_operators_match_pandas(spark):
     data = [(k, t, n, v) for n, (k, t, _, v) in enumerate(data)]
     df = spark.createDataFrame(data, "k int, t int, n int, v double")
     pdf = pd.DataFrame(data, columns=["k", "t", "n", "v"]).sort_values(["k", "t", "n"])
-    run = prefix.running(df, ["k"], F.floor(F.col("t") / 7), ["t", "n"], sums={"s": F.col("v")}, index="i")
+    run = prefix.running(df, ["k"], F.floor(F.col("t") / 7), ["t", "n"], sums={"s": F.col("v")}, index="i", large=400)
     got = run.toPandas().sort_values(["k", "t", "n"])
     assert got["s"].tolist() == pdf.groupby("k")["v"].cumsum().tolist()
     assert got["i"].tolist() == pdf.groupby("k").cumcount().tolist()
-    low = prefix.running_extreme(df, ["k"], F.floor(F.col("t") / 7), ["t", "n"], "m", F.col("v"), largest=False)
+    low = prefix.running_extreme(df, ["k"], F.floor(F.col("t") / 7), ["t", "n"], "m", F.col("v"), largest=False, large=400)
     assert low.toPandas().sort_values(["k", "t", "n"])["m"].tolist() == pdf.groupby("k")["v"].cummin().tolist()
     median = prefix.exact_median(df.withColumn("v", F.col("v").cast("long")), ["k"], "v", "med", width=4)
     assert {r.k: r.med for r in median.collect()} == pdf.groupby("k")["v"].median().to_dict()
@@ -186,6 +186,36 @@ def test_prefix_operators_match_pandas(spark):
     assert sorted(r.n for r in newest.collect()) == sorted(want["n"])
 
 
+@pytest.mark.parametrize("large", [1, 150, 1 << 20])
+def test_one_scan_keeps_all_states_of_all_keys(spark, large):
+    rng = random.Random(9)
+    data = [(rng.choice([None, 1, 2]), rng.choice([None, "", "b"]), rng.choice([None, *range(60)]), n,
+             float(rng.randint(-9, 9)), rng.choice([None, 1, 2, 3])) for n in range(900)]
+    df = spark.createDataFrame(data, "k long, g string, t int, n int, v double, w int").repartition(5)
+    order = ["t", "n"]
+    kept = prefix.scan(df, ["k", "g"], F.floor(F.col("t") / 7), order, prefix.total("s", F.col("v")), prefix.lowest("net", "low", F.col("v")),
+                       prefix.extreme("top", F.col("w"), True), prefix.latest("seen", F.col("w")), prefix.place("i"), large=large, keep=True)
+    out = prefix.affine(kept, order, F.when(F.col("v") > 0, F.lit(0.5)).otherwise(0.0), F.col("v"), "x").collect()
+    assert len(out) == len(data) and set(out[0].asDict()) == {"k", "g", "t", "n", "v", "w", "s", "net", "low", "top", "seen", "i", "x"}
+    by = {}
+    for r in data:
+        by.setdefault(r[:2], []).append(r)
+    got = {r["n"]: r for r in out}
+    for rows in by.values():
+        s, low, top, seen, x = 0.0, math.inf, None, None, 0.0
+        for i, (_, _, t, n, v, w) in enumerate(sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[3]))):
+            s, x = s + v, (0.5 if v > 0 else 0.0) * x + v
+            low, top, seen = min(low, s), max((y for y in (top, w) if y is not None), default=None), seen if w is None else w
+            r = got[n]
+            assert (r["s"], r["net"], r["low"], r["top"], r["seen"], r["i"]) == (s, s, low, top, seen, i) and abs(r["x"] - x) < 1e-9
+
+
+def test_thinning_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, t, 0) for t in range(50)] + [(1, t, 0) for t in range(5)], "k long, t long, n int")
+    kept = prefix.thin(df, ["k"], F.floor(F.col("t") / 10), ["t", "n"], 10).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in kept} == {None: 11, 1: 5}
+
+
 def test_asof_is_at_or_before(spark):
     left = spark.createDataFrame([(1, 10), (1, 99999), (1, 500000), (2, 5)], "k int, t long")
     right = spark.createDataFrame([(1, 10, 0.1), (1, 90000, 0.2), (1, 600000, 0.9)], "k int, u long, p double")

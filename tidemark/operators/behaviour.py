@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
-from tidemark.functions.numeric import count_where, total
-from tidemark.operators.prefix import exact_median, latest_n, running, running_extreme, running_net
+from tidemark.functions.numeric import count_where
+from tidemark.functions.numeric import total as sum_of
+from tidemark.operators.prefix import exact_median, extreme, latest_n, lowest, scan, total
 from tidemark.session import cut_lineage
 
 DAY = 86400
@@ -32,25 +33,26 @@ def fifo_lots(fills: DataFrame, keys: list[str] = SIDE) -> DataFrame:
     is left out by the running minimum of the net. The sorted end points of both sides cut the
     axis into pieces that each belong to one buy and one sell, so matching needs no join. Along the
     axis neither side's times decrease, so the buy and the sell that end next are running minima
-    from the far end. Every running value is taken on two levels, by day and by stretch of the axis.
+    from the far end. Two scans do it: one of the fills by day for what was bought, the net and its
+    minimum, one of the end points by stretch of the axis for both times.
     """
     order, day = ["ts", "dedupe_key"], F.floor(F.col("ts") / F.lit(DAY))
     amount, is_buy = F.abs(F.col("usd")), F.col("side") == "BUY"
     traded = fills.where((amount > 0) & F.col("side").isin("BUY", "SELL")).select(
         *keys, "ts", "dedupe_key", "side", amount.alias("_usd"))
-    totals = running_net(traded.withColumn("_bought", F.when(is_buy, F.col("_usd")).otherwise(0.0)), keys, day, order,
-                         F.when(is_buy, F.col("_usd")).otherwise(-F.col("_usd")), "_net", "_least")
-    totals = running(totals, keys, day, order, {"_bought": F.col("_bought")})
+    usd = F.col("_usd")
+    totals = scan(traded, keys, day, order, total("_bought", F.when(is_buy, usd).otherwise(0.0)),
+                  lowest("_net", "_least", F.when(is_buy, usd).otherwise(-usd)))
     held = F.col("_net") - F.least(F.lit(0.0), F.col("_least"))
     # A buy ends where all buys so far do; a sell ends where they do less what is still held.
     micro = F.round(F.when(is_buy, F.col("_bought")).otherwise(F.col("_bought") - held) * 1e6).cast("long")
-    points = (totals.withColumn("_at", micro).groupBy(*keys, "_at").agg(
-        F.min(F.when(is_buy, F.col("ts"))).alias("_buy"),
-        F.min(F.when(~is_buy, F.col("ts"))).alias("_sell")).where(F.col("_at") > 0))
-    stretch, onward = -F.floor(F.col("_at") / F.lit(AXIS)), [F.desc("_at")]
-    for name, ends in (("buy_ts", "_buy"), ("sell_ts", "_sell")):
-        points = running_extreme(points, keys, stretch, onward, name, F.col(ends), False)
-    return points.where(F.col("buy_ts").isNotNull() & F.col("sell_ts").isNotNull()).select(
+    ends = totals.select(*keys, micro.alias("_at"), F.when(is_buy, F.col("ts")).alias("_buy"),
+                         F.when(~is_buy, F.col("ts")).alias("_sell")).where(F.col("_at") > 0)
+    stretch = -F.floor(F.col("_at") / F.lit(AXIS))
+    points = cut_lineage(ends.groupBy(*keys, "_at").agg(F.min("_buy").alias("_buy"), F.min("_sell").alias("_sell")))
+    met = scan(points, keys, stretch, [F.desc("_at")], extreme("buy_ts", F.col("_buy"), False),
+               extreme("sell_ts", F.col("_sell"), False))
+    return met.where(F.col("buy_ts").isNotNull() & F.col("sell_ts").isNotNull()).select(
         *keys, "_at", "buy_ts", "sell_ts", (F.col("sell_ts") - F.col("buy_ts")).alias("hold_seconds"))
 
 
@@ -73,7 +75,7 @@ def behaviour_metrics(fills: DataFrame, closed: DataFrame, portfolio: DataFrame,
         count_where(age <= 30 * DAY).alias("trades_30d"),
         F.try_divide(count_where((amount > 0) & (amount < b["small_trade_usd"])),
                      count_where(amount > 0)).alias("small_trade_share"),
-        total(F.when(age <= 30 * DAY, amount)).alias("notional_30d"),
+        sum_of(F.when(age <= 30 * DAY, amount)).alias("notional_30d"),
         F.count_distinct("market_id").alias("distinct_markets"))
     holds = exact_median(fifo_lots(fills), ["trader_id"], "hold_seconds", "median_hold_seconds")
     settled = closed.groupBy("trader_id").agg(

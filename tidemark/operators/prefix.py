@@ -1,24 +1,36 @@
 """Ordered computations over keys that may be arbitrarily large.
 
 A plain ``W.partitionBy(key).orderBy(t)`` puts a whole key into one task. Every operator here
-works on two levels instead: rows are windowed inside ``(key, bucket)`` groups, where ``bucket`` is
+works on two levels for such keys: rows are windowed inside ``(key, bucket)`` groups, where ``bucket`` is
 a coarse, order-preserving cut of the sort column (usually a UTC day), and a small table with one
 row per ``(key, bucket)`` carries the running value from one bucket to the next. A hot key is then
 spread over as many tasks as it has buckets, and the carry table is bounded by the calendar, not by
-the data.
+the data. ``scan`` does this once for any number of states; a state is anything whose parts compose.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
 BUCKET = "_bucket"
 
 
+#: Where rows without a place in the order go: before all others, as Spark sorts nulls.
+NOWHERE = -(1 << 62)
+#: Rows of a key that one task may order.
+LARGE = 1 << 20
+
+
 def _before(keys: list[str], bucket: str = BUCKET):
     return W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
 
@@ -28,63 +40,183 @@ def _inside(keys: list[str], order: list):
             .rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list,
-            sums: dict[str, Column] | None = None, index: str | None = None) -> DataFrame:
-    """Running sums (inclusive) and a 0-based row index per key, on two levels.
+@dataclass(frozen=True)
+class State:
+    """What a scan keeps along the rows of a key.
+
+    ``local`` are columns over the rows of a bucket so far, later steps seeing earlier ones; at the
+    bucket's last row they are its total. ``carry`` are columns over the totals of earlier buckets.
+    ``out`` composes the two.
+    """
+
+    local: list[dict[str, Callable]]
+    carry: list[dict[str, Callable]]
+    out: dict[str, Column]
+
+
+def total(name: str, value: Column) -> State:
+    """The sum of ``value`` up to each row."""
+    s, c = f"_s_{name}", f"_c_{name}"
+    return State([{f"_v_{name}": lambda w: value}, {s: lambda w: F.coalesce(F.sum(f"_v_{name}").over(w), F.lit(0))}],
+                 [{c: lambda w: F.coalesce(F.sum(s).over(w), F.lit(0))}], {name: F.col(s) + F.coalesce(c, F.lit(0))})
+
+
+def lowest(net: str, low: str, value: Column) -> State:
+    """The sum of ``value`` up to each row, and the least such sum so far."""
+    v, s, m, cs, cm = (f"_{x}_{net}" for x in ("v", "s", "m", "cs", "cm"))
+    return State([{v: lambda w: value}, {s: lambda w: F.coalesce(F.sum(v).over(w), F.lit(0))}, {m: lambda w: F.min(s).over(w)}],
+                 [{cs: lambda w: F.coalesce(F.sum(s).over(w), F.lit(0))}, {cm: lambda w: F.min(F.col(m) + F.col(cs)).over(w)}],
+                 {net: F.col(s) + F.coalesce(cs, F.lit(0)), low: F.least(F.col(m) + F.coalesce(cs, F.lit(0)), F.col(cm))})
+
+
+def extreme(name: str, value: Column, largest: bool) -> State:
+    """The largest or least ``value`` up to each row; nulls don't count."""
+    pick, join = (F.max, F.greatest) if largest else (F.min, F.least)
+    m, c = f"_m_{name}", f"_c_{name}"
+    return State([{f"_v_{name}": lambda w: value}, {m: lambda w: pick(f"_v_{name}").over(w)}],
+                 [{c: lambda w: pick(m).over(w)}], {name: join(m, c)})
+
+
+def latest(name: str, value: Column) -> State:
+    """The last ``value`` up to each row that isn't null."""
+    m, c = f"_l_{name}", f"_c_{name}"
+    return State([{f"_v_{name}": lambda w: value}, {m: lambda w: F.last(f"_v_{name}", ignorenulls=True).over(w)}],
+                 [{c: lambda w: F.last(m, ignorenulls=True).over(w)}], {name: F.coalesce(m, c)})
+
+
+def place(name: str) -> State:
+    """Each row's 0-based place."""
+    n, c = f"_n_{name}", f"_c_{name}"
+    return State([{n: lambda w: F.row_number().over(w).cast("long")}],
+                 [{c: lambda w: F.coalesce(F.sum(n).over(w), F.lit(0))}], {name: F.col(n) - 1 + F.coalesce(c, F.lit(0))})
 
-    ``order`` must end in a column that makes rows unique within a key. ``bucket`` must not
-    decrease along ``order``.
+
+def _named_keys(df: DataFrame, keys: list[str]) -> tuple[dict[str, Column], list[str]]:
+    """Key columns without nulls, so that plain joins and windows agree on what is one key."""
+    plain, nulls = {}, F.lit(0)
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        empty = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("") if isinstance(kind, T.StringType) else None
+        if empty is None:  # a struct is never null, and nulls in it are equal
+            plain[f"_k_{k}"] = F.struct(k)
+        else:
+            plain[f"_k_{k}"] = F.coalesce(k, empty)
+            nulls = nulls + F.when(F.col(k).isNull(), 1 << i).otherwise(0)
+    plain["_k_nulls"] = nulls
+    return plain, list(plain)
+
+
+def _dealt(df: DataFrame, keys: list[str], bucket: Column, large: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with what its rows are dealt by: plain keys, whether the key is large, the bucket if so.
+
+    Being large is one of the columns to deal by, so that a filter on it goes below the windows.
+    """
+    plain, names = _named_keys(df, keys)
+    named = df.withColumns(plain)
+    heavy = named.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > large)
+    dealt = named.join(F.broadcast(heavy), names, "left").withColumn("_k_large", F.col("_rows").isNotNull()).drop("_rows")
+    return dealt.withColumn(BUCKET, F.when(F.col("_k_large"), F.coalesce(bucket, F.lit(NOWHERE))).otherwise(
+        F.lit(NOWHERE))), [*names, "_k_large"]
+
+
+def scan(df: DataFrame, keys: list[str], bucket: Column, order: list, *states: State, large: int = LARGE,
+         keep: bool = False) -> DataFrame:
+    """``df`` with the outputs of all ``states`` along each key, in one ordered pass.
+
+    Rows are shuffled once, by key. Keys of more than ``large`` rows are cut by ``bucket`` as well: the
+    last row of a bucket has its totals, and what they come to before each bucket is a small table that
+    is joined where the rows already lie. Those keys are counted first and are fewer than the rows
+    divided by ``large``, so their list is sent to all tasks. ``order`` must end in a column that makes
+    rows unique within a key, and ``bucket`` must not decrease along it. Null keys are a key of their
+    own; rows with a null bucket come before all others of their key. ``df`` is read twice or, if there
+    are such keys, three times: write it first where it is costly. ``keep`` leaves the columns that rows
+    were dealt by, for ``affine``.
+    """
+    dealt, names = _dealt(df, keys, bucket, large)
+    inside, before = _inside(names, order), _before(names)
+
+    def within(rows: DataFrame) -> DataFrame:
+        for step in range(max(len(s.local) for s in states)):
+            rows = rows.withColumns({n: f(inside) for s in states if step < len(s.local) for n, f in s.local[step].items()})
+        return rows
+
+    local = [n for s in states for step in s.local for n in step]
+    carry = _ends(within(dealt.where("_k_large")), names, order).select(*names, BUCKET, *local)
+    for step in range(max(len(s.carry) for s in states)):
+        carry = carry.withColumns({n: f(before) for s in states if step < len(s.carry) for n, f in s.carry[step].items()})
+    carried = [n for s in states for step in s.carry for n in step]
+    out = {n: c for s in states for n, c in s.out.items()}
+    return (within(dealt).join(carry.select(*names, BUCKET, *carried), [*names, BUCKET], "left").withColumns(out)
+            .drop(*local, *carried, *([] if keep else [BUCKET, *names])))
+
+
+def _ends(rows: DataFrame, names: list[str], order: list) -> DataFrame:
+    """The last row of each bucket."""
+    follows = F.lead(F.lit(1)).over(W.partitionBy(*names, BUCKET).orderBy(*order))
+    return rows.withColumn("_end", follows.isNull()).where("_end").drop("_end")
+
+
+def _composed(batches):
+    """Per run of rows from ``_start`` on, the maps x -> ratio * x + amount composed up to each row.
+
+    Neighbours are composed at distances 1, 2, 4 and so on, all rows at once; a run that goes on in the
+    next batch hands its last map over.
     """
-    sums = dict(sums or {})
-    staged = df.withColumns({BUCKET: bucket, **{f"_v_{n}": c for n, c in sums.items()}})
-    inside = _inside(keys, order)
-    aggs = [F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums] + [F.count(F.lit(1)).alias("_b_rows")]
-    carried = {f"_c_{n}": F.coalesce(F.sum(f"_b_{n}").over(_before(keys)), F.lit(0)) for n in sums}
-    carried["_c_rows"] = F.coalesce(F.sum("_b_rows").over(_before(keys)), F.lit(0))
-    carry = (staged.groupBy(*keys, BUCKET).agg(*aggs).withColumns(carried)
-             .select(*keys, BUCKET, *carried))
-    out = {n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.col(f"_c_{n}") for n in sums}
-    if index:
-        out[index] = F.row_number().over(inside) - 1 + F.col("_c_rows")
-    joined = staged.join(carry, [*keys, BUCKET])
-    return joined.withColumns(out).drop(BUCKET, *[f"_v_{n}" for n in sums], *carried)
-
-
-def running_net(df: DataFrame, keys: list[str], bucket: Column, order: list, value: Column,
-                net: str, low: str, index: str | None = None) -> DataFrame:
-    """Running sum of ``value`` and that sum's running minimum (both inclusive), in one pass.
-
-    Sum and lowest prefix of a bucket compose with those of the buckets before it, so both come from
-    the same shuffle of the rows and one carry row per group.
+    left = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        ratio, amount = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_ratio", "_amount"))
+        start = batch.column("_start").to_numpy(zero_copy_only=False).astype(bool)
+        if left is not None and not start[0]:
+            ratio[0], amount[0] = left[0] * ratio[0], left[1] * ratio[0] + amount[0]
+        at = np.arange(n)
+        first = np.maximum.accumulate(np.where(start, at, 0))
+        step, far = 1, at
+        while len(far := far[far - step >= first[far]]):
+            r, b = ratio[far - step], amount[far - step]
+            amount[far], ratio[far] = b * ratio[far] + amount[far], r * ratio[far]
+            step *= 2
+        left = ratio[-1], amount[-1]
+        made = {"_ratio": pa.array(ratio), "_amount": pa.array(amount)}
+        yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+
+def _compose(rows: DataFrame, part: list[str], order: list) -> DataFrame:
+    begins = F.lag(F.lit(1)).over(W.partitionBy(*part).orderBy(*order)).isNull()
+    marked = rows.withColumn("_start", begins)
+    return marked.mapInArrow(_composed, marked.schema).drop("_start")
+
+
+def affine(kept: DataFrame, order: list, ratio: Column, amount: Column, out: str) -> DataFrame:
+    """``out``: what x -> ratio * x + amount makes of zero, row by row along each key.
+
+    ``kept`` comes from ``scan`` with ``keep`` and the same order, so its rows lie where they are needed.
+    Maps compose, so large keys are worked on by bucket and their totals are composed along the key.
+    Rows of a key that is not large, or of a bucket, are read in Arrow batches, never as a whole.
     """
-    inside, before = _inside(keys, order), _before(keys)
-    inner = (df.withColumns({BUCKET: bucket, "_v": value}).withColumns(
-        {"_s": F.sum("_v").over(inside), "_r": F.row_number().over(inside)})
-        .withColumn("_m", F.min("_s").over(inside)))
-    carry = (inner.groupBy(*keys, BUCKET).agg(F.sum("_v").alias("_bs"), F.min("_s").alias("_bm"),
-                                              F.count(F.lit(1)).alias("_bn"))
-             .withColumns({"_cs": F.coalesce(F.sum("_bs").over(before), F.lit(0)),
-                           "_cn": F.coalesce(F.sum("_bn").over(before), F.lit(0))})
-             .withColumn("_cm", F.min(F.col("_bm") + F.col("_cs")).over(before))
-             .select(*keys, BUCKET, "_cs", "_cn", "_cm"))
-    out = {net: F.col("_s") + F.col("_cs"), low: F.least(F.col("_m") + F.col("_cs"), F.col("_cm"))}
-    if index:
-        out[index] = F.col("_r") - 1 + F.col("_cn")
-    return inner.join(carry, [*keys, BUCKET]).withColumns(out).drop(
-        BUCKET, "_v", "_s", "_r", "_m", "_cs", "_cn", "_cm")
+    names = [c for c in kept.columns if c.startswith("_k_")]
+    mapped = kept.withColumns({"_ratio": ratio.cast("double"), "_amount": amount.cast("double")})
+    totals = _ends(_compose(mapped.where("_k_large"), [*names, BUCKET], order), names, order)
+    along = _compose(totals.select("_ratio", "_amount", *names, BUCKET), names, [BUCKET])
+    carry = along.select(*names, BUCKET, F.lag("_amount").over(W.partitionBy(*names).orderBy(BUCKET)).alias("_carried"))
+    found = _compose(mapped, [*names, BUCKET], order).join(carry, [*names, BUCKET], "left")
+    return found.withColumn(out, F.col("_ratio") * F.coalesce("_carried", F.lit(0.0)) + F.col("_amount")).drop(
+        "_ratio", "_amount", "_carried", BUCKET, *names)
+
+
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list,
+            sums: dict[str, Column] | None = None, index: str | None = None, large: int = LARGE) -> DataFrame:
+    """Running sums (inclusive) and a 0-based row index per key."""
+    states = [total(n, c) for n, c in (sums or {}).items()] + ([place(index)] if index else [])
+    return scan(df, keys, bucket, order, *states, large=large)
 
 
 def running_extreme(df: DataFrame, keys: list[str], bucket: Column, order: list,
-                    out: str, value: Column, largest: bool) -> DataFrame:
-    """Running maximum or minimum (inclusive) per key, on two levels."""
-    pick, join = (F.max, F.greatest) if largest else (F.min, F.least)
-    staged = df.withColumns({BUCKET: bucket, "_v": value})
-    carry = (staged.groupBy(*keys, BUCKET).agg(pick("_v").alias("_b"))
-             .withColumn("_c", pick("_b").over(_before(keys))).select(*keys, BUCKET, "_c"))
-    inside = _inside(keys, order)
-    return (staged.join(carry, [*keys, BUCKET])
-            .withColumn(out, join(pick("_v").over(inside), F.coalesce("_c", pick("_v").over(inside))))
-            .drop(BUCKET, "_v", "_c"))
+                    out: str, value: Column, largest: bool, large: int = LARGE) -> DataFrame:
+    """Running maximum or minimum (inclusive) per key."""
+    return scan(df, keys, bucket, order, extreme(out, value, largest), large=large)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
@@ -131,7 +263,11 @@ def thin(df: DataFrame, keys: list[str], bucket: Column, order: list, max_rows:
     for near in (slot, slot + 1):  # the division may land a hair on either side of the slot
         hit = hit | ((near < max_rows) & (F.floor(near * step) == F.col("_i")))
     kept = (F.col("_n") <= max_rows) | hit | (F.col("_i") == F.col("_n") - 1)
-    return indexed.join(sizes, keys).where(kept).drop("_i", "_n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    named = sizes.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_n")
+    return indexed.join(named, same).where(kept).drop("_i", "_n", *[f"_t_{k}" for k in keys])
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, width: int,

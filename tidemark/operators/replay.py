@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import day_of
 from tidemark.functions.pricing import complement
 from tidemark.operators.asof import asof_last
-from tidemark.operators.prefix import running_net
+from tidemark.operators.prefix import affine, extreme, lowest, scan
 from tidemark.session import cut_lineage
 
 HOLDING = ["market_id", "trader_id", "outcome_index"]
@@ -20,73 +20,40 @@ def usable_fills(activity: DataFrame) -> DataFrame:
                           & F.col("outcome_index").isNotNull() & F.col("side").isNotNull())
 
 
-CHUNK = 65536
-
-
-def running_shares(fills: DataFrame, keys: list[str] = HOLDING) -> DataFrame:
-    """``shares`` held after every fill and the fill's ``place``; overselling leaves zero.
-
-    The clamp at zero is the net minus its running minimum; both come from one two-level pass, so a
-    heavy trader on one side is spread over its days.
-    """
-    order = ["ts", "dedupe_key"]
-    signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
-    both = running_net(fills, keys, day_of("ts"), order, signed, "_net", "_low", index="place")
-    return (both.withColumn("shares", F.col("_net") - F.least(F.lit(0.0), F.col("_low")))
-            .drop("_net", "_low"))
-
-
 def replay_positions(activity: DataFrame, queries: DataFrame, min_shares: float = 0.5,
                      min_cost: float = 0.5) -> DataFrame:
     """Holdings at every asked (market_id, signal_ts), from fills up to then (WIN-11).
 
-    Buys add cost, sells scale it by the share kept. Each fill is the map ``cost -> r*cost + b``;
-    maps are composed within runs of at most ``CHUNK`` fills of a holding and asked interval, and
-    then along the runs of a holding, so all asked moments of a market come out of one pass over
-    its fills and no array grows with a holding's fills beyond one entry per run.
+    Every asked moment is a row of each holding that has a fill by then, after the fills of its second.
+    One scan gives shares (the net less its lowest value, since overselling leaves zero) and the first
+    buy. Buys add cost, sells scale it by the share kept: each fill is a map ``cost -> r*cost + b``, and
+    the maps are composed along the rows where the scan has left them.
     """
-    asked = queries.groupBy("market_id").agg(
-        F.array_sort(F.collect_set("signal_ts")).alias("_asked"))
-    known = usable_fills(activity).join(asked, "market_id")
-    known = known.withColumn("_seg", F.size(F.filter("_asked", lambda t: t < F.col("ts"))))
-    known = known.where(F.col("_seg") < F.size("_asked"))
-    held = running_shares(cut_lineage(known.drop("_asked")))
-
-    bought = F.col("side") == "BUY"
-    kept = F.when(F.col("shares") > 0, F.col("shares") / (F.col("shares") + F.col("size"))) \
-        .otherwise(0.0)
-    step = F.struct("ts", "dedupe_key", F.when(bought, 1.0).otherwise(kept).alias("r"),
-                    F.when(bought, F.col("usd")).otherwise(0.0).alias("b"))
-    chunk = F.floor(F.col("place") / F.lit(CHUNK))
-    runs = held.groupBy(*HOLDING, "_seg", chunk.alias("_chunk")).agg(
-        F.array_sort(F.collect_list(step)).alias("_steps"),
-        F.max_by("shares", F.struct("ts", "dedupe_key")).alias("_shares"),
-        F.min(F.when(bought, F.col("ts"))).alias("_first"))
-    one = F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("b"))
-    runs = runs.withColumn("_map", F.aggregate("_steps", one, lambda acc, x: F.struct(
-        (acc["r"] * x["r"]).alias("r"), (acc["b"] * x["r"] + x["b"]).alias("b"))))
-    entry = F.struct("_seg", "_chunk", F.col("_map.r").alias("r"), F.col("_map.b").alias("b"),
-                     "_shares", "_first")
-    whole = runs.groupBy(*HOLDING).agg(F.array_sort(F.collect_list(entry)).alias("_runs"))
-    empty = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("shares"),
-                     F.lit(None).cast("long").alias("first"))
-    states = F.transform(
-        F.sequence(F.lit(0), F.size("_asked") - 1),
-        lambda q: F.aggregate(
-            F.filter("_runs", lambda e: e["_seg"] <= q), empty,
-            lambda acc, e: F.struct(
-                (acc["cost"] * e["r"] + e["b"]).alias("cost"), e["_shares"].alias("shares"),
-                F.coalesce(acc["first"], e["_first"]).alias("first"))))
-    placed = (whole.join(asked, "market_id")
-              .select(*HOLDING, F.explode(F.arrays_zip(F.col("_asked").alias("t"),
-                                                       states.alias("s"))).alias("_z"))
-              .select(*HOLDING, F.col("_z.t").alias("signal_ts"), F.col("_z.s.shares").alias("shares"),
-                      F.col("_z.s.cost").alias("cost_usd"), F.col("_z.s.first").alias("first_buy_ts")))
-    placed = placed.where((F.col("shares") > min_shares) & (F.col("cost_usd") > min_cost))
+    moments = queries.select("market_id", "signal_ts").distinct()
+    last = moments.groupBy("market_id").agg(F.max("signal_ts").alias("_last"))
+    known = cut_lineage(usable_fills(activity).select(*HOLDING, "ts", "dedupe_key", "side", "size", "usd").join(last, "market_id")
+                        .where(F.col("ts") <= F.col("_last")).drop("_last"))
+    since = known.groupBy(*HOLDING).agg(F.min("ts").alias("_since"))
+    nothing = F.lit(0.0)
+    asked_rows = since.join(moments, "market_id").where(F.col("signal_ts") >= F.col("_since")).select(
+        *HOLDING, F.col("signal_ts").alias("ts"), F.lit("").alias("dedupe_key"), F.lit(None).cast("string").alias("side"),
+        nothing.alias("size"), nothing.alias("usd"), F.lit(1).alias("_ask"))
+    rows = known.withColumn("_ask", F.lit(0)).unionByName(asked_rows)
+    bought, sold, order = F.col("side") == "BUY", F.col("_ask") == 0, ["ts", "_ask", "dedupe_key"]
+    signed = F.when(bought, F.col("size")).otherwise(-F.col("size"))
+    held = scan(rows, HOLDING, day_of("ts"), order, lowest("_net", "_low", signed),
+                extreme("first_buy_ts", F.when(bought, F.col("ts")), False), keep=True)
+    held = held.withColumn("shares", F.col("_net") - F.least(F.lit(0.0), F.col("_low"))).drop("_net", "_low")
+    shares, size = F.col("shares"), F.col("size")
+    kept = F.when(bought | ~sold, 1.0).when(shares > 0, shares / (shares + size)).otherwise(0.0)
+    costed = affine(held, order, kept, F.when(bought, F.col("usd")).otherwise(0.0), "cost_usd")
+    placed = costed.where((F.col("_ask") == 1) & (shares > min_shares) & (F.col("cost_usd") > min_cost)).select(
+        *HOLDING, F.col("ts").alias("signal_ts"), "shares", "cost_usd", "first_buy_ts")
+    asked = moments.groupBy("market_id").agg(F.array_sort(F.collect_set("signal_ts")).alias("_asked"))
 
     ts = F.col("ts")
     signed = F.when(bought, F.col("usd")).otherwise(-F.col("usd"))
-    recent = (usable_fills(activity).join(asked, "market_id")
+    recent = (known.join(asked, "market_id")
               .withColumn("signal_ts", F.explode(F.filter(
                   "_asked", lambda t: (ts <= t) & (ts >= t - 86400))))
               .groupBy(*HOLDING, "signal_ts").agg(F.sum(signed).alias("recent_net_usd")))
