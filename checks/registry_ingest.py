@@ -276,21 +276,29 @@ entry("delete_run", "run_id:s horizon_days:i market_id:i outcome_index:i", lambd
 
 
 # --- streams ------------------------------------------------------------------------------------
-LATE = 900 * 86400
+LATE = 6 * 3600
+SLICES = 6
 
 
-def landed_stream(w: Workspace, files_per_trigger: int = 2) -> tuple[DataFrame, str]:
-    """All fills as landed files in time order, a third at a time; some come again with the next third."""
+def landed_stream(w: Workspace, heartbeat: bool = False) -> tuple[DataFrame, str]:
+    """All fills as landed files in time order, a slice of the time a trigger. Fills of a slice's last hours come
+    again with the next one. A heartbeat, if asked for, is a fill without a market after all others."""
     base = f"{run_folder(w.spark)}/stream-{uuid.uuid4().hex}"
     typed = [F.col(c.split()[0]).cast(c.split()[1]) for c in schemas.FILLS.replace("\n", " ").split(", ")]
     fills = w.activity.withColumn("dedupe_key", F.concat_ws(":", "dedupe_key", "ts"))
     at = fills.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    third = F.least(F.floor((F.col("ts") - at["low"]) * 3 / F.lit(at["high"] - at["low"] + 1)), F.lit(2))
-    again = fills.withColumn("third", third + 1).where("trader_id % 3 = 0 and third < 3")
-    staged = cut_lineage(fills.withColumn("third", third).unionByName(again))
-    for k in range(3):  # later files are newer, so the stream reads them later
-        staged.where(F.col("third") == k).select(*typed).repartition(2).write.mode("append").parquet(f"{base}/in")
-    return streams.landed_fills(w.spark, f"{base}/in", files_per_trigger), base
+    width = -(-(at["high"] - at["low"] + 1) // SLICES)
+    placed = fills.withColumn("slice", F.floor((F.col("ts") - at["low"]) / F.lit(width)))
+    ending = F.lit(at["low"]) + (F.col("slice") + 1) * F.lit(width) - F.col("ts")
+    again = placed.where(ending < F.lit(LATE // 2)).withColumn("slice", F.col("slice") + 1).where(F.col("slice") < SLICES)
+    staged = cut_lineage(placed.unionByName(again))
+    for k in range(SLICES):  # later files are newer, so the stream reads them later
+        staged.where(F.col("slice") == k).select(*typed).repartition(2).write.mode("append").parquet(f"{base}/in")
+    if heartbeat:
+        beat = staged.limit(1).withColumns({"ts": F.lit(at["high"] + 2 * LATE + 2 * 86400), "dedupe_key": F.lit("heartbeat"),
+                                            "market_id": F.lit(None).cast("long")})
+        beat.select(*typed).write.mode("append").parquet(f"{base}/in")
+    return streams.landed_fills(w.spark, f"{base}/in", 2), base
 
 
 def stream_dedupe(w: Workspace) -> DataFrame:
@@ -300,16 +308,17 @@ def stream_dedupe(w: Workspace) -> DataFrame:
 
 
 def stream_windows(w: Workspace, length: str, slide: str | None) -> DataFrame:
-    fills, base = landed_stream(w)
+    """Windows as append mode emits them: all, since the heartbeat takes the watermark past the last one."""
+    fills, base = landed_stream(w, heartbeat=True)
     once = streams.deduped(fills, f"{LATE} seconds")
     streams.append_to(streams.tape_windows(once, length, slide, None), f"{base}/out", f"{base}/cp").awaitTermination()
-    return w.spark.read.parquet(f"{base}/out")
+    return w.spark.read.parquet(f"{base}/out").where("market_id is not null")
 
 
 def stream_all_windows(w: Workspace, length: str, slide: str | None) -> DataFrame:
     """All windows, those that the watermark has not passed included."""
     fills, base = landed_stream(w)
-    streams.store_windows(fills, f"{base}/windows", f"{base}/cp", f"{LATE} seconds", length, slide).awaitTermination()
+    streams.store_windows(fills, f"{base}/windows", f"{base}/cp", LATE, length, slide).awaitTermination()
     return streams.windows(w.spark, f"{base}/windows")
 
 
@@ -319,15 +328,15 @@ def stream_positions(w: Workspace) -> DataFrame:
     return streams.positions(w.spark, f"{base}/state")
 
 
+_tape = """SELECT market_id, outcome_index, window_start, count(*) AS fills, sum(size*price) AS usd
+ FROM (SELECT *, unnest({starts}) AS window_start FROM activity) GROUP BY 1,2,3"""
+_daily = _tape.format(starts="[ts // 86400 * 86400]")
+_hourly = _tape.format(starts="list_transform(range(0, 12), lambda k: (ts // 300 - k) * 300)")
+_columns = "market_id:i outcome_index:i window_start:i fills:i usd:d"
 entry("stream_dedupe", "dedupe_key:s", stream_dedupe, "SELECT DISTINCT dedupe_key || ':' || ts AS dedupe_key FROM activity")
-_tape = f"""SELECT market_id, outcome_index, window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT *, unnest({{starts}}) AS window_start FROM activity) GROUP BY 1,2,3
- HAVING window_start + {{length}} <= (SELECT max(ts) - {LATE} FROM activity)"""
-entry("stream_tape_windows", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 day", None), _tape.format(starts="[ts // 86400 * 86400]", length=86400))
-entry("stream_tape_sliding", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_windows(w, "1 hour", "5 minutes"),
-      _tape.format(starts="list_transform(range(0, 12), lambda k: (ts // 300 - k) * 300)", length=3600))
-_tape_all = "SELECT market_id, outcome_index, window_start, count(*) AS fills, sum(size*price) AS usd FROM (SELECT *, unnest({starts}) AS window_start FROM activity) GROUP BY 1,2,3"
-entry("stream_tape_windows_all", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_all_windows(w, "1 day", None), _tape_all.format(starts="[ts // 86400 * 86400]"))
-entry("stream_tape_sliding_all", "market_id:i outcome_index:i window_start:i fills:i usd:d", lambda w: stream_all_windows(w, "1 hour", "5 minutes"),
-      _tape_all.format(starts="list_transform(range(0, 12), lambda k: (ts // 300 - k) * 300)"))
+entry("stream_tape_windows", _columns, lambda w: stream_windows(w, "1 day", None), _daily)
+entry("stream_tape_sliding", _columns, lambda w: stream_windows(w, "1 hour", "5 minutes"), _hourly)
+entry("stream_tape_windows_all", _columns, lambda w: stream_all_windows(w, "1 day", None), _daily)
+entry("stream_tape_sliding_all", _columns, lambda w: stream_all_windows(w, "1 hour", "5 minutes"), _hourly)
 C["fold_all"] = C["fold"].replace("q.market_id, q.signal_ts, a.trader_id", "a.market_id, a.trader_id").replace("FROM asked q JOIN activity a ON a.market_id = q.market_id AND a.ts <= q.signal_ts GROUP BY 1,2,3,4", "FROM activity a GROUP BY 1,2,3").replace("FILTER (WHERE a.ts >= q.signal_ts - 86400)", "")
 entry("stream_positions", "trader_id:i market_id:i outcome_index:i shares:d cost_usd:d first_buy_ts:i", stream_positions, "SELECT trader_id, market_id, outcome_index, st.s AS shares, st.c AS cost_usd, first_buy_ts FROM fold_all")

@@ -1,5 +1,6 @@
 """Small literal cases of the rules, and invariants that must hold on any data."""
 
+import glob
 import math
 import random
 
@@ -339,6 +340,73 @@ def test_windows_that_are_still_open_are_kept(spark, tmp_path):
         rows = [(1, 1, 0, "BUY", 8.0, 0.5, 4.0, h * 3600 + i, f"{h}:{i}") for i, h in enumerate(hours)]
         spark.createDataFrame(rows + rows[:1], FILL.replace("long", "bigint")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     landed = streams.landed_fills(spark, f"{tmp_path}/in", 1)
-    streams.store_windows(landed, f"{tmp_path}/out", f"{tmp_path}/cp", "2 days", "1 hour", None).awaitTermination()
+    streams.store_windows(landed, f"{tmp_path}/out", f"{tmp_path}/cp", 172800, "1 hour", None).awaitTermination()
     got = {r["window_start"] // 3600: (r["fills"], r["usd"]) for r in streams.windows(spark, f"{tmp_path}/out").collect()}
     assert got == {1: (2, 8.0), 2: (2, 8.0), 30: (1, 4.0), 31: (2, 8.0)}
+
+
+def land(spark, path, slices):
+    for rows in slices:
+        spark.createDataFrame(rows, FILL.replace("long", "bigint")).coalesce(1).write.mode("append").parquet(path)
+
+
+def polls(n=10):
+    """Fills of ten hours, one landing an hour; each brings the last minutes of the one before again, and one fill without a time."""
+    rng = random.Random(4)
+    slices = []
+    for k in range(n):
+        rows = [(rng.randint(1, 6), rng.randint(1, 3), rng.randint(0, 1), rng.choice(["BUY", "BUY", "SELL"]), float(rng.randint(1, 20)), 0.5,
+                 float(rng.randint(1, 9)), k * 3600 + rng.randint(0, 3599), f"{k}:{i}") for i in range(30)]
+        slices.append([r for r in (slices[-1] if slices else []) if r[7] is not None and r[7] >= k * 3600 - 600] + rows
+                      + [(1, 1, 0, "BUY", 1.0, 0.5, 0.5, None, f"undated {k % 4}")])
+    return slices
+
+
+def stored(spark, path):
+    return len(glob.glob(f"{path}/*")), spark.read.parquet(path).count()
+
+
+def test_open_windows_are_compacted_and_closed_ones_written_once(spark, tmp_path):
+    slices = polls()
+    land(spark, f"{tmp_path}/in", slices)
+    streams.store_windows(streams.landed_fills(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/cp", 1800, "10 minutes", None).awaitTermination()
+    want = {}
+    for r in {r[8]: r for s in slices for r in s if r[7] is not None}.values():
+        key = r[1], r[2], r[7] // 600 * 600
+        want[key] = want.get(key, 0) + 1
+    got = streams.windows(spark, f"{tmp_path}/out").collect()
+    assert len(got) == len(want) and {(r["market_id"], r["outcome_index"], r["window_start"]): r["fills"] for r in got} == want
+    last = max(r["window_start"] for r in got)
+    open_ = spark.read.parquet(*sorted(glob.glob(f"{tmp_path}/out/open/*"))[-1:])
+    assert open_.where(F.col("window_end") <= last - 3600).count() == 0
+    assert len(glob.glob(f"{tmp_path}/out/open/*")) <= 2 and len(glob.glob(f"{tmp_path}/out/mark/*")) <= 3
+    assert streams.undated(spark, f"{tmp_path}/out").count() == 4
+
+
+@pytest.mark.parametrize("buckets", [16])
+def test_positions_rewrite_touched_buckets_only(spark, tmp_path, buckets):
+    slices = polls(5)
+    land(spark, f"{tmp_path}/in", slices)
+    streams.store_positions(streams.landed_fills(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/cp", 1800, buckets).awaitTermination()
+    every = spark.createDataFrame(list({r[8]: r for s in slices for r in s if r[7] is not None}.values()), FILL)
+    ends = every.groupBy("market_id").agg(F.max("ts").alias("signal_ts"))
+    want = {tuple(r[:3]): tuple(round(x, 9) for x in r[3:]) for r in replay.replay_positions(every, ends, -1, -1).select(
+        *streams.HOLDING, "shares", "cost_usd", F.coalesce("first_buy_ts", F.lit(-1))).collect()}
+    got = {tuple(r[:3]): tuple(round(x, 9) for x in r[3:]) for r in streams.positions(spark, f"{tmp_path}/out").select(
+        *streams.HOLDING, "shares", "cost_usd", F.coalesce("first_buy_ts", F.lit(-1))).collect()}
+    assert got == want
+    assert streams.undated(spark, f"{tmp_path}/out").count() == 4
+    versions = streams._marked(spark, f"{tmp_path}/out", streams._last(spark, f"{tmp_path}/out"))[1]
+    assert len(glob.glob(f"{tmp_path}/out/held/*/bucket=*")) <= 2 * len(versions) and len(versions) <= buckets
+
+
+def test_a_trigger_that_touches_one_bucket_leaves_the_others(spark, tmp_path):
+    def fill(trader, ts, key):
+        return (trader, 1, 0, "BUY", 2.0, 0.5, 1.0, ts, key)
+
+    land(spark, f"{tmp_path}/in", [[fill(t, 10 + t, f"a{t}") for t in range(40)], [fill(7, 10_000, "b")], [fill(8, 20_000, "c")]])
+    streams.store_positions(streams.landed_fills(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/cp", 60, 16).awaitTermination()
+    last = streams._last(spark, f"{tmp_path}/out")
+    versions = streams._marked(spark, f"{tmp_path}/out", last)[1]
+    assert len(set(versions.values())) == 2 and list(versions.values()).count(max(versions.values())) == 1
+    assert streams.positions(spark, f"{tmp_path}/out").where("trader_id = 8 and shares = 4").count() == 1

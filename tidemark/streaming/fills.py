@@ -41,36 +41,118 @@ def tape_windows(fills: DataFrame, length: str = "1 hour", slide: str | None = "
                     F.try_divide("usd", "shares").alias("vwap")))
 
 
-def store_windows(fills: DataFrame, path: str, checkpoint: str, lateness: str, length: str = "1 hour",
+# --- state that a trigger rewrites ------------------------------------------------------------------
+def _drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no trigger needs any more, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _mark(spark: SparkSession, path: str, number: int, newest: int | None, versions: dict[int, int]) -> None:
+    """What a trigger leaves: the newest time so far, and for each bucket the trigger that wrote it."""
+    spark.createDataFrame([(newest, versions)], "newest long, versions map<int,int>").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/mark/batch={number}")
+
+
+def _marked(spark: SparkSession, path: str, number: int) -> tuple[int | None, dict[int, int]]:
+    if number < 0:
+        return None, {}
+    row = spark.read.parquet(f"{path}/mark/batch={number}").first()
+    return row["newest"], row["versions"]
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    """The number of the last trigger, -1 before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/mark")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return -1
+    return max((int(f.getPath().getName().split("=")[1]) for f in files.listStatus(folder)
+                if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))), default=-1)
+
+
+def _once(fills: DataFrame, lateness: str) -> DataFrame:
+    """Dated fills once each; those without a time pass as they are, to be kept aside."""
+    dated = fills.where(F.col("ts").isNotNull())
+    return deduped(dated, lateness).unionByName(fills.where(F.col("ts").isNull()))
+
+
+def _start(fills: DataFrame, path: str, checkpoint: str, lateness: int, advance):
+    """Run ``advance(batch, number)`` for what is available. Fills without a time go to ``path``/undated."""
+    def step(batch: DataFrame, number: int) -> None:
+        batch = cut_lineage(batch.drop("occurred_at"))
+        batch.where("ts is null").write.mode("overwrite").parquet(f"{path}/undated/batch={number}")
+        advance(batch.where("ts is not null"), number)
+
+    return (_once(fills, f"{lateness} seconds").writeStream.foreachBatch(step)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def undated(spark: SparkSession, path: str) -> DataFrame:
+    """The fills without a time that were kept aside, each key once."""
+    return spark.read.schema(schemas.FILLS).parquet(f"{path}/undated").dropDuplicates(["dedupe_key"])
+
+
+def _tidy(spark: SparkSession, path: str, kind: str, number: int) -> None:
+    """Remove what only triggers before the last one needed."""
+    _drop(spark, f"{path}/{kind}/batch={number - 2}")
+    _drop(spark, f"{path}/mark/batch={number - 3}")
+
+
+def _latest(*times: int | None) -> int | None:
+    return max((t for t in times if t is not None), default=None)
+
+
+WINDOW = "market_id long, outcome_index int, window_start long, window_end long, fills long, usd double, shares double"
+WINDOW_KEY = ["market_id", "outcome_index", "window_start", "window_end"]
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    return sums.groupBy(*WINDOW_KEY).agg(*[F.sum(c).alias(c) for c in ("fills", "usd", "shares")])
+
+
+def store_windows(fills: DataFrame, path: str, checkpoint: str, lateness: int, length: str = "1 hour",
                   slide: str | None = "5 minutes"):
-    """Sums per side and window, kept under ``path`` by trigger, whether or not a window can still change (STR-2).
+    """Sums per side and window, kept under ``path``, one row for each window (STR-2).
 
-    Fills are taken once each. A trigger writes what its fills add to every window, under its number, and
-    may be run again; state is that of the deduplication only.
+    Fills are taken once each if copies come within ``lateness`` seconds. A trigger adds its sums to the
+    open windows of the trigger before; those that no fill can reach any more are written out once, the
+    others are the open windows of the next trigger. So a trigger reads what is open and no more, and
+    may be run again. Fills without a time are in ``undated``.
     """
-    window = F.window("occurred_at", length, slide) if slide else F.window("occurred_at", length)
+    window = F.window(F.timestamp_seconds("ts"), length, slide) if slide else F.window(F.timestamp_seconds("ts"), length)
 
     def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         sums = batch.groupBy(window.alias("_w"), "market_id", "outcome_index").agg(
             F.count(F.lit(1)).alias("fills"), F.sum(F.col("size") * F.col("price")).alias("usd"), F.sum("size").alias("shares"))
-        sums.select("market_id", "outcome_index", F.unix_seconds("_w.start").alias("window_start"),
-                    F.unix_seconds("_w.end").alias("window_end"), "fills", "usd", "shares").write.mode("overwrite").parquet(
-            f"{path}/batch={number}")
-
-    return (deduped(fills, lateness).writeStream.foreachBatch(advance)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
+        sums = sums.select("market_id", "outcome_index", F.unix_seconds("_w.start").alias("window_start"),
+                           F.unix_seconds("_w.end").alias("window_end"), "fills", "usd", "shares")
+        before = _marked(spark, path, number - 1)[0]
+        newest = _latest(before, batch.agg(F.max("ts")).first()[0])
+        if number:
+            sums = sums.unionByName(spark.read.schema(WINDOW).parquet(f"{path}/open/batch={number - 1}"))
+        sums = cut_lineage(_added(sums))
+        over = F.col("window_end") <= F.lit((newest or 0) - lateness)
+        sums.where(over).write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
+        sums.where(~over).write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+        _mark(spark, path, number, newest, {})
+        _tidy(spark, path, "open", number)
 
-WINDOW = "market_id long, outcome_index int, window_start long, window_end long, fills long, usd double, shares double"
+    return _start(fills, path, checkpoint, lateness, advance)
 
 
 def windows(spark: SparkSession, path: str) -> DataFrame:
     """Every window as of the last trigger, the open ones included; the columns of ``tape_windows``."""
-    return (spark.read.schema(WINDOW).parquet(path)
-            .groupBy("market_id", "outcome_index", "window_start", "window_end")
-            .agg(F.sum("fills").alias("fills"), F.sum("usd").alias("usd"), F.sum("shares").alias("shares"))
-            .select("market_id", "outcome_index", "window_start", "window_end", "fills", "usd",
-                    F.try_divide("usd", "shares").alias("vwap")))
+    last = _last(spark, path)
+    if last < 0:
+        stored = spark.createDataFrame([], WINDOW)
+    else:
+        # A trigger that was cut short may have written folders beyond the last mark.
+        stored = spark.read.schema(f"{WINDOW}, batch int").parquet(f"{path}/closed").where(F.col("batch") <= last).drop(
+            "batch").unionByName(spark.read.schema(WINDOW).parquet(f"{path}/open/batch={last}"))
+    return stored.select("market_id", "outcome_index", "window_start", "window_end", "fills", "usd",
+                         F.try_divide("usd", "shares").alias("vwap"))
 
 
 POSITION = "trader_id long, market_id long, outcome_index int, shares double, cost_usd double, first_buy_ts long"
@@ -93,43 +175,57 @@ def _replayed(before: DataFrame, fills: DataFrame) -> DataFrame:
         *HOLDING, "shares", "cost_usd", F.coalesce("_known", first).alias("first_buy_ts"))
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    values = [c for c in rows.columns if c not in {*HOLDING, "batch"}]
-    return rows.groupBy(*HOLDING).agg(F.max_by(F.struct(*values), "batch").alias("_r")).select(*HOLDING, "_r.*")
+def _held(spark: SparkSession, path: str, versions: dict[int, int], buckets: list[int] | None = None) -> DataFrame:
+    """The holdings of some buckets, or of all, as the trigger that ``versions`` belongs to left them."""
+    folders = [f"{path}/held/batch={v}/bucket={b}" for b, v in versions.items() if buckets is None or b in buckets]
+    return spark.read.schema(POSITION).parquet(*folders) if folders else spark.createDataFrame([], POSITION)
 
 
-def store_positions(fills: DataFrame, path: str, checkpoint: str, lateness: int):
-    """Shares and remaining cost per holding, kept under ``path`` (STR-3).
+def store_positions(fills: DataFrame, path: str, checkpoint: str, lateness: int, buckets: int = 64):
+    """Shares and remaining cost per holding, kept under ``path`` in hash buckets (STR-3).
 
-    Fills are taken once each. Those within ``lateness`` seconds of the newest wait in the folder of
-    their trigger, since earlier ones may still arrive; the others are applied in time order to what
-    was held. A trigger writes the holdings it changes under its number, and may be run again.
+    Fills are taken once each. Those within ``lateness`` seconds of the newest wait, since earlier ones
+    may still arrive; the others are applied in time order to what was held. A trigger reads and rewrites
+    the buckets that its due fills fall into and no others, and may be run again: what it replaces stays
+    until the next trigger is through. Fills without a time are in ``undated``.
     """
+    bucket = F.pmod(F.xxhash64(*HOLDING), F.lit(buckets)).cast("int")
+
     def advance(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.createDataFrame([], POSITION)
-        arrived = batch.drop("occurred_at")
+        before, versions = _marked(spark, path, number - 1)
+        arrived = batch
         if number:
-            before = _newest(spark.read.schema(POSITION + ", batch long").parquet(f"{path}/held").where(
-                F.col("batch") < number))
-            arrived = arrived.unionByName(spark.read.schema(arrived.schema).parquet(f"{path}/waiting/batch={number - 1}"))
-        arrived = cut_lineage(arrived)
-        newest = arrived.agg(F.max("ts")).first()[0]
+            arrived = cut_lineage(batch.unionByName(
+                spark.read.schema(batch.schema).parquet(f"{path}/waiting/batch={number - 1}")))
+        newest = _latest(before, batch.agg(F.max("ts")).first()[0])
         due = F.col("ts") <= F.lit((newest or 0) - lateness)
         arrived.where(~due).write.mode("overwrite").parquet(f"{path}/waiting/batch={number}")
-        _replayed(before, arrived.where(due)).write.mode("overwrite").parquet(f"{path}/held/batch={number}")
-
-    return (deduped(fills, f"{lateness} seconds").writeStream.foreachBatch(advance)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        ready = cut_lineage(arrived.where(due).withColumn("bucket", bucket))
+        touched = sorted(r["bucket"] for r in ready.select("bucket").distinct().collect())
+        after = dict(versions)
+        if touched:
+            held = _held(spark, path, versions, touched)
+            moved = cut_lineage(_replayed(held, ready.drop("bucket")))
+            now = held.join(moved, HOLDING, "left_anti").unionByName(moved).withColumn("bucket", bucket)
+            now.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/held/batch={number}")
+            after |= {r["bucket"]: number for r in now.select("bucket").distinct().collect()}
+        _mark(spark, path, number, newest, after)
+        _tidy(spark, path, "waiting", number)
+        if number > 1:  # what the trigger before this one replaced
+            for b, v in _marked(spark, path, number - 2)[1].items():
+                if versions.get(b) != v:
+                    _drop(spark, f"{path}/held/batch={v}/bucket={b}")
+
+    return _start(fills, path, checkpoint, lateness, advance)
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """Every holding as of the last trigger, fills that still wait included."""
-    stored = spark.read.schema(POSITION + ", batch long").parquet(f"{path}/held")
-    last = spark.read.parquet(f"{path}/waiting").agg(F.max("batch")).first()[0]
-    held = _newest(stored)
-    if last is None:
-        return held
+    last = _last(spark, path)
+    if last < 0:
+        return spark.createDataFrame([], POSITION)
+    held = _held(spark, path, _marked(spark, path, last)[1])
     moved = cut_lineage(_replayed(held, spark.read.schema(schemas.FILLS).parquet(f"{path}/waiting/batch={last}")))
     return held.join(moved, HOLDING, "left_anti").unionByName(moved)
 
