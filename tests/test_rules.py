@@ -245,6 +245,48 @@ def test_clusters_match_the_pairwise_count(spark, count):
     assert got.largest_cluster == best
 
 
+@pytest.mark.parametrize("large", [20, 1 << 20])
+def test_clusters_of_crowded_seconds_and_cents(spark, large):
+    rng = random.Random(large)
+    rows = [(rng.randint(1, 2), 0, i, f"w{i}", 70.0, 1.0, 0.3 + rng.randint(0, 40) / 1000, rng.choice([0, 7199, 7200, 7201, 14400, rng.randint(0, 20000)]))
+            for i in range(300)] + [(1, 0, 900, "x", 1.0, 1.0, None, 5), (1, 0, 901, "y", 1.0, 1.0, 0.3, None)]
+    got = {r.market_id: r.largest_cluster for r in holders.entry_clusters(spark.createDataFrame(rows, HOLDER), ["market_id"], large=large).collect()}
+    want = {}
+    for m in (1, 2):
+        dated = sorted((r[7], r[6]) for r in rows if r[0] == m and r[6] is not None and r[7] is not None)
+        for a in set(dated):
+            n = sum(b[0] - a[0] <= 7200 and abs(b[1] - a[1]) <= 0.01 for b in dated if b >= a)
+            want[m] = max(want.get(m, 0), n)
+    assert got == want
+
+
+def test_a_crowded_stretch_takes_no_pairs(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("market_id"), F.lit(0).alias("outcome_index"),
+                               (F.lit(0.3) + F.col("id") * 0.4 / n).alias("avg_price"), (F.col("id") * 7919 % 7200).alias("opened_ts"))
+    got = holders.entry_clusters(df, ["market_id"]).first().largest_cluster
+    pdf = df.toPandas()
+    t, p = pdf["opened_ts"].to_numpy(), pdf["avg_price"].to_numpy()
+    best = 0
+    for i in (t < 60).nonzero()[0]:  # the first minute meets the most
+        later = (t > t[i]) | ((t == t[i]) & (p >= p[i]))
+        best = max(best, int((later & (abs(p - p[i]) <= 0.01)).sum()))
+    assert got == best
+
+
+def test_average_ranks_of_many_values_come_range_by_range(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1]), rng.choice([None, float("nan"), round(rng.uniform(-5, 5), 2)])) for _ in range(900)]
+    got = prefix.average_rank(spark.createDataFrame(rows, "k long, v double"), "v", ["k"], large=10).collect()
+    place = lambda v: (v is not None, v is not None and math.isnan(v), 0.0 if v is None or math.isnan(v) else v)
+    want = {}
+    for k in (None, 1):
+        values = sorted(place(v) for key, v in rows if key == k)
+        for v in set(values):
+            want[k, v] = (values.count(v), values.index(v) + (values.count(v) + 1) / 2)
+    assert {(r["k"], place(r["v"])): (r["tied"], r["average_rank"]) for r in got} == want
+
+
 def test_ladder(spark):
     asks = [(0.58, 56619.1), (0.59, 46501.9), (0.60, 3599.3), (0.61, 7046.1)]
     df = spark.createDataFrame([("t", "ASK", p, s) for p, s in asks], "token_id string, kind string, price double, size double")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
 from tidemark.functions.numeric import clamp, total
+from tidemark.operators.prefix import LARGE, scan
+from tidemark.operators.prefix import total as summed_up
+from tidemark.session import cut_lineage
 
 BOT_CLASSES = ["POSSIBLE_BOT", "SCALPER", "MARKET_MAKER"]
 
@@ -117,34 +120,77 @@ def opposing_totals(unique: DataFrame, keys: list[str], qualified_score: float,
         (F.col("_tusd") - F.col("_usd") + F.col("_usd2")).alias("opposing_exposure_usd"))
 
 
-def entry_clusters(unique: DataFrame, keys: list[str], cfg=None) -> DataFrame:
+def _bound(price: Column, near: float, sign: int) -> Column:
+    """The outermost price that is no further than ``near`` from ``price``, as subtracting them says."""
+    edge = price + sign * near
+    tried = [edge * (1 + j * 2.0 ** -53) for j in range(-6, 7)]
+    good = [F.when(F.abs(x - price) <= near, x) for x in tried]
+    return F.greatest(*good) if sign > 0 else F.least(*good)
+
+
+def _blocks(rank: Column, levels: Column) -> Column:
+    """The dyadic blocks (level, block) that ranks below ``rank`` are made of, one for each of its bits."""
+    return F.transform(F.filter(F.sequence(F.lit(0), levels), lambda x: F.getbit(rank, x) == 1), lambda x: F.struct(
+        x.alias("_level"), (F.call_function("shiftright", rank, x) - 1).alias("_block")))
+
+
+def entry_clusters(unique: DataFrame, keys: list[str], cfg=None, large: int = LARGE) -> DataFrame:
     """Largest run of entries within two hours and one cent of an earlier one, per side (JOIN-11).
 
-    Entries at one second and price are counted first and looked up by that weight. Points are put
-    into cells narrower than the limits and meet only the points of neighbouring cells, so a side is
-    never paired with itself; a crowded cell is a skewed join key that AQE splits. Of entries at one
-    second the lower price counts as the earlier.
+    Entries at one second and price are counted first. What an entry meets lies in its own stretch of
+    two hours, after it, or in the next one, up to its end: two half-open times in each of which prices
+    from a to b count, that is, two prefixes of the prices' order. A prefix is made of dyadic blocks of
+    ranks, at most one a level. Every point is a row of each level's block, every prefix one of each of its
+    blocks, and a scan by time counts the points: n log n rows, no pairs, however crowded a stretch is. Of
+    entries at one second the lower price counts as the earlier.
     """
     c = merge_config(cfg)["consensus"]
-    span, near = c["cluster_hours"] * 3600, c["cluster_price"]
+    span, near = int(c["cluster_hours"] * 3600), c["cluster_price"]
     side = [*keys, "outcome_index"]
+    cell = [*side, "_cell"]
     dated = unique.where(F.col("opened_ts").isNotNull() & F.col("avg_price").isNotNull())
-    points = dated.groupBy(*side, "opened_ts", "avg_price").agg(F.count(F.lit(1)).alias("_k")).withColumns({
-        "_tc": F.floor(F.col("opened_ts") / F.lit(span)),
-        "_pc": F.floor(F.col("avg_price") / (near * 0.78125))})
-    neighbours = F.array(*[F.struct((F.col("_tc") + dt).alias("_tc"), (F.col("_pc") + dp).alias("_pc"))
-                           for dt in (0, 1) for dp in (-2, -1, 0, 1, 2)])
-    anchors = points.select(
-        *side, F.col("opened_ts").alias("_at"), F.col("avg_price").alias("_ap"), F.col("_k").alias("_own"),
-        F.explode(neighbours).alias("_cell")).select("*", "_cell._tc", "_cell._pc").drop("_cell")
-    later = ((F.col("opened_ts") > F.col("_at"))
-             | ((F.col("opened_ts") == F.col("_at")) & (F.col("avg_price") > F.col("_ap"))))
-    close = (later & (F.col("opened_ts") - F.col("_at") <= span)
-             & (F.abs(F.col("avg_price") - F.col("_ap")) <= near))
-    met = anchors.join(points, [*side, "_tc", "_pc"])
-    return (met.groupBy(*side, "_at", "_ap").agg(
-        (F.max("_own") + F.coalesce(F.sum(F.when(close, F.col("_k"))), F.lit(0))).alias("_size"))
-        .groupBy(*side).agg(F.max("_size").alias("largest_cluster")))
+    points = cut_lineage(dated.groupBy(*side, "opened_ts", "avg_price").agg(F.count(F.lit(1)).alias("_own")).withColumns({
+        "_cell": F.floor(F.col("opened_ts") / F.lit(span)), "_id": F.monotonically_increasing_id()}))
+    # In order of price: points, and before or after them the ends of what is asked for here and in the next stretch.
+    place = points.select(*cell, F.col("avg_price").alias("_p"), F.lit(1).alias("_kind"), "_id", "opened_ts", "_own", F.lit(0).alias("_next"))
+    asked = points.select(*side, F.explode(F.array(*[
+        F.struct((F.col("_cell") + n).alias("_cell"), _bound(F.col("avg_price"), near, s).alias("_p"),
+                 F.lit(1 + s).alias("_kind"), F.lit(n).alias("_next")) for n in (0, 1) for s in (-1, 1)])).alias("_q"),
+        "_id", "opened_ts", "_own").select(*side, "_q.*", "_id", "opened_ts", "_own")
+    one = F.when(F.col("_kind") == 1, 1).otherwise(0)
+    by_price = scan(place.unionByName(asked), cell, F.floor(F.col("_p") / F.lit(near)), ["_p", "_kind", "_id", "_next"],
+                    summed_up("_rank", one.cast("long")), large=large)
+    sizes = place.groupBy(*cell).agg(F.ceil(F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("_levels"))
+    ranked = by_price.join(sizes, cell)
+    own = F.transform(F.sequence(F.lit(0), F.col("_levels")), lambda x: F.struct(
+        x.alias("_level"), F.call_function("shiftright", F.col("_rank") - 1, x).alias("_block")))
+    kind = F.col("_kind")
+    blocks = F.when(kind == 1, own).otherwise(_blocks(F.col("_rank"), F.col("_levels")))
+    # In the own stretch what comes later is all less what comes up to here; prices below or at one's own at the
+    # same second count as earlier. In the next stretch it is what comes up to the span's end.
+    at = F.when((kind != 1) & (F.col("_next") == 1), F.col("opened_ts") + span).otherwise(F.col("opened_ts"))
+    rows = ranked.select(*cell, "_id", "_kind", "_next", "_own", at.alias("_at"), F.explode(blocks).alias("_b")).select(
+        "*", "_b.*").drop("_b")
+    block = [*cell, "_level", "_block"]
+    weight = F.when(kind == 1, F.col("_own")).otherwise(0)
+    order = ["_at", F.when(kind == 1, 0).otherwise(1), "_id", "_kind", "_next"]
+    counted = scan(rows, block, F.col("_at"), order, summed_up("_upto", weight.cast("long")), large=large)
+    whole = rows.groupBy(*block).agg(F.sum(weight).alias("_all"))
+    met = counted.where(kind != 1).join(whole, block)
+    sign = F.when(kind == 2, 1).otherwise(-1)
+    within = F.when(F.col("_next") == 1, F.col("_upto")).otherwise(F.col("_all") - F.col("_upto"))
+    later = met.groupBy("_id").agg(F.sum(sign * within).alias("_later"))
+    # At the same second the higher prices within reach come later too.
+    same = points.select(*side, "opened_ts", "avg_price", "_own", "_id", _bound(F.col("avg_price"), near, 1).alias("_reach"))
+    reach = same.select(*side, "opened_ts", F.explode(F.array(
+        F.struct(F.col("avg_price").alias("_p"), F.lit(0).alias("_end"), F.col("_own")),
+        F.struct(F.col("_reach").alias("_p"), F.lit(1).alias("_end"), F.lit(0).cast("long").alias("_own")))).alias("_x"), "_id").select(
+        *side, "opened_ts", "_x.*", "_id")
+    summed = scan(reach, [*side, "opened_ts"], F.floor(F.col("_p") / F.lit(near)), ["_p", "_end", "_id"], summed_up("_sum", F.col("_own")), large=large)
+    beside = summed.groupBy("_id").agg(F.sum(F.when(F.col("_end") == 1, F.col("_sum")).otherwise(-F.col("_sum"))).alias("_beside"))
+    sized = points.join(later, "_id", "left").join(beside, "_id", "left").withColumn(
+        "_size", F.col("_own") + F.coalesce("_later", F.lit(0)) + F.coalesce("_beside", F.lit(0)))
+    return sized.groupBy(*side).agg(F.max("_size").alias("largest_cluster"))
 
 
 def side_holders(positions: DataFrame, traders: DataFrame, scores: DataFrame) -> DataFrame:

@@ -304,13 +304,17 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str,
     return stats.select(*keys, ((F.col("_low") + F.col("_high")) / F.lit(2.0)).alias(out))
 
 
-def average_rank(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Distinct values with their count and average rank under ties (WIN-6)."""
+def average_rank(df: DataFrame, value: str, keys: list[str], large: int = LARGE) -> DataFrame:
+    """Distinct values with their count and average rank under ties (WIN-6); nulls rank first.
+
+    Values are counted before they are ranked and dealt by range, so a key with very many distinct
+    values is ranked range by range and the counts are carried from one to the next.
+    """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    prior = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (counts.withColumn("_p", F.coalesce(F.sum("_k").over(prior), F.lit(0)))
-            .select(*keys, value, F.col("_k").alias("tied"),
-                    (F.col("_p") + (F.col("_k") + 1) / F.lit(2.0)).alias("average_rank")))
+    dealt = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id().cast("long")))
+    ranked = scan(dealt, keys, F.col("_range"), [value], total("_upto", F.col("_k")), large=large)
+    return ranked.select(*keys, value, F.col("_k").alias("tied"),
+                         (F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / F.lit(2.0)).alias("average_rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], out: str) -> DataFrame:
