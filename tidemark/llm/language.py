@@ -15,10 +15,10 @@ the temperature that calibrates its probabilities. Every document is then scored
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ BUCKETS = 1 << BUCKET_BITS
 SAMPLE = 1000
 PASSES = 2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.5
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SURE = 0.3
 
 

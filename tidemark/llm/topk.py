@@ -33,7 +33,12 @@ LEAF = 256
 
 def _small(whole: np.ndarray) -> np.ndarray:
     """The same numbers in two bytes each where they fit."""
-    return whole.astype(np.int16) if np.abs(whole).max(initial=0) < 1 << 15 else whole
+    return whole.astype(np.int16) if _most(whole) < 1 << 15 else whole
+
+
+def _most(whole: np.ndarray) -> float:
+    """The largest size of a number; the least number of 64 bits has none among them."""
+    return max(float(whole.max(initial=0)), -float(whole.min(initial=0)))
 
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
@@ -68,7 +73,7 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products; floats where every sum is below 2**53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    most = _most(a) * _most(b) * a.shape[1]
     if most < 1 << 24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if most < 1 << 53:
