@@ -44,7 +44,8 @@ def _most(whole: np.ndarray) -> float:
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
     """Rows in the order of the leaves; per node its rows, children, centre and radius."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order].astype(np.float64)
+    ids, whole = ids[order], vectors[order]
+    vectors = whole.astype(np.float64)
     place = np.arange(len(ids))
     nodes: list[tuple[int, int, int, int]] = []
     centres, radii = [], []
@@ -67,7 +68,7 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return number
 
     grow(0, len(ids))
-    return {"ids": ids[place], "vectors": _small(vectors[place].astype(np.int64)), "nodes": np.array(nodes, np.int64),
+    return {"ids": ids[place], "vectors": _small(whole[place]), "nodes": np.array(nodes, np.int64),
             "centres": np.array(centres), "radii": np.array(radii)}
 
 
@@ -88,7 +89,7 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
            k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Query row, vector id and score of each query's best ``k`` in the tree that reach its floor, and
     the floors after the search."""
-    least = np.iinfo(np.int64).min + 1  # its negative exists
+    least = np.iinfo(np.int64).min  # under every score
     best = np.full((len(queries), k), least)
     named = np.full((len(queries), k), np.iinfo(np.int64).max)
     floor = floor.copy()
@@ -110,7 +111,7 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
             for i in np.flatnonzero(hits.any(axis=1)):
                 q, at = active[i], np.flatnonzero(hits[i])
                 s, v = np.r_[best[q], scores[i, at]], np.r_[named[q], ids[at]]
-                top = np.lexsort((v, -s))[:k]
+                top = np.lexsort((v, ~s))[:k]  # ~s falls as s rises, also at the ends of 64 bits
                 best[q], named[q] = s[top], v[top]
                 floor[q] = max(floor[q], best[q, -1])
             return
