@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, remainder, slices, text_of
+from tidemark.llm.common import documents, free_name, remainder, slices, text_of
 from tidemark.session import cut_lineage
 
 SAMPLE = 20_000
@@ -110,11 +110,10 @@ class Grammar:
         return [math.log1p(x) for x in (max(scores), sum(scores), len(scores), sum(t for _, t in paths))]
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    marks = labels.where(F.col(label).isNotNull() & (remainder("doc_id", 3) != 1)).groupBy("doc_id").agg(
-        F.max(label).alias("tox_label"))
-    return docs.select("doc_id", text_of().alias("text")).join(marks, "doc_id").select(
-        "text", "tox_label", F.xxhash64("doc_id").alias("h"))
+def _marks(labels: DataFrame, label: str) -> DataFrame:
+    """``tox_id, tox_label, h`` of the documents that may be learned from."""
+    marked = labels.where(F.col(label).isNotNull() & (remainder("doc_id", 3) != 1))
+    return marked.groupBy(F.col("doc_id").alias("tox_id")).agg(F.max(label).alias("tox_label")).withColumn("h", F.xxhash64("tox_id"))
 
 
 def insults(rows: DataFrame) -> DataFrame | None:
@@ -204,7 +203,11 @@ def each_text(batch: pa.RecordBatch, text: str, grammar: Grammar) -> Iterator[st
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    rows = _labelled(docs, labels, label)
+    marks = _marks(labels, label)
+    # Labels grow with the corpus, so they are never sent to all tasks: whole texts are dealt by doc_id, once.
+    dealt = marks.hint("shuffle_merge")
+    texts = docs.where(remainder("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), text_of().alias("text"))
+    rows = texts.join(dealt, F.col("id") == F.col("tox_id")).select("text", "tox_label")
     table = insults(rows)
     many = table is not None and table.count() > MOST_WORDS
     grammar = Grammar({} if many or table is None else {r["word"]: r["odds"] for r in table.collect()})
@@ -217,10 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 [pa.array(made, pa.list_(pa.float64())), batch.column("tox_label").cast(pa.int32())], ["x", "y"])
 
     marked = F.col("tox_label") > 0
-    counts = {r["y"]: r["count"] for r in rows.groupBy(marked.alias("y")).count().collect()}
+    known = texts.select("id").join(dealt, F.col("id") == F.col("tox_id"))
+    counts = {r["y"]: r["count"] for r in known.groupBy(marked.alias("y")).count().collect()}
     share = F.when(marked, sample / 2 / max(counts.get(True, 0), 1)).otherwise(sample / 2 / max(counts.get(False, 0), 1))
-    chosen = rows.where(F.pmod("h", F.lit(1_000_000_007)) / 1_000_000_007 < share)
-    chosen = chosen.select("text", "tox_label")
+    # About ``sample`` documents are drawn by their ids alone; so few ids are sent to the texts.
+    drawn = known.where(F.pmod("h", F.lit(1_000_000_007)) / 1_000_000_007 < share).select("tox_id", "tox_label").distinct()
+    chosen = texts.join(F.broadcast(drawn), F.col("id") == F.col("tox_id")).select("text", "tox_label")
     got = (chosen if table is None else with_words(chosen, table, "text")).mapInArrow(extract, "x array<double>, y int").toPandas()
     y = (got["y"] > 0).to_numpy(float)
     if not 0 < y.sum() < len(y):
@@ -231,11 +236,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score``."""
-    rows = df.select(F.col(text).alias("tox_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-
-    names = [f.name for f in rows.schema[1:]]
+    """``keep`` columns and ``score`` (``score_`` beside a kept column of that name)."""
+    own, kept = df.select(*keep), [f"kept_{i}" for i in range(len(keep))]
+    rows = df.select(F.col(text).alias("tox_text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    names = [*own.columns, free_name(own, "score")]
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(names, [*(f.dataType.simpleString() for f in own.schema), "double"]))
     sent = Model(model.grammar, model.weights)  # without the table
     if model.table is not None:
         rows = with_words(rows, model.table, "tox_text")
@@ -243,9 +248,9 @@ def scored(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
     def run(batches):
         for batch in slices(batches, "tox_text"):
             made = [sent.score(t) for t in each_text(batch, "tox_text", sent.grammar)]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(made, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(made, pa.float64())], names)
 
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
