@@ -1,6 +1,7 @@
 """Conversation prefixes, similar vectors and phrases, each against a plain version of itself."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,13 +9,15 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import data
-from tidemark.llm import collocations, prefixes, queries, similar
+from tidemark.llm import bpe, collocations, language, prefixes, queries, similar, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path(bpe.VOCABULARY)
 
 
 # --- conversation prefixes ---
@@ -228,3 +231,42 @@ def test_registered_queries_match_their_sql(spark, name, table):
     columns = [c[0] for c in want.description]
     got = queries.QUERIES[name](spark, SF).select(*columns)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+# --- repairs of earlier operators ---
+
+def test_numerals_are_no_letters():
+    for text in ("½", "²³", "Ⅷ", "①②", "12 34", "_"):
+        assert not language.LETTER.search(text)
+    for text in ("a", "é", "好", "ß", "ª"):
+        assert language.LETTER.search(text)
+
+
+def test_extreme_components_keep_their_sign(spark):
+    rows = [(20, [-1e300, 1.0]), (40, [1e300, 0.5]), (60, [1e300, -2.0]), (61, [-1e300, 0.0]), (62, [0.5, 0.25]), (63, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(frame, frame.where("vec_id % 20 = 0"), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [max(-2**63, min(2**63 - 1, math.floor(64 * x))) for x in v] for i, v in rows}
+    most = 2**63 - 1
+    for q, found in got.items():
+        want = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i in whole if i != q)[:5]
+        assert [(-s, i) for _, i, s in sorted(found)] == want
+
+
+def test_kept_names_may_clash(spark):
+    frame = spark.createDataFrame([(1, "a b", 5, "x", 0.5)], "doc_id long, text string, n_tokens int, bpe_text string, score double")
+    got = bpe.encoded(frame, PATH, public_tokenizers.PATTERN, keep=("doc_id", "n_tokens", "bpe_text")).first().asDict()
+    assert got["n_tokens"] == 5 and got["n_tokens_"] == len(got["ids"]) and got["bpe_text"] == "x"
+    model = toxicity.Model(toxicity.Grammar({}), None)
+    assert toxicity.scored(frame, model, keep=("score", "doc_id")).columns == ["score", "doc_id", "score_"]
+
+
+def test_pieces_outlive_a_change_of_generation():
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN, remember=10)
+    draw = random.Random(1)
+    texts = [" ".join(draw.choice(["alpha", "béta", "gamma", f"w{draw.randint(0, 60)}"]) for _ in range(15)) for _ in range(60)]
+    once = [codec.encode(t) for t in texts]
+    assert once == [codec.encode(t) for t in texts] and len(codec.pieces) + len(codec.pieces.before) < 80
+    assert ["".join(codec.decode(ids)) for ids in once] == texts

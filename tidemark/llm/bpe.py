@@ -13,7 +13,7 @@ Decoding is a stream as well: token bytes pass an incremental UTF-8 decoder, whi
 bytes of a character that isn't complete yet.
 
 * Null texts are empty: no tokens, digests of the empty string. Rows are independent of each other,
-  so repeated rows, empty tables and other columns need no rule. Texts are encoded whole.
+  so repeated rows and empty tables need no rule. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import sys
+import types
 from itertools import chain
 
 import pyarrow as pa
@@ -28,13 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, slices
+from tidemark.llm.common import documents, free_name, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: What a task remembers at most.
-MOST_STATES = 50_000
-MOST_PAIRS = 250_000
-MOST_PIECES = 300_000
+#: States that a Python worker remembers at most; of pairs of tokens five times as many, of pieces twice
+#: as many in each of two generations. A hundred thousand are some 300 MB at worst.
+REMEMBER = 100_000
 NEVER = 1 << 60
 
 
@@ -44,8 +45,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.bytes = ranks, {i: t for t, i in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int], remember: int = REMEMBER):
+        self.ranks, self.bytes, self.remember = ranks, {i: t for t, i in ranks.items()}, remember
         self.reach = max(map(len, ranks))
         # By node of the trie and byte: the next node, the token that ends there or -1, whether more follows.
         children: list[dict[int, int]] = [{}]
@@ -100,7 +101,7 @@ class Transducer:
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > MOST_PAIRS:
+            if len(self.fits) > 5 * self.remember:
                 self.fits.clear()
             a, b = self.spine(left, 1), self.spine(right, 0)
             i, j, known = len(a) - 1, len(b) - 1, None
@@ -143,7 +144,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > self.remember:
             self.forget()
         out: list[int] = []
         lasts: list[int] = []  # last token of each prefix that is not emitted yet
@@ -179,20 +180,28 @@ class Transducer:
 class Codec:
     """Encoder and decoder of whole texts. Pieces seen before are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER):
+        machine, self.remember = Transducer(ranks, remember), remember
 
         class Pieces(dict):
+            """Pieces since the last change of generation; those of the one before are taken over when met again."""
+
+            before: dict = {}
+
             def __missing__(self, piece):
-                found = self[piece] = tuple(machine.encode(piece.encode()))
+                found = self.before.get(piece)
+                if found is None:
+                    found = tuple(machine.encode(piece.encode()))
+                self[piece] = found
                 return found
 
-        self.pieces, self.bytes = Pieces(), machine.bytes
+        self.fresh, self.pieces, self.bytes = Pieces, Pieces(), machine.bytes
         self.find = regex.compile(pattern).findall
 
     def encode(self, text: str) -> list[int]:
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
+        if len(self.pieces) > 2 * self.remember:
+            old, self.pieces = self.pieces, self.fresh()
+            old.before, self.pieces.before = {}, old
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int], at_once: int = 1 << 15):
@@ -203,16 +212,33 @@ class Codec:
         yield machine.decode(b"", final=True)
 
 
+def codec_here(ranks: dict[bytes, int], pattern: str, remember: int) -> Codec:
+    """This Python worker's codec. It outlives a task, so the worker's next task finds it warm; its bounds hold throughout."""
+    kept = sys.modules.setdefault("_worker_codec", types.ModuleType("_worker_codec"))
+    made_for = len(ranks), hash(frozenset(ranks.items())), pattern, remember
+    if getattr(kept, "made_for", None) != made_for:
+        kept.codec, kept.made_for = Codec(ranks, pattern, remember), made_for
+    return kept.codec
+
+
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-            with_ids: bool = True, digests: bool = False) -> DataFrame:
-    """``keep`` columns with ``ids`` (array<int>) and ``n_tokens``, or with digests of ids and decoded bytes."""
-    rows = df.select(*keep, F.col(text).alias("bpe_text"))
+            with_ids: bool = True, digests: bool = False, remember: int = REMEMBER) -> DataFrame:
+    """``keep`` columns with ``ids`` (array<int>) and ``n_tokens``, or with digests of ids and decoded bytes.
+
+    A new column whose name a kept one has gets ``_`` after it. ``remember`` bounds a worker's memory and
+    changes no result.
+    """
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("bpe_text"))
     ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
-    kinds = ["n_tokens long"] + ["ids array<int>"] * with_ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + kinds)
+    made_kinds = ["n_tokens long"] + ["ids array<int>"] * with_ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
+    own = df.select(*keep)
+    kinds = [f"`{free_name(own, k.split()[0])}` {k.split()[1]}" for k in made_kinds]
+    schema = ", ".join([f"`{c}` {f.dataType.simpleString()}" for c, f in zip(own.columns, rows.schema)] + kinds)
+    names_out = [*own.columns, *(k.split("`")[1] for k in kinds)]
 
     def run(batches):
-        codec = Codec(ranks.value, pattern)  # goes with the task, and so does its memory
+        codec = codec_here(ranks.value, pattern, remember)
         names = {i: str(i) for i in codec.bytes}
         for batch in slices(batches, "bpe_text"):
             made: list[list] = [[] for _ in kinds]
@@ -227,9 +253,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tu
                 for column, value in zip(made, row):
                     column.append(value)
             types_ = [pa.int64()] + [pa.list_(pa.int32())] * with_ids + [pa.string()] * 2 * digests
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *map(pa.array, made, types_)],
-                [*batch.schema.names[:-1], *(k.split()[0] for k in kinds)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, made, types_)], names_out)
 
     return rows.mapInArrow(run, schema)
 
