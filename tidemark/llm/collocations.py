@@ -38,7 +38,7 @@ COVER = 80
 SCALE = 2_000_000
 #: Containers, spills and partitions: entries, windows, bytes of text.
 BURST = 1 << 14
-HOLD = 600_000
+HOLD = 400_000
 PART = 1 << 24
 #: Bytes of text that the search for heavy prefixes reads, and prefixes that it names at most.
 SAMPLE = 1 << 23
@@ -253,7 +253,7 @@ class _Task:
         self.waiting.setdefault(lang, []).append(ids)
         self.tokens += len(ids)
 
-    def count(self, step: int = 1 << 19) -> None:
+    def count(self, step: int = 1 << 18) -> None:
         for lang, held in self.waiting.items():
             ids = np.concatenate(held)
             sums = np.bincount(ids, minlength=len(self.words))
