@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, dedup, language, mixing, simhash
 from tidemark.session import cut_lineage
 
+#: What the codec of the last stage remembers: little, since the stages before it share its workers.
+CODEC = 20_000
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach."""
@@ -36,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document of the mix."""
     return bpe.encoded(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN,
-                       keep=("doc_id", "lang", "source"))
+                       keep=("doc_id", "lang", "source"), remember=CODEC)
 
 
 STAGES = [
