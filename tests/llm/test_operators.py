@@ -385,6 +385,66 @@ def test_disclosing_terms_are_hidden_wherever_they_stand(spark):
     assert got[102]["clean_text"] == " [EMAIL] [EMAIL]"
 
 
+def plain_disclosures(texts):
+    """(value, term) -> share, counted in distinct texts one after another."""
+    with_term, with_value, together = Counter(), Counter(), Counter()
+    words_in = {}
+    for text in sorted({t or "" for t in texts}):
+        spans, letters = plain_spans(text), list(text)
+        for start, _, end in spans:
+            letters[start:end] = "0" * (end - start)
+        words = words_in[text] = {w.lower() for w in regex.findall(r"\p{L}{3,}+", "".join(letters))}
+        held = {text[start:end] for start, _, end in spans}
+        with_term.update(words)
+        with_value.update(held)
+        together.update((v, w) for v in held for w in words)
+    shares = {}
+    for (v, w), both in together.items():
+        if both >= privacy.SEEN:
+            n = len(words_in)
+            share = math.log(both * n / (with_value[v] * with_term[w])) / math.log(n / with_value[v])
+            if share >= privacy.GENERALISE:
+                shares[v, w] = share
+    return shares
+
+
+@pytest.mark.parametrize("most", [privacy.MOST_SENT, -1])
+def test_disclosures_equal_a_plain_recount(spark, monkeypatch, most):
+    monkeypatch.setattr(privacy, "MOST_SENT", most)
+    draw = random.Random(11)
+    common, rare = [f"common{c}" for c in "abcdefgh"], [f"rare{a}{b}" for a in "abcdef" for b in "abcd"]
+    people = [(f"person{c}@firm.example", f"Name{c * 3}") for c in "abcdefgh"] + [("10.0.0.7", "Gateway")]
+    texts = [None, "", "", "person@nowhere.example"]
+    while len(texts) < 500:
+        words = draw.choices(common, k=draw.randrange(2, 9)) + draw.choices(rare, k=draw.randrange(2))
+        if draw.random() < 0.3:
+            value, name = draw.choice(people)
+            words += [value] + [name] * (draw.random() < 0.9)
+        draw.shuffle(words)
+        texts += [" ".join(words)] * (draw.randrange(2, 6) if draw.random() < 0.2 else 1)
+    frame = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    plain = plain_disclosures(texts)
+    assert len(plain) > 8
+    rows = privacy.cut_lineage(frame.select("doc_id", privacy.text_of().alias("text"), F.monotonically_increasing_id().alias("row")).withColumns(
+        {"hash": F.xxhash64("text"), "spans": privacy.base_spans(F.col("text"))}))
+    got = {(r["value"], r["term"]): r["share"] for r in privacy.disclosures(rows).collect()}
+    assert got.keys() == plain.keys() and all(math.isclose(got[k], plain[k]) for k in plain)
+
+    worst = defaultdict(float)
+    for (_, word), share in plain.items():
+        worst[word] = max(worst[word], share)
+    want = Counter()
+    for i, t in enumerate(texts):
+        spans, letters = plain_spans(t or ""), list(t or "")
+        for start, _, end in spans:
+            letters[start:end] = "0" * (end - start)
+        terms = [(m.start(), len(privacy.KINDS), m.end(), worst[m[0].lower()]) for m in regex.finditer(r"\p{L}{3,}+", "".join(letters))
+                 if m[0].lower() in worst]
+        want[i // 2, tuple((*s[:3], round(s[3], 9) if len(s) > 3 else None) for s in sorted([*spans, *terms], key=lambda s: s[:2]))] += 1
+    assert want == Counter((r["doc_id"], tuple((s["start"], s["order"], s["end"], None if s["share"] is None else round(s["share"], 9))
+                                               for s in r["spans"])) for r in privacy.scan(frame).collect())
+
+
 # --- licenses ---
 
 def test_licenses_equal_containment_in_whole_texts(spark):

@@ -39,6 +39,9 @@ WORDS = "\\p{L}{3,}+"
 SPANS = "array<struct<start:int,order:int,end:int,share:double>>"
 SEEN = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Rows to join with the texts, up to so many bytes of ids or words, are sent to them; more are joined by a
+#: shuffle, with the same result.
+MOST_SENT = 16 << 20
 
 
 def _digits(value: Column) -> Column:
@@ -140,24 +143,43 @@ def term_spans(text: Column, told: Column) -> Column:
     return F.aggregate(pairs, empty, add, lambda s: s["out"])
 
 
+def sent(few: DataFrame, size: Column) -> DataFrame:
+    """``few``, written before, for a join: sent to all tasks if its rows, of ``size`` bytes, sum to ``MOST_SENT`` at most."""
+    held = few.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(few) if held <= MOST_SENT else few
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """``row, weight`` of one row of every repeated text: with 1 for all other rows the weights of a text sum to 1."""
+    return rows.groupBy("hash").agg(F.min("row").alias("row"), F.count("*").alias("many")).where("many > 1").select(
+        "row", (2 - F.col("many")).alias("weight"))
+
+
 def disclosures(rows: DataFrame) -> DataFrame | None:
-    """``value, term, share`` from ``GENERALISE`` on: the share of a value's information that a term gives away."""
-    once = cut_lineage(rows.groupBy("hash").agg(F.min("row").alias("row")).select("row"))
+    """``value, term, share`` from ``GENERALISE`` on: the share of a value's information that a term gives away.
+
+    Terms are counted over all rows in place, each with its row's weight, so that no text moves to be
+    compared with its copies.
+    """
     values = F.array_distinct(F.transform("spans", lambda s: s["value"]))
-    held = rows.where(F.size("spans") > 0).select("row", F.explode(values).alias("value")).join(once, "row", "left_semi")
+    held = cut_lineage(rows.where(F.size("spans") > 0).select("hash", "row", F.explode(values).alias("value")).groupBy(
+        "value", "hash").agg(F.min("row").alias("row")))
     often = cut_lineage(held.groupBy("value").agg(F.count("*").alias("with_value")).where(F.col("with_value") >= SEEN))
     most = often.agg(F.max("with_value")).first()[0]
     if most is None:
         return None
-    holders = cut_lineage(held.join(often, "value"))
-    n = F.lit(float(once.count()))
+    holders = cut_lineage(held.join(often, "value").select("row", "value", "with_value"))
+    copies = cut_lineage(repeated(rows))
+    n = F.lit(float(rows.count() - (copies.agg(F.sum(1 - F.col("weight"))).first()[0] or 0)))
     within = lambda with_value: (
         F.log("with_term") <= (1 - GENERALISE) * F.log(n) + GENERALISE * F.log(with_value) + 1e-9)
     words = terms_of(F.col("text"), F.col("spans")).alias("terms")
+    weighed = rows.select("row", words).join(sent(copies, F.lit(16)), "row", "left")
     frequency = cut_lineage(
-        rows.select("row", words).join(once, "row", "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg(
-            F.count("*").alias("with_term")).where((F.col("with_term") >= SEEN) & within(F.lit(most))))
-    told = rows.where(F.size("spans") > 0).join(holders.select("row").distinct(), "row", "left_semi").select(
+        weighed.select(F.explode("terms").alias("term"), F.coalesce("weight", F.lit(1)).alias("weight")).groupBy("term").agg(
+            F.sum("weight").alias("with_term")).where((F.col("with_term") >= SEEN) & within(F.lit(most))))
+    chosen = sent(cut_lineage(holders.select("row").distinct()), F.lit(8))
+    told = rows.where(F.size("spans") > 0).join(chosen, "row", "left_semi").select(
         "row", F.explode(words).alias("term")).join(frequency, "term")
     pairs = told.join(holders, "row").where(within(F.col("with_value"))).groupBy(
         "value", "term", "with_value", "with_term").agg(F.count("*").alias("together")).where(F.col("together") >= SEEN)
@@ -176,10 +198,12 @@ def found_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = disclosures(rows)
     if found is None:
         return rows.withColumn("told", F.lit(None).cast("map<string,double>"))
-    told = cut_lineage(found.groupBy("term").agg(F.max("share").alias("share")))
-    hidden = cut_lineage(rows.select("row", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(told, "term").groupBy("row").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")))
-    return rows.join(hidden, "row", "left")
+    told = sent(cut_lineage(found.groupBy("term").agg(F.max("share").alias("share"))), F.octet_length("term") + 16)
+    hidden = cut_lineage(
+        rows.select("row", F.explode(terms_of(F.col("text"), F.col("spans"))).alias("term")).join(told, "term").groupBy("row").agg(
+            F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")))
+    size = F.aggregate(F.map_keys("told"), F.lit(16), lambda total, term: total + F.octet_length(term) + 16)
+    return rows.join(sent(hidden, size), "row", "left")
 
 
 def replacement(span: Column) -> Column:
