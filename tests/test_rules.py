@@ -3,6 +3,7 @@
 import glob
 import math
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -16,7 +17,7 @@ from tidemark.functions import sports as SP
 from tidemark.functions import stats as ST
 from tidemark.functions import text as TX
 from tidemark.operators import allocation, behaviour, board, books, holders, prefix, replay, traders
-from tidemark.operators.asof import asof_last
+from tidemark.operators.asof import Pick, asof_each, asof_last
 from tidemark.plans import evaluation
 from tidemark.sources import normalize
 from tidemark.streaming import fills as streams
@@ -224,6 +225,30 @@ def test_asof_is_at_or_before(spark):
     assert got == {(1, 10): 0.1, (1, 99999): 0.2, (1, 500000): 0.2, (2, 5): None}
 
 
+def test_asof_of_several_tables_at_once(spark):
+    draw = random.Random(3)
+    times = [None, *range(0, 400, 7)]
+    one = [(draw.choice([1, 1, 1, 2, None]), draw.choice(times), i, draw.random()) for i in range(300)]
+    other = [(draw.choice([1, 2, 3]), draw.choice(times), draw.choice(["a", "b", None])) for _ in range(80)]
+    asked = [(k, t) for k in (1, 2, 3, 4, None) for t in (-1, 0, 49, 50, 51, 180, 399, 5000, None)] * 2
+    got = asof_each(spark.createDataFrame(asked, "k int, t long"), ["k"], "t", [
+        (spark.createDataFrame(one, "k int, at long, seq int, p double"), "at",
+         [Pick({"p": "p", "p_at": "at"}, ["seq"]), Pick({"seq": "seq"}, ["seq"], F.col("p") > 0.8)]),
+        (spark.createDataFrame(other, "k int, since long, name string"), "since", [Pick({"name": "name"})])], bucket_seconds=50).collect()
+
+    def plain(rows, k, t, order):
+        before = [r for r in rows if None not in (k, t, r[1]) and r[0] == k and r[1] <= t]
+        return max(before, key=order, default=None)
+
+    want = []
+    for k, t in asked:
+        p = plain(one, k, t, lambda r: r[1:3])
+        high = plain([r for r in one if r[3] > 0.8], k, t, lambda r: r[1:3])
+        name = plain(other, k, t, lambda r: (r[1], r[2] or ""))
+        want.append((k, t, p and p[3], p and p[1], high and high[2], name and name[2]))
+    assert Counter(map(tuple, got)) == Counter(want) and len({r["seq"] for r in got}) > 4
+
+
 HOLDER = "market_id long, outcome_index int, trader_id long, wallet string, smart_score double, size_usd double, avg_price double, opened_ts long"
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,40 +22,63 @@ def latest_before(df: DataFrame, keys: list[str], ts: str, as_of=None,
     return best.select(*keys, "_row.*")
 
 
-def asof_last(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
-              cols: dict[str, str], tie: list[str] | None = None,
+@dataclass(frozen=True)
+class Pick:
+    """What an as-of merge takes from a table: columns (output name to column) of its last row that meets ``where``.
+
+    ``tie`` orders the rows of one instant; without a difference there the columns themselves do.
+    """
+
+    cols: dict[str, str]
+    tie: list[str] = field(default_factory=list)
+    where: Column | None = None
+
+    def row(self, ts: str) -> Column:
+        ties = [F.col(c).alias(f"_tie{i}") for i, c in enumerate(self.tie)]
+        taken = F.struct(F.col(ts).alias("_t"), *ties, *[F.col(c).alias(n) for n, c in self.cols.items()])
+        return taken if self.where is None else F.when(self.where, taken)
+
+
+def asof_each(left: DataFrame, keys: list[str], left_ts: str, seen: list[tuple[DataFrame, str, list[Pick]]],
               bucket_seconds: int = 86400) -> DataFrame:
-    """``left`` plus the columns of the last ``right`` row at or before ``left_ts`` (JOIN-6).
+    """``left`` plus, of every pick of every table in ``seen``, the last row at or before ``left_ts`` (JOIN-6, JOIN-7).
 
-    ``cols`` maps output names to columns of ``right``. Times are epoch seconds. Within a
-    (key, bucket) group the two sides are merged by one window; across buckets only each bucket's
-    last row travels, so a hot key is worked on by as many tasks as it has buckets.
+    ``seen`` lists (table, its time, picks); times are epoch seconds. All tables and the asked moments are
+    merged by one window within a (key, bucket) group, so the moments are sorted once however many
+    tables there are. Across buckets only each bucket's last row of every pick travels, so a hot key is
+    worked on by as many tasks as it has buckets. Rows with a null time count for nothing; moments with
+    a null time or key find nothing and stay.
     """
-    asked = left.select(*keys, F.col(left_ts).alias("_t")).distinct()
     seconds = F.lit(bucket_seconds)
-    payload = F.struct(F.col(right_ts).alias("_t"), *(tie or []),
-                       *[F.col(c).alias(n) for n, c in cols.items()])
-    seen = (right.where(F.col(right_ts).isNotNull())
-            .select(*keys, F.col(right_ts).alias("_t"), payload.alias("_row")))
-    seen = seen.withColumn(BUCKET, F.floor(F.col("_t") / seconds))
-    asked = asked.withColumn(BUCKET, F.floor(F.col("_t") / seconds))
-
+    picks = [p for *_, each in seen for p in each]
+    names = [f"_row{i}" for i in range(len(picks))]
+    free = iter(names)
+    tables = [rows.where(F.col(ts).isNotNull()).select(
+        *keys, F.col(ts).alias("_t"), *[p.row(ts).alias(next(free)) for p in each]) for rows, ts, each in seen]
+    rows = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), tables)
     # One row per instant and key keeps the window free of duplicates of a hot second.
-    instants = seen.groupBy(*keys, BUCKET, "_t").agg(F.max("_row").alias("_row"))
-    merged = (instants.withColumn("_ask", F.lit(0)).unionByName(
-        asked.withColumns({"_row": F.lit(None).cast(instants.schema["_row"].dataType),
-                           "_ask": F.lit(1)})))
+    instants = (rows.withColumn(BUCKET, F.floor(F.col("_t") / seconds))
+                .groupBy(*keys, BUCKET, "_t").agg(*[F.max(n).alias(n) for n in names]))
+    asked = (left.select(*keys, F.col(left_ts).alias("_t")).distinct()
+             .withColumn(BUCKET, F.floor(F.col("_t") / seconds)))
+    merged = instants.withColumn("_ask", F.lit(0)).unionByName(asked.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
     inside = (W.partitionBy(*keys, BUCKET).orderBy("_t", "_ask")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    local = (merged.withColumn("_near", F.last("_row", ignorenulls=True).over(inside))
-             .where(F.col("_ask") == 1).select(*keys, BUCKET, "_t", "_near"))
+    local = (merged.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names})
+             .where(F.col("_ask") == 1).drop("_ask"))
 
-    ends = (merged.groupBy(*keys, BUCKET).agg(F.max("_row").alias("_end")))
+    ends = merged.groupBy(*keys, BUCKET).agg(*[F.max(n).alias(n) for n in names])
     across = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    carry = (ends.withColumn("_far", F.last("_end", ignorenulls=True).over(across))
-             .select(*keys, BUCKET, "_far"))
+    carry = ends.select(*keys, BUCKET, *[F.last(n, ignorenulls=True).over(across).alias(f"_far{n}") for n in names])
     found = (local.join(carry, [*keys, BUCKET])
-             .withColumn("_row", F.coalesce("_near", "_far"))
+             .withColumns({n: F.coalesce(n, f"_far{n}") for n in names})
              .select(*keys, F.col("_t").alias(left_ts),
-                     *[F.col(f"_row.{n}").alias(n) for n in cols]))
+                     *[F.col(f"{n}.{c}").alias(c) for n, p in zip(names, picks, strict=True) for c in p.cols]))
     return left.join(found, [*keys, left_ts], "left")
+
+
+def asof_last(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
+              cols: dict[str, str], tie: list[str] | None = None,
+              bucket_seconds: int = 86400) -> DataFrame:
+    """``asof_each`` of one table: ``left`` plus ``cols`` of the last ``right`` row at or before ``left_ts`` (JOIN-6)."""
+    return asof_each(left, keys, left_ts, [(right, right_ts, [Pick(cols, tie or [])])], bucket_seconds)

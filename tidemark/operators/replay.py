@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import day_of
 from tidemark.functions.pricing import complement
-from tidemark.operators.asof import asof_last
+from tidemark.operators.asof import Pick, asof_each
 from tidemark.operators.prefix import affine, extreme, lowest, scan
 from tidemark.session import cut_lineage
 
@@ -73,35 +73,35 @@ def observed_price(queries: DataFrame, curves: DataFrame, snapshots: DataFrame,
     ``queries`` has market_id, signal_ts and outcomes (their number). The curve wins when it has
     any usable sample, then the latest snapshot, then the last fill per outcome. Nothing after the
     moment is looked at. The second side of a pair is inferred from the first, except for
-    snapshots, which quote both.
+    snapshots, which quote both. ``last_activity_ts`` is the outcome's last fill at any price.
+
+    Curves, fills and snapshots are merged with the moments at once; a snapshot stands on its
+    market's first outcome and reaches the others through the market's row.
     """
     key = ["market_id", "signal_ts"]
     asked = queries.select(*key, "outcomes").distinct()
     sides = asked.withColumn("outcome_index", F.explode(
         F.sequence(F.lit(0), F.greatest("outcomes", F.lit(2)) - 1)))
-    side_keys = ["market_id", "outcome_index"]
-    curve = asof_last(sides, curves, side_keys, "signal_ts", "t",
-                      {"curve_p": "p", "curve_t": "t"}, tie=["seq"])
-    prints = usable_fills(activity).where(usable_price(F.col("price")))
-    both = asof_last(curve, prints, side_keys, "signal_ts", "ts",
-                     {"fill_p": "price", "fill_t": "ts"}, tie=["dedupe_key"])
-    good = usable_price(F.col("curve_p"))
+    both = asof_each(sides, ["market_id", "outcome_index"], "signal_ts", [
+        (curves, "t", [Pick({"curve_p": "p", "curve_t": "t"}, ["seq"])]),
+        (usable_fills(activity), "ts", [
+            Pick({"fill_p": "price", "fill_t": "ts"}, ["dedupe_key"], usable_price(F.col("price"))),
+            Pick({"last_activity_ts": "ts"})]),
+        (snapshots.withColumn("outcome_index", F.lit(0)), "captured_ts", [
+            Pick({"prices": "prices", "liquidity": "liquidity", "spread": "spread", "captured_ts": "captured_ts"}, ["seq"])])])
+    good, first = usable_price(F.col("curve_p")), F.col("outcome_index") == 0
     both = both.withColumns({"curve_p": F.when(good, F.col("curve_p")),
                              "curve_t": F.when(good, F.col("curve_t"))})
     market = both.groupBy(*key).agg(
         F.max("curve_t").alias("_curve_at"), F.max("fill_t").alias("_fill_at"),
-        F.max(F.when(F.col("outcome_index") == 0, F.col("curve_p"))).alias("_c0"),
-        F.max(F.when(F.col("outcome_index") == 1, F.col("curve_p"))).alias("_c1"),
-        F.max(F.when(F.col("outcome_index") == 0, F.col("fill_p"))).alias("_f0"),
-        F.max(F.when(F.col("outcome_index") == 1, F.col("fill_p"))).alias("_f1"))
-    snap = asof_last(asked, snapshots, ["market_id"], "signal_ts", "captured_ts",
-                     {"_prices": "prices", "_liquidity": "liquidity", "_spread": "spread",
-                      "_snap_at": "captured_ts"}, tie=["seq"]).drop("outcomes")
-    joined = both.join(market, key).join(snap, key)
+        *[F.max(F.when(F.col("outcome_index") == i, F.col(c))).alias(f"_{c[0]}{i}") for c in ("curve_p", "fill_p") for i in (0, 1)],
+        *[F.max(F.when(first, F.col(c))).alias(n) for c, n in (
+            ("prices", "_prices"), ("liquidity", "_liquidity"), ("spread", "_spread"), ("captured_ts", "_snap_at"))])
+    joined = both.drop("prices", "liquidity", "spread", "captured_ts").join(market, key)
     quoted = F.coalesce(F.exists("_prices", usable_price), F.lit(False))
     source = (F.when(F.col("_curve_at").isNotNull(), "series").when(quoted, "snapshot")
               .when(F.col("_fill_at").isNotNull(), "trade"))
-    pair, first = F.greatest("outcomes", F.lit(2)) == 2, F.col("outcome_index") == 0
+    pair = F.greatest("outcomes", F.lit(2)) == 2
 
     def completed(own: str, zero: str, one: str):
         other = F.when(first, F.col(one)).otherwise(F.col(zero))
@@ -116,4 +116,4 @@ def observed_price(queries: DataFrame, curves: DataFrame, snapshots: DataFrame,
         "spread": F.when(from_snapshot, F.col("_spread")),
         "observed_ts": F.when(F.col("source") == "series", F.col("_curve_at"))
         .when(from_snapshot, F.col("_snap_at")).otherwise(F.col("_fill_at"))})
-        .select(*key, "outcome_index", "price", "liquidity", "spread", "source", "observed_ts"))
+        .select(*key, "outcome_index", "price", "liquidity", "spread", "source", "observed_ts", "last_activity_ts"))

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import merge_config
-from tidemark.operators.asof import asof_last
 from tidemark.operators.board import opportunity_score
 from tidemark.operators.consensus import consensus
-from tidemark.operators.replay import observed_price, replay_positions, usable_fills
+from tidemark.operators.replay import observed_price, replay_positions
 from tidemark.operators.traders import trader_scores_asof
 from tidemark.session import cut_lineage, without_constraint_inference
 
@@ -102,8 +101,7 @@ def _signals(markets, activity, closed, traders, curves, snapshots, evaluated_ts
     agreed = consensus(holders, scored_sides, MOMENT, cfg, opposing_size="shares")
     agreed = cut_lineage(agreed).withColumn("opposing_exposure_usd",
                                F.col("opposing_exposure_usd") * F.col("current_price"))
-    active = asof_last(agreed, usable_fills(activity), ["market_id", "outcome_index"], "signal_ts",
-                       "ts", {"last_activity_ts": "ts"})
+    active = agreed.join(prices.select(*SIDE, "last_activity_ts"), SIDE, "left")
     signals = opportunity_score(active, cfg)
     won = F.col("outcome_index") == F.col("winner")
     signals = signals.withColumns({
