@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.oracle import AS_OF, C, pick, price
-from checks.registry import Workspace, entry, oracle
+from checks.registry import ENTRIES, Workspace, entry, oracle
 from tidemark import fixed_values as V
 from tidemark import schemas
 from tidemark.functions import parse as P
@@ -18,7 +18,7 @@ from tidemark.functions import sports as SP
 from tidemark.functions import text as TX
 from tidemark.session import cut_lineage, run_folder
 from tidemark.plans import from_landed
-from tidemark.sources import landed, normalize, sinks
+from tidemark.sources import landed, normalize, sinks, stored
 from tidemark.streaming import fills as streams
 from tidemark.views import pick as choose
 from tidemark.views import price_of
@@ -142,6 +142,17 @@ entry("normalize_activity", "dedupe_key:s wallet:s ts:i type:s side:s size:d usd
 entry("new_activity", "dedupe_key:s", lambda w: landed.new_activity(w.activity, w.activity.where("ts <= 950000000"), "trader_id", "ts"), "SELECT dedupe_key FROM activity a LEFT JOIN (SELECT trader_id, max(ts) AS mk2 FROM activity WHERE ts <= 950000000 GROUP BY 1) USING (trader_id) WHERE mk2 IS NULL OR ts >= mk2")
 
 
+def new_activity_by_day(w: Workspace) -> DataFrame:
+    """The same from a landing in folders by bucket and month, of which only those past the marks are read."""
+    path = f"{run_folder(w.spark)}/activity-{uuid.uuid4().hex}"
+    landed.store_activity(w.activity.select("trader_id", "ts", "dedupe_key"), path, "trader_id", "ts", 4, 30)
+    marks = landed.high_water(w.activity, w.activity.where("ts <= 950000000"), "trader_id", "ts")
+    return landed.activity_since(w.spark, path, marks, "trader_id", "ts", 4, 30)
+
+
+entry("new_activity_by_day", "dedupe_key:s", new_activity_by_day, ENTRIES["new_activity"][2])
+
+
 def wire_closed(w: Workspace) -> DataFrame:
     c = w.closed
     return landed.closed_positions(w.spark, land(w, c.select(
@@ -259,6 +270,60 @@ entry("close_vanished", "trader_id:i asset:s size:d is_open:b", lambda w: sinks.
 entry("resolution_stamp", "market_id:i resolved_ts:i", lambda w: sinks.resolution_stamp(w.markets, w.markets.where("market_id % 4 <> 0"), AS_OF), f"SELECT market_id, CASE WHEN resolved AND market_id % 4 = 0 THEN least(coalesce(end_ts, {AS_OF}), {AS_OF}) WHEN market_id % 4 <> 0 THEN resolved_ts END AS resolved_ts FROM market")
 
 
+# The same writes on tables kept in buckets: each takes a first pass and one that changes part of it.
+def kept(w: Workspace, rows: DataFrame, *keys: str) -> stored.Stored:
+    """A stored table that holds ``rows``."""
+    table = stored.Stored(f"{run_folder(w.spark)}/stored-{uuid.uuid4().hex}", rows.schema, keys, 16)
+    stored.upsert(table, rows)
+    return table
+
+
+def stored_upsert(w: Workspace) -> DataFrame:
+    table = kept(w, _old(w), "market_id")
+    stored.upsert(table, w.markets.where("market_id % 3 = 0"))
+    return stored.read(w.spark, table)
+
+
+def stored_insert(w: Workspace) -> DataFrame:
+    """The fills that insert-ignore added to those of even traders."""
+    fills = w.activity.select("dedupe_key", "trader_id", "usd")
+    table = kept(w, fills.where("trader_id % 2 = 0"), "dedupe_key")
+    stored.insert_ignore(table, fills.unionByName(fills.where("trader_id % 7 = 1")))
+    return stored.read(w.spark, table).where("trader_id % 2 <> 0")
+
+
+def stored_changes(w: Workspace) -> DataFrame:
+    """Markets after a pass that writes what differs in liquidity, and what that is."""
+    table = kept(w, _old(w).select("market_id", "liquidity", F.lit("old").alias("written")), "market_id")
+    stored.upsert(table, w.markets.select("market_id", "liquidity", F.lit("new").alias("written")), ["liquidity"])
+    return stored.read(w.spark, table)
+
+
+def stored_retain(w: Workspace) -> DataFrame:
+    table = kept(w, _old(w), "market_id")
+    stored.retain(table, w.markets.where("market_id % 7 <> 0"))
+    return stored.read(w.spark, table)
+
+
+def stored_vanished(w: Workspace) -> DataFrame:
+    """Stored open positions of which a sixth is gone: all rows, the gone ones closed."""
+    rows = w.positions.select("trader_id", "asset", "size", F.lit(True).alias("is_open"))
+    table = kept(w, rows, "trader_id", "asset")
+    stored.close_vanished(table, w.positions.where("market_id % 6 <> 1"))
+    return stored.read(w.spark, table)
+
+
+entry("stored_upsert", "market_id:i liquidity:d", stored_upsert, ENTRIES["upsert"][2])
+entry("stored_insert", "dedupe_key:s", stored_insert, ENTRIES["insert_ignore"][2])
+entry("stored_changes", "market_id:i liquidity:d written:s", stored_changes,
+      """SELECT m.market_id, m.liquidity, CASE WHEN o.market_id IS NULL OR m.liquidity IS DISTINCT FROM o.liquidity
+      THEN 'new' ELSE 'old' END AS written FROM market m LEFT JOIN old_market o USING (market_id)""")
+entry("stored_retain", "market_id:i", stored_retain, ENTRIES["replace_all"][2])
+entry("stored_vanished", "trader_id:i asset:s size:d is_open:b", stored_vanished,
+      """SELECT trader_id, asset, CASE WHEN market_id % 6 = 1 THEN 0e0 ELSE size END AS size, market_id % 6 <> 1 AS is_open
+      FROM open_p""")
+
+
 def stored_runs(w: Workspace, delete: str | None = None) -> DataFrame:
     """Three stored runs of different size, less one that is deleted."""
     path = f"{run_folder(w.spark)}/runs-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.numeric import finite
 from tidemark.operators.prefix import latest_n
+from tidemark.session import cut_lineage
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,6 +79,47 @@ def new_activity(landed: DataFrame, stored: DataFrame, key: str, ts: str) -> Dat
     return landed.join(marks, key, "left").where(fresh).drop("_mark")
 
 
+def store_activity(landed: DataFrame, path: str, key: str, ts: str, buckets: int = 64, days: int = 1) -> None:
+    """Append landed rows by hash bucket of their key and span of ``days``, for ``activity_since`` to skip what is old.
+
+    A folder is one bucket and one span, named by its first day: choose both so that it holds a file's
+    worth of rows. Crowded ones are cut by size; rows without a time or a key have folders of their own.
+    """
+    span = F.floor(F.col(ts) / F.lit(days * 86400)) * F.lit(days)
+    placed = landed.withColumns({"landed_bucket": _bucket(key, buckets), "landed_day": span})
+    (placed.hint("rebalance", "landed_bucket", "landed_day").write.mode("append")
+     .partitionBy("landed_bucket", "landed_day").parquet(path))
+
+
+def _bucket(key: str, buckets: int):
+    return F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets))).cast("int")
+
+
+def high_water(asked: DataFrame, stored: DataFrame, key: str, ts: str) -> DataFrame:
+    """The newest stored time of each asked key as ``mark``, null where nothing is stored."""
+    marks = stored.groupBy(key).agg(F.max(ts).alias("mark"))
+    return asked.select(key).distinct().join(marks, key, "left")
+
+
+def activity_since(spark: SparkSession, path: str, marks: DataFrame, key: str, ts: str, buckets: int = 64,
+                   days: int = 1) -> DataFrame:
+    """Rows of ``store_activity`` at or past the mark of their key; a key without a mark gets all its rows (SRC-7).
+
+    ``buckets`` and ``days`` are those the rows were stored with. Keys that ``marks`` lacks are not asked for. The lowest mark of each bucket bounds the days that are
+    read, as a filter on folders, so a bucket is read back to its farthest key; then each key's own mark decides.
+    """
+    marks = cut_lineage(marks.select(key, "mark", _bucket(key, buckets).alias("_bucket")).where(F.col(key).isNotNull()))
+    rows = spark.read.parquet(path)
+    lows = marks.groupBy("_bucket").agg(F.min("mark").alias("low"), F.max(F.col("mark").isNull()).alias("all"))
+    wanted = F.lit(False)
+    for b in lows.collect():  # one row a bucket
+        near = F.col("landed_bucket") == b["_bucket"]
+        wanted = wanted | (near if b["all"] else near & (F.col("landed_day") >= b["low"] // (days * 86400) * days))
+    fresh = F.col("mark").isNull() | (F.col(ts) >= F.col("mark"))
+    return (rows.where(wanted).join(marks.select(key, "mark"), key).where(fresh)
+            .drop("mark", "landed_bucket", "landed_day"))
+
+
 def trades(spark: SparkSession, path: str, market: str | None = None, user: str | None = None,
            taker_only: bool = False) -> DataFrame:
     """The public fill tape, optionally of one market, one user or takers only (SRC-8)."""
