@@ -105,8 +105,9 @@ def activity_since(spark: SparkSession, path: str, marks: DataFrame, key: str, t
                    days: int = 1) -> DataFrame:
     """Rows of ``store_activity`` at or past the mark of their key; a key without a mark gets all its rows (SRC-7).
 
-    ``buckets`` and ``days`` are those the rows were stored with. Keys that ``marks`` lacks are not asked for. The lowest mark of each bucket bounds the days that are
-    read, as a filter on folders, so a bucket is read back to its farthest key; then each key's own mark decides.
+    ``buckets`` and ``days`` are those the rows were stored with. Keys that ``marks`` lacks are not asked
+    for. The lowest mark of each bucket bounds the days that are read, as a filter on folders, so a bucket
+    is read back to its farthest key; then each key's own mark decides.
     """
     marks = cut_lineage(marks.select(key, "mark", _bucket(key, buckets).alias("_bucket")).where(F.col(key).isNotNull()))
     rows = spark.read.parquet(path)
