@@ -593,7 +593,7 @@ def test_empty_tables(spark, none):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_registered_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     theirs = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in theirs.description]
