@@ -2,13 +2,18 @@
 
 import glob
 import math
+import os
 import random
+import re
+import time
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.config import DEFAULTS, merge_config
 from tidemark.functions import numeric as N
 from tidemark.functions import parse as P
@@ -19,6 +24,7 @@ from tidemark.functions import text as TX
 from tidemark.operators import allocation, behaviour, board, books, holders, prefix, replay, traders
 from tidemark.operators.asof import Pick, asof_each, asof_last
 from tidemark.plans import evaluation
+from tidemark.session import among, cut_lineage
 from tidemark.sources import normalize
 from tidemark.streaming import fills as streams
 
@@ -477,3 +483,76 @@ def test_a_trigger_that_touches_one_bucket_leaves_the_others(spark, tmp_path):
     versions = streams._marked(spark, f"{tmp_path}/out", last)[1]
     assert len(set(versions.values())) == 2 and list(versions.values()).count(max(versions.values())) == 1
     assert streams.positions(spark, f"{tmp_path}/out").where("trader_id = 8 and shares = 4").count() == 1
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = held()
+    df = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count().groupBy("count").agg(F.sum("k").alias("k"))
+    cut = cut_lineage(df)
+    until = time.time() + 10
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before and cut.collect() == df.collect() == df.collect()
+
+
+def test_asof_and_scan_shuffle_once(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
+    moments = rows.select("k", (F.col("t") + 3).alias("at"), F.lit(1).alias("other"))
+    assert exchanges(asof_last(moments, rows, ["k"], "at", "t", {"v": "v"})) == 1
+    assert exchanges(prefix.running(rows, ["k"], F.col("t"), ["t"], sums={"s": F.col("v")})) == 1
+
+
+@pytest.mark.parametrize("cells", [1, 64])
+def test_large_keys_are_those_of_many_rows(spark, monkeypatch, cells):
+    monkeypatch.setattr(prefix, "CELLS", cells)
+    df = spark.createDataFrame([(k % 9 or None,) for k in range(90)] + [(5,)] * 4 + [(None,)] * 8, "k long")
+    plain, names = prefix.named_keys(df, ["k"])
+    found = prefix.large_keys(df.withColumns(plain), names, 13)
+    assert {(r["_k_k"], r["_k_nulls"]) for r in found.collect()} == {(5, 0), (0, 1)}
+    assert prefix.large_keys(df.withColumns(plain), names, 18) is None
+
+
+def test_clusters_shuffle_entries_once_and_sides_once(spark):
+    df = spark.range(300).select((F.col("id") % 11).alias("market_id"), (F.col("id") % 2).alias("outcome_index"), (F.col("id") / 500).alias("avg_price"), (F.col("id") * 37).alias("opened_ts"))
+    assert exchanges(holders.entry_clusters(df, ["market_id"])) == 2
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 17])
+def test_cluster_sizes_over_batches(monkeypatch, at_once):
+    monkeypatch.setattr(holders, "AT_ONCE", at_once)
+    draw = random.Random(at_once)
+    rows = sorted({(draw.randint(0, 9) if i % 3 else 4, draw.randint(0, 20000), draw.choice([0.3, 0.31, 0.32, 0.3 + draw.random() / 30])) for i in range(400)})
+    table = pa.table({"market_id": [r[0] for r in rows], "opened_ts": [r[1] for r in rows], "avg_price": [r[2] for r in rows],
+                      "_own": [1 + i % 3 for i in range(len(rows))], "_start": [i == 0 or rows[i - 1][0] != r[0] for i, r in enumerate(rows)]})
+    got = pa.Table.from_batches(list(holders._clusters(7200, 0.01)(iter(table.to_batches(max_chunksize=7)))))
+    want = [sum(1 + j % 3 for j in range(i, len(rows)) if rows[j][0] == r[0] and rows[j][1] - r[1] <= 7200 and abs(rows[j][2] - r[2]) <= 0.01)
+            for i, r in enumerate(rows)]
+    assert got["_own"].to_pylist() == want
+
+
+def test_scores_as_of_deal_records_by_trader_once(spark, monkeypatch):
+    """Skill is worked out for settled days, and nothing is dealt by day or category."""
+    plans = []
+    monkeypatch.setattr(traders, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df))
+    closed = spark.createDataFrame([(t, c, 1000 + 9 * d, 10.0 + d, 3.0 - d % 4, d % 2 == 0, 0.5) for t in (1, 2) for d in range(12) for c in "AB"],
+                                   "trader_id long, category string, day long, cost_basis_usd double, realized_pnl double, won boolean, avg_price double")
+    closed = closed.withColumn("resolved_ts", F.col("day") * 86400)
+    asked = spark.createDataFrame([(t, d) for t in (1, 2, 3) for d in range(995, 1120)], "trader_id long, as_of_day long")
+    got = traders.trader_scores_asof(closed, asked).collect()
+    assert len(got) == 375 and all((r.smart_score > 0) == (r.trader_id < 3 and r.as_of_day > 1000) or r.as_of_day > 1000 for r in got)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?)\)", plans[-1])
+    assert dealt and all(re.match(r"trader_id#\d+L?, \d+$", d) for d in dealt)
+
+
+def test_rows_of_other_keys_stay_in_the_scan(spark, monkeypatch):
+    rows = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    few = cut_lineage(spark.createDataFrame([(3, 1), (4, 2)], "k long, last long"))
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(session, "MOST_SENT", most)
+        assert among(rows, few, "k").count() == 20
