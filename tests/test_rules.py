@@ -556,3 +556,20 @@ def test_rows_of_other_keys_stay_in_the_scan(spark, monkeypatch):
     for most in (1 << 20, 1):
         monkeypatch.setattr(session, "MOST_SENT", most)
         assert among(rows, few, "k").count() == 20
+
+
+@pytest.mark.parametrize("length, slide", [("1 hour", "5 minutes"), ("1 day", None), ("7 minutes", "3 minutes"), ("3 seconds", "500 milliseconds")])
+def test_windows_from_panes_are_those_of_fills(spark, length, slide):
+    draw = random.Random(5)
+    rows = [(draw.choice([1, 2, None]), draw.randint(0, 1), 1.0 + i % 3, 0.5, draw.randint(-5000, 90000)) for i in range(2000)]
+    batch = spark.createDataFrame(rows, "market_id long, outcome_index int, size double, price double, ts long")
+    time_ = F.timestamp_seconds("ts")
+    plain = batch.groupBy("market_id", "outcome_index", (F.window(time_, length, slide) if slide else F.window(time_, length)).alias("w")).agg(
+        F.count("*").alias("fills"), F.sum(F.col("size") * F.col("price")).alias("usd"), F.sum("size").alias("shares")).select(
+        "market_id", "outcome_index", F.unix_seconds("w.start").alias("window_start"), F.unix_seconds("w.end").alias("window_end"), "fills", "usd", "shares")
+    found = streams._window_sums(batch, None, length, slide)
+    if slide != "500 milliseconds":  # whole seconds are one row a window; parts of seconds share their names
+        assert Counter(map(tuple, found.select(plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+        assert exchanges(found) == 2
+    again = streams._window_sums(batch, found.select(plain.columns), length, slide)
+    assert again.agg(F.sum("fills")).first()[0] == 2 * plain.agg(F.sum("fills")).first()[0]
